@@ -6,10 +6,10 @@ one counts them everywhere. idf falls from 1 + SPAN, for shingles up to that sha
 a template's copies alike even where they are a third of the corpus.
 
 Equal texts are one node, named by the hash of the text. A node's signature has BANDS * ROWS samples; nodes that agree in a band meet. In each bucket every node
-is paired with the smallest and the largest one; pairs are compared by their whole texts, links joined to components. Then, in buckets whose nodes still lie in
-several components, each node outside the bucket's largest component is paired with all those of other components, and compared too, unless the sums
-of weights or the signatures rule it out (a pair at the threshold fails that test once in some 300 times). So no bucket's pairs are ever listed in
-full, and a node is left apart only if it was compared with all it met.
+is paired with the smallest one and with the one that meets the most nodes in all; pairs are compared by their whole texts, links joined to components. Then, in
+buckets whose nodes still lie in several components, each node outside the bucket's largest component is paired with all those of other components,
+and compared too, in blocks that emit links only, unless the sums of weights or longer signatures of those nodes rule it out (a pair at the threshold
+fails that test once in some 500 times). So no bucket's pairs are ever listed, and a node is left apart only if it was held against all it met.
 
 Cases. Null text counts as empty. Texts without words link with nothing and are kept. A text of one to four words is one shingle. Rows that repeat both id and text are one
 document; rows without id have a class of their own text and no class_id, unless the class has an id. Empty table: no rows. Other columns are ignored.
@@ -32,8 +32,10 @@ BANDS, ROWS = 9, 3
 COMMON, SPAN = 0.001, 0.1
 #: Documents of a chunk in which candidates for common shingles are looked for; and candidates counted in one pass.
 CHUNK_DOCUMENTS, PASS_CANDIDATES = 8000, 1_000_000
-#: Samples that two signatures must share before residual pairs are compared.
-AGREE = 15
+#: Samples that two signatures, and two of LONG samples, must share before residual pairs are compared.
+AGREE, LONG, LONG_AGREE = 14, 128, 89
+#: Nodes of either side of a block of a bucket.
+BLOCK_OTHERS, BLOCK_NODES = 128, 512
 
 
 def _distinct(shingles: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,12 +198,16 @@ def _similar(weights, least: float) -> object:
     return run
 
 
+def _texts(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the nodes."""
+    return documents.select(F.xxhash64("text").alias("node"), "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+
 def _links(pairs: DataFrame, documents: DataFrame, weights, least: float) -> DataFrame:
     """The pairs (a, b) of nodes that are similar; a written table. Each node's text is read once, then goes to its pairs."""
     pairs = written(pairs)
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = documents.select(F.xxhash64("text").alias("node"), "text").join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts = written(texts)
+    texts = written(_texts(documents, needed))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(weights, least), "a long, b long"))
 
@@ -215,16 +221,18 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     rows = written(texts.select(F.xxhash64("text").alias("node"), "doc_id", "text").mapInArrow(_signed(weights), f"node long, doc_id {kind}, sum double, bands array<long>, signature array<int>"))
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("sum", "bands", "signature")).alias("s")).select("node", "doc_id", "s.*"))
     entries = nodes.select("node", "sum", F.posexplode("bands").alias("band", "key"))
-    ends = entries.groupBy("band", "key").agg(F.min(F.struct("node", "sum")).alias("low"), F.max(F.struct("node", "sum")).alias("high")).where("low.node <> high.node")
-    met = entries.join(ends, ["band", "key"])
+    shared = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = written(entries.join(shared, ["band", "key"]))
+    known = met.groupBy("node").agg(F.sum("n").alias("meets"))
+    ends = met.join(known, "node").groupBy("band", "key").agg(F.min(F.struct("node", "sum")).alias("low"), F.max(F.struct("meets", "node", "sum")).alias("hub"))
+    ends = ends.select("band", "key", "low", F.struct("hub.node", "hub.sum").alias("hub"))
     near = lambda one, two: F.least(one, two) >= (least - 1e-9) * F.greatest(one, two)
-    ended = met.select("node", "sum", F.explode(F.array_distinct(F.array("low", "high"))).alias("e")).where((F.col("node") != F.col("e.node")) & near(F.col("sum"), F.col("e.sum")))
+    ended = met.join(ends, ["band", "key"]).select("node", "sum", F.explode(F.array_distinct(F.array("low", "hub"))).alias("e")).where((F.col("node") != F.col("e.node")) & near(F.col("sum"), F.col("e.sum")))
     first = ended.select(F.least("node", "e.node").alias("a"), F.greatest("node", "e.node").alias("b")).distinct()
     found = _links(first, texts, weights, least)
     parts = written(components(found))
-    rest = written(_residual(nodes, ends.select("band", "key"), parts, near))
-    more = _links(rest, texts, weights, least) if rest.head(1) else None
-    parts = written(components(found.unionByName(more))) if more is not None and more.head(1) else parts
+    more = written(_residual(nodes.select("node", "signature").join(met.drop("n"), "node"), parts, texts, weights, least))
+    parts = written(components(found.unionByName(more))) if more.head(1) else parts
     named = nodes.join(parts, F.col("node") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     by_node = named.join(ids, "component").select("node", "class_id")
@@ -233,17 +241,56 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     return out.unionByName(empty)
 
 
-def _residual(nodes: DataFrame, buckets: DataFrame, parts: DataFrame, near) -> DataFrame:
-    """Pairs of nodes that meet in a bucket and lie in different components, one of them outside the bucket's largest component."""
-    full = nodes.select("node", "sum", "signature", F.posexplode("bands").alias("band", "key")).join(buckets, ["band", "key"]).join(parts, F.col("node") == F.col("id"), "left")
-    full = full.select("band", "key", "node", "sum", "signature", F.coalesce("component", "node").alias("component"))
+def _residual(met: DataFrame, parts: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
+    """Links between nodes that meet in a bucket and lie in different components, one of them outside the bucket's largest component."""
+    full = met.join(parts, F.col("node") == F.col("id"), "left").select("band", "key", "node", "sum", "signature", F.coalesce("component", "node").alias("component"))
     sizes = full.groupBy("band", "key", "component").count()
-    bulk = sizes.groupBy("band", "key").agg(F.max(F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", F.col("top.component").alias("bulk"))
-    open_ = full.join(bulk, ["band", "key"])
-    others = open_.where("component <> bulk").select("band", "key", F.col("node").alias("x"), F.col("sum").alias("sx"), F.col("signature").alias("gx"), F.col("component").alias("cx"))
-    agree = F.aggregate(F.zip_with("gx", "signature", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    pairs = others.join(open_, ["band", "key"]).where((F.col("cx") != F.col("component")) & near(F.col("sx"), F.col("sum"))).where(agree >= AGREE)
-    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    bulk = sizes.groupBy("band", "key").agg(F.max(F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n")).where("parts > 1")
+    bulk = bulk.select("band", "key", F.col("top.component").alias("bulk"), F.ceil((F.col("n") - F.col("top.count")) / BLOCK_OTHERS).alias("nx"), F.ceil(F.col("n") / BLOCK_NODES).alias("ny"))
+    apart = written(full.join(bulk, ["band", "key"]))
+    apart = apart.join(written(_texts(texts, apart.select("node").distinct())), "node")
+    columns = ["node", "sum", "signature", "component", "text"]
+    others = apart.where("component <> bulk").select("band", "key", F.pmod("node", "nx").alias("bx"), F.explode(F.expr("sequence(0L, ny - 1)")).alias("by"), *columns)
+    members = apart.select("band", "key", F.explode(F.expr("sequence(0L, nx - 1)")).alias("bx"), F.pmod("node", "ny").alias("by"), *columns)
+    block = ["band", "key", "bx", "by"]
+    others = others.toDF(*(f"x_{c}" for c in others.columns))
+    return others.groupBy(*(f"x_{c}" for c in block)).cogroup(members.groupBy(*block)).applyInArrow(_block_links(weights, least), "a long, b long").distinct()
+
+
+def _block_links(weights, least: float) -> object:
+    def side(table: pa.Table) -> tuple:
+        words = next(word_slices(table["text"].combine_chunks(), 1 << 62))
+        shingles, doc, weight = weights.value(words)
+        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        long = samples(shingles, weight, starts, LONG).astype(np.int32)
+        ends = np.append(starts[1:], len(doc))
+        lists = []
+        for lo, hi in zip(starts, ends, strict=True):
+            order = np.argsort(shingles[lo:hi])
+            lists.append((shingles[lo:hi][order], weight[lo:hi][order]))
+        return table["node"].to_numpy(), table["sum"].to_numpy(), np.stack(table["signature"].to_numpy()), table["component"].to_numpy(), long, lists
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        left = left.rename_columns([c.removeprefix("x_") for c in left.column_names])
+        if left.num_rows and right.num_rows:
+            band = left["band"][0].as_py()
+            nodes, sums, short, parts, long, lists = side(right)
+            for node, total, sig, part, own, (keys, values) in zip(*side(left), strict=True):
+                same = short == sig
+                met = same.reshape(len(same), BANDS, ROWS).all(2)
+                open_ = (parts != part) & (same.sum(1) >= AGREE) & ~met[:, :band].any(1) & (np.minimum(sums, total) >= (least - 1e-9) * np.maximum(sums, total))
+                at = np.flatnonzero(open_)
+                for j in at[(long[at] == own).sum(1) >= LONG_AGREE]:
+                    other, more = lists[j]
+                    place = np.minimum(np.searchsorted(keys, other), len(keys) - 1)
+                    hit = keys[place] == other
+                    shared = np.minimum(values[place[hit]], more[hit]).sum()
+                    if shared >= (least - 1e-9) * (total + sums[j] - shared):
+                        out.append((int(min(node, nodes[j])), int(max(node, nodes[j]))))
+        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def near_duplicates(documents: DataFrame, least: float = LEAST) -> DataFrame:
