@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from callweave.llm.textblocks import mixed
 
 SAMPLES, SHARPNESS = 3, 1.0
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 20
 _MASK = (1 << 64) - 1
 _BLANK = "▁"
 
@@ -47,11 +47,12 @@ class Vocabulary:
         joined = {c for p in self.pieces if len(p) > 1 for c in p}
         #: Line ends and other characters inside texts at which lattices fall apart.
         self.breaks = "".join(c for c in "\n\t\r" if c not in joined)
-        ids = np.array(list(self.pieces.values()))
-        hashes = np.array([_hash_of(p) for p in self.pieces], np.uint64)
+        # all prefixes of pieces by hash; those that are no piece have no id
+        starts = {p[:n]: -1 for p in self.pieces for n in range(1, len(p))} | self.pieces
+        hashes = np.array([_hash_of(p) for p in starts], np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], ids[order]
-        scores = np.array([self.processor.get_score(int(i)) for i in self.ids])
+        self.hashes, self.ids = hashes[order], np.array(list(starts.values()))[order]
+        scores = np.array([self.processor.get_score(int(i)) if i >= 0 else 0.0 for i in self.ids])
         self.weights = -SHARPNESS * np.log(2 + np.minimum(-np.minimum(scores, 0), size))
         self.byte_weight = -SHARPNESS * math.log(2 + size)
 
@@ -95,26 +96,31 @@ class Lattices:
         self.base = np.concatenate([[0], np.cumsum(self.lengths + 1)])[:-1]
         chars = np.frombuffer("\0".join([*(words[i] for i in order), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.chars = chars
-        n, wide = len(chars), vocabulary.longest
-        self.ids = np.full((n, wide), -1, np.int32)
-        weight = np.full((n, wide), -np.inf)
-        value = np.zeros(n, np.uint64)
-        alive = np.arange(n)
-        for k in range(wide):
-            alive = alive[(alive + k < n)]
-            alive = alive[chars[alive + k] != 0]
+        n = len(chars)
+        alive, value, hits = np.flatnonzero(chars), np.zeros(int((chars != 0).sum()), np.uint64), []
+        for k in range(vocabulary.longest):
+            go = chars[alive + k] != 0
+            alive, value = alive[go], value[go]
+            value = value * np.uint64(0x100000001B3) + chars[alive + k] + np.uint64(0x9E3779B97F4A7C15)
+            at = np.minimum(np.searchsorted(vocabulary.hashes, value), len(vocabulary.hashes) - 1)
+            go = vocabulary.hashes[at] == value
+            alive, value, at = alive[go], value[go], at[go]
             if not len(alive):
                 break
-            value[alive] = value[alive] * np.uint64(0x100000001B3) + chars[alive + k] + np.uint64(0x9E3779B97F4A7C15)
-            at = np.minimum(np.searchsorted(vocabulary.hashes, value[alive]), len(vocabulary.hashes) - 1)
-            hit = vocabulary.hashes[at] == value[alive]
-            self.ids[alive[hit], k] = vocabulary.ids[at[hit]]
-            weight[alive[hit], k] = vocabulary.weights[at[hit]]
+            full = vocabulary.ids[at] >= 0
+            hits.append((alive[full], vocabulary.ids[at[full]], vocabulary.weights[at[full]]))
+        wide = max([1, *(k + 1 for k, h in enumerate(hits) if len(h[0]))])
+        self.ids = np.full((n, wide), -1, np.int32)
+        weight = np.full((n, wide), -np.inf)
+        for k, (node, own, w) in enumerate(hits[:wide]):
+            self.ids[node, k], weight[node, k] = own, w
         bare = np.flatnonzero((self.ids[:, 0] < 0) & (chars != 0))
         size = np.where(chars[bare] < 0x80, 1, np.where(chars[bare] < 0x800, 2, np.where(chars[bare] < 0x10000, 3, 4)))
         weight[bare, 0] = vocabulary.byte_weight * size
         ascii_ = bare[chars[bare] < 0x80]
         self.ids[ascii_, 0] = vocabulary.first_byte + chars[ascii_].astype(np.int32)
+        self.has_bare = np.zeros(len(words), bool)
+        self.has_bare[np.searchsorted(self.base, bare[chars[bare] >= 0x80], "right") - 1] = True
         behind = np.zeros(n + wide + 1)
         longest = int(self.lengths[0]) if len(words) else 0
         counts = np.searchsorted(-self.lengths, -np.arange(longest), "left")
@@ -128,10 +134,12 @@ class Lattices:
             total = own.sum(1)
             behind[node] = top + np.log(total)
             weight[node] = own / total[:, None]
-        inner = chars != 0
-        weight[~inner] = 0
+        weight[chars == 0] = 0
         self.chance = weight
-        self.upto = np.cumsum(weight, axis=1)
+        with np.errstate(divide="ignore"):
+            self.log_chance = np.log(weight).astype(np.float32)
+        self.upto = np.cumsum(weight, axis=1).astype(np.float32)
+        self.upto[np.arange(n), self.upto.argmax(1)] = 2
 
     def walk(self, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each token (rank of its word, 64-bit key) a sampled path: (pieces, log-probability), and all tokens' (ids, lengths) in turn."""
@@ -141,8 +149,8 @@ class Lattices:
         while len(alive):
             u = _uniform(mixed(key[alive] + (count[alive].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)))
             node = at[alive]
-            k = np.minimum((self.upto[node] <= (u * self.upto[node, -1])[:, None]).sum(1), self.upto.shape[1] - 1)
-            log_p[alive] += np.log(self.chance[node, k])
+            k = (self.upto.take(node, axis=0) > u.astype(np.float32)[:, None]).argmax(1)
+            log_p[alive] += self.log_chance[node, k]
             steps.append((alive, self.ids[node, k], k + 1))
             count[alive] += 1
             at[alive] += k + 1
@@ -283,7 +291,7 @@ def top_k(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int = S
             break
         token_keys = [mixed(tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((s.key + turn * 0xD1B54A32D192ED03) & _MASK)) for s, tokens, _ in todo]
         count, log_p, ids, sizes = lattices.walk(np.concatenate([s.words[tokens] for s, tokens, _ in todo]), np.concatenate(token_keys))
-        token_end, piece_end = np.cumsum([len(t) for _, t, _ in todo]), None
+        token_end = np.cumsum([len(t) for _, t, _ in todo])
         pieces = np.concatenate([[0], np.cumsum(count)])
         for (s, tokens, opened), hi in zip(todo, token_end.tolist(), strict=True):
             lo = hi - len(tokens)
@@ -301,7 +309,6 @@ def top_k(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int = S
                     ),
                     token + 1,
                 )
-        del piece_end
         if turn < k - 1:
             opened = [(s, s.open()) for s, _, _ in todo]
             todo = [(s, np.arange(o[1] + 1, len(s.words)), o) for s, o in opened if o]
@@ -310,9 +317,10 @@ def top_k(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int = S
 
 def _bare(lattices: Lattices, search: _Search) -> np.ndarray:
     """Nodes, in the order of the text, whose character has no piece and more than one byte."""
-    if not len(search.words) or not (lattices.ids[:, 0] < 0).any():
+    words = search.words[lattices.has_bare[search.words]]
+    if not len(words):
         return np.zeros(0, np.int64)
-    own = np.concatenate([np.arange(b, b + n) for b, n in zip(lattices.base[search.words].tolist(), lattices.lengths[search.words].tolist(), strict=True)])
+    own = np.concatenate([np.arange(b, b + n) for b, n in zip(lattices.base[words].tolist(), lattices.lengths[words].tolist(), strict=True)])
     return own[(lattices.ids[own, 0] < 0)]
 
 
