@@ -13,6 +13,7 @@ Cases. Null or empty text: the closing id alone. Repeated rows: each is packed.
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -26,14 +27,16 @@ from callweave.llm.common import shuffle_partitions, written
 
 CAPACITY, CLOSING = 4096, 1
 #: Words whose ids a worker keeps at once.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
     """Ids of a text as little-endian unsigned 32-bit numbers; words between blanks and line ends are encoded once and then looked up.
 
-    Those two characters are white space to the tokenizer, which never joins across it, so the ids of a text are those of its words in turn.
+    Those two characters are white space to the tokenizer, which never joins across it, so the ids of a text are those of its words in turn. Words of Latin
+    letters, which it lower-cases, share the ids of their lower-cased form, a stop or comma after them is a word of its own to it, and many such words
+    are encoded at a time, as each ends with an id that ends a word.
     """
 
     def __init__(self, path: str):
@@ -41,26 +44,69 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
+        self.marks = {"": b""}
+        self._whole([".", ","])
+        self.marks |= {c: self.known[c] for c in ".,"}
+
+    def _whole(self, words: list[str]) -> None:
+        for at in range(0, len(words), 5000):
+            part = words[at : at + 5000]
+            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[word] = np.array(got.ids, "<u4").tobytes()
+
+    def _joined(self, words: list[str]) -> None:
+        """words: of lower-case Latin letters."""
+        for at in range(0, len(words), 20_000):
+            rows = [words[k : k + 200] for k in range(at, min(at + 20_000, len(words)), 200)]
+            for row, got in zip(rows, self.tokenizer.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, "<u4")
+                ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(ends) != len(row):
+                    raise ValueError("a word of letters alone has ids of one word")
+                data, lo = ids.tobytes(), 0
+                for word, hi in zip(row, ends, strict=True):
+                    self.known[word] = data[lo:hi]
+                    lo = hi
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KEPT_WORDS:
-            self.known = {"": b""}
+            self.forget()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        known = self.known
+        forms, whole = {}, []
+        for word in set().union(*split).difference(known):
+            mark = word[-1] if word[-1] in ".," else ""
+            stem = word[: len(word) - len(mark)].lower()
+            if stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in word:
+                forms[word] = (stem, self.marks[mark])
+            else:
+                whole.append(word)
+        self._joined(list({stem for stem, _ in forms.values()}.difference(known)))
+        self._whole(whole)
+        for word, (stem, mark) in forms.items():
+            known[word] = known[stem] + mark
+        get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+@functools.lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(path)
+
+
 def pieces(documents: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the ids of each whole text and the closing id, cut where longer than CAPACITY."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, closing = WordIds(tokenizer), np.array([CLOSING], "<u4").tobytes()
+        encode, closing = _word_ids(tokenizer), np.array([CLOSING], "<u4").tobytes()
         for batch in batches:
             for lo, hi in _runs(batch.column(1)):
                 own, out = batch.column(0).slice(lo, hi - lo).to_pylist(), []
