@@ -27,7 +27,7 @@ from callweave.llm.common import shuffle_partitions, written
 
 CAPACITY, CLOSING = 4096, 1
 #: Words whose ids a worker keeps at once.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -51,9 +51,8 @@ class WordIds:
 
     def forget(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
-        self.marks = {"": b""}
         self._whole([".", ","])
-        self.marks |= {c: self.known[c] for c in ".,"}
+        self.marks = {c: self.known[c] for c in ".,"}
 
     def _whole(self, words: list[str]) -> None:
         for at in range(0, len(words), 5000):
@@ -80,18 +79,18 @@ class WordIds:
             self.forget()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
-        forms, whole = {}, []
+        forms, whole, marks = {}, [], self.marks
         for word in set().union(*split).difference(known):
-            mark = word[-1] if word[-1] in ".," else ""
-            stem = word[: len(word) - len(mark)].lower()
-            if stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in word:
-                forms[word] = (stem, self.marks[mark])
+            last = word[-1]
+            stem = (word[:-1] if last in marks else word).lower()
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250" and "\u0130" not in word):
+                forms[word] = stem
             else:
                 whole.append(word)
-        self._joined(list({stem for stem, _ in forms.values()}.difference(known)))
+        self._joined(list(set(forms.values()).difference(known)))
         self._whole(whole)
-        for word, (stem, mark) in forms.items():
-            known[word] = known[stem] + mark
+        for word, stem in forms.items():
+            known[word] = known[stem] + marks.get(word[-1], b"")
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -121,9 +120,9 @@ def pieces(documents: DataFrame, tokenizer: str) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _PIECES)
 
 
-def _runs(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _runs(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
     """Row ranges of about most characters."""
-    sizes = np.cumsum([0, *(x or 0 for x in pa.compute.binary_length(column).to_pylist())]) if len(column) else np.zeros(1)
+    sizes = np.concatenate([[0], np.cumsum(pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))])
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + most, "right")) - 1)
