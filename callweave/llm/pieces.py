@@ -16,6 +16,7 @@ text. Empty table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 import zlib
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from callweave.llm.textblocks import mixed
 
 SAMPLES, SHARPNESS = 3, 1.0
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 21
 _MASK = (1 << 64) - 1
 _BLANK = "▁"
 
@@ -60,16 +61,20 @@ class Vocabulary:
         """Words whose lattices make up the text's; each blank is the mark at a word's start, and the text gets one before it."""
         if not text:
             return []
-        words = [_BLANK + w for w in text.split(" ")]
+        words = (_BLANK + text.replace(" ", " " + _BLANK)).split(" ")
         for c in self.breaks:
             if c in text:
-                words = [p for w in words for p in _parted(w, c)]
+                words = [p for w in words for p in ((w,) if c not in w else _parted(w, c))]
         return words
 
 
+@functools.lru_cache(maxsize=1)
+def _vocabulary(path: str) -> Vocabulary:
+    """One for all tasks of a worker."""
+    return Vocabulary(path)
+
+
 def _parted(word: str, c: str) -> list[str]:
-    if c not in word:
-        return [word]
     out = []
     for k, part in enumerate(word.split(c)):
         out += ([c] if k else []) + ([part] if part else [])
@@ -84,7 +89,7 @@ def _hash_of(text: str) -> int:
 
 
 class Lattices:
-    """Of distinct words: cumulative edge probabilities, a row for each node and a column for each edge length; and the edges' ids."""
+    """Of distinct words: edge probabilities, their logarithms and sums, a row for each node and a column for each edge length; and the edges' ids."""
 
     def __init__(self, words: list[str], vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -135,12 +140,14 @@ class Lattices:
             behind[node] = top + np.log(total)
             weight[node] = own / total[:, None]
         weight[chars == 0] = 0
-        self.chance = weight
         with np.errstate(divide="ignore"):
             self.log_chance = np.log(weight).astype(np.float32)
-        self.upto = np.cumsum(weight, axis=1).astype(np.float32)
+        self.upto = np.cumsum(weight, axis=1, out=weight).astype(np.float32)
         self.upto[np.arange(n), self.upto.argmax(1)] = 2
 
+    def chances(self, node: int) -> np.ndarray:
+        return np.exp(self.log_chance[node].astype(np.float64))
+
     def walk(self, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each token (rank of its word, 64-bit key) a sampled path: (pieces, log-probability), and all tokens' (ids, lengths) in turn."""
         count, log_p = np.zeros(len(word), np.int64), np.zeros(len(word))
@@ -243,8 +250,10 @@ class _Search:
             before = float(self.samples[parent].log_p[:token].sum())
             node, log_path, sets = int(self.lattices.base[self.words[token]]), 0.0, []
             for j, size in enumerate(sizes):
-                chance = float(self.lattices.chance[node, size - 1])
-                rest = float(self.lattices.chance[node].sum()) - chance
+                chances = self.lattices.chances(node)
+                chance = float(chances[size - 1])
+                chances[size - 1] = 0
+                rest = float(chances.sum())
                 if rest > 1e-15:
                     sets.append((log_path + math.log(rest), ids[:j], sizes[:j], node, (size - 1,), log_path))
                 log_path += math.log(chance)
@@ -262,16 +271,16 @@ class _Search:
         ids, sizes = list(ids), list(sizes)
         end = int(self.lattices.base[self.words[token]] + self.lattices.lengths[self.words[token]])
         while node < end:
-            chance = self.lattices.chance[node].copy()
+            chance = self.lattices.chances(node)
             chance[list(taken)] = 0
-            total = chance.sum()
-            k = min(int((np.cumsum(chance) <= self.draw() * total).sum()), len(chance) - 1)
-            rest = float(total - chance[k])
+            k = min(int((np.cumsum(chance) <= self.draw() * chance.sum()).sum()), int(np.flatnonzero(chance)[-1]))
+            own, chance[k] = float(chance[k]), 0
+            rest = float(chance.sum())
             if rest > 1e-15:
                 self.push(_below(before + log_path + math.log(rest), bound, self.draw()), "node", parent, token, before, tuple(ids), tuple(sizes), node, (*taken, k), log_path)
             ids.append(int(self.lattices.ids[node, k]))
             sizes.append(k + 1)
-            log_path += math.log(chance[k])
+            log_path += math.log(own)
             node += k + 1
             taken = ()
         return parent, token, ids, sizes, log_path, bound
@@ -340,7 +349,7 @@ def sampled(documents: DataFrame, model: str, k: int = SAMPLES, key: str = "doc_
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model)
+        vocabulary = _vocabulary(model)
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             keys = batch.column(1).to_numpy().view(np.uint64)
