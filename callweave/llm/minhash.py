@@ -17,6 +17,7 @@ document; rows without id have a class of their own text and no class_id, unless
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ CHUNK_DOCUMENTS, PASS_CANDIDATES = 8000, 1_000_000
 AGREE, LONG, LONG_AGREE = 14, 128, 89
 #: Nodes of either side of a block of a bucket.
 BLOCK_OTHERS, BLOCK_NODES = 128, 512
+CALL_ROWS = 2000
+_BLOCK = ["band", "key", "bx", "by"]
 
 
 def _distinct(shingles: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,46 +251,111 @@ def _residual(met: DataFrame, parts: DataFrame, texts: DataFrame, weights, least
     bulk = sizes.groupBy("band", "key").agg(F.max(F.struct("count", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("count").alias("n")).where("parts > 1")
     bulk = bulk.select("band", "key", F.col("top.component").alias("bulk"), F.ceil((F.col("n") - F.col("top.count")) / BLOCK_OTHERS).alias("nx"), F.ceil(F.col("n") / BLOCK_NODES).alias("ny"))
     apart = written(full.join(bulk, ["band", "key"]))
-    apart = apart.join(written(_texts(texts, apart.select("node").distinct())), "node")
-    columns = ["node", "sum", "signature", "component", "text"]
+    # only nodes whose short signatures leave a pair open get longer ones and bring their shingles
+    open_ = written(_blocks(apart, []).applyInArrow(_block_open(least), "node long").distinct())
+    ready = written(_texts(texts, open_).mapInArrow(_prepared(weights), "node long, long binary, keys binary, values binary"))
+    return _blocks(apart.join(ready, "node"), ["long", "keys", "values"]).applyInArrow(_block_links(least), "a long, b long").distinct()
+
+
+def _blocks(apart: DataFrame, more: list[str]):
+    """The nodes outside each bucket's largest component, and all its nodes, in blocks of bounded size, each of one with each of the other."""
+    columns = ["node", "sum", "signature", "component", *more]
     others = apart.where("component <> bulk").select("band", "key", F.pmod("node", "nx").alias("bx"), F.explode(F.expr("sequence(0L, ny - 1)")).alias("by"), *columns)
     members = apart.select("band", "key", F.explode(F.expr("sequence(0L, nx - 1)")).alias("bx"), F.pmod("node", "ny").alias("by"), *columns)
-    block = ["band", "key", "bx", "by"]
+    # most blocks are tiny, so a task's call gets many of them
+    calls = max(1, members.count() // CALL_ROWS)
+    others, members = (d.withColumn("call", F.pmod(F.xxhash64(*_BLOCK), F.lit(calls))) for d in (others, members))
     others = others.toDF(*(f"x_{c}" for c in others.columns))
-    return others.groupBy(*(f"x_{c}" for c in block)).cogroup(members.groupBy(*block)).applyInArrow(_block_links(weights, least), "a long, b long").distinct()
-
-
-def _block_links(weights, least: float) -> object:
-    def side(table: pa.Table) -> tuple:
-        words = next(word_slices(table["text"].combine_chunks(), 1 << 62))
-        shingles, doc, weight = weights.value(words)
-        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        long = samples(shingles, weight, starts, LONG).astype(np.int32)
-        ends = np.append(starts[1:], len(doc))
-        lists = []
-        for lo, hi in zip(starts, ends, strict=True):
-            order = np.argsort(shingles[lo:hi])
-            lists.append((shingles[lo:hi][order], weight[lo:hi][order]))
-        return table["node"].to_numpy(), table["sum"].to_numpy(), np.stack(table["signature"].to_numpy()), table["component"].to_numpy(), long, lists
+    return others.groupBy("x_call").cogroup(members.groupBy("call"))
+
+
+class _Side:
+    def __init__(self, table: pa.Table):
+        self.nodes, self.sums, self.parts = (table[c].to_numpy() for c in ("node", "sum", "component"))
+        self.short = table["signature"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS * ROWS)
+
+    def only(self, rows: np.ndarray) -> _Side:
+        out = copy.copy(self)
+        out.nodes, out.sums, out.parts, out.short = self.nodes[rows], self.sums[rows], self.parts[rows], self.short[rows]
+        return out
+
+    def open_to(self, other: _Side, j: int, band: int, least: float) -> np.ndarray:
+        """Rows that row j of other may be linked to; pairs that met in an earlier band are that one's."""
+        same = self.short == other.short[j]
+        at = np.flatnonzero((same.sum(1) >= AGREE) & (self.parts != other.parts[j]) & (np.minimum(self.sums, other.sums[j]) >= (least - 1e-9) * np.maximum(self.sums, other.sums[j])))
+        return at[~same[at].reshape(len(at), BANDS, ROWS).all(2)[:, :band].any(1)]
+
+
+def _named(table: pa.Table) -> pa.Table:
+    return table.rename_columns([c.removeprefix("x_") for c in table.column_names])
+
+
+def _each_block(left: pa.Table, right: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(band, rows of left, rows of right) of the blocks that both have."""
+    sides = [t.select(_BLOCK).to_pandas().groupby(_BLOCK).indices for t in (left, right)]
+    for key, rows in sides[0].items():
+        if key in sides[1]:
+            yield key[0], rows, sides[1][key]
+
+
+def _block_open(least: float) -> object:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[np.ndarray] = []
+        if left.num_rows and right.num_rows:
+            left = _named(left)
+            one, two = _Side(left), _Side(right)
+            for band, rows, others in _each_block(left, right):
+                here, there = one.only(rows), two.only(others)
+                for j in range(len(rows)):
+                    at = there.open_to(here, j, band, least)
+                    if len(at):
+                        found += [there.nodes[at], here.nodes[j : j + 1]]
+        return pa.table([pa.array(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64))], names=["node"])
+
+    return run
+
+
+def _prepared(weights) -> object:
+    """Long signature, shingles in order and their weights of each text, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in word_slices(batch.column(1)):
+                shingles, doc, weight = weights.value(words)
+                starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+                long = samples(shingles, weight, starts, LONG).astype(np.int32)
+                order = np.lexsort((shingles, doc))
+                shingles, weight, ends = shingles[order], weight[order], np.append(starts[1:], len(doc))
+                parts = [(row.tobytes(), shingles[lo:hi].tobytes(), weight[lo:hi].tobytes()) for row, lo, hi in zip(long, starts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[starts] + words.lo)), *(pa.array(list(c), pa.binary()) for c in zip(*parts, strict=True))], names=["node", "long", "keys", "values"])
+
+    return run
+
+
+def _block_links(least: float) -> object:
+    def read(table: pa.Table) -> tuple[np.ndarray, list, list]:
+        long = np.frombuffer(b"".join(table["long"].to_pylist()), np.int32).reshape(-1, LONG)
+        return long, table["keys"].to_pylist(), table["values"].to_pylist()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
-        left = left.rename_columns([c.removeprefix("x_") for c in left.column_names])
         if left.num_rows and right.num_rows:
-            band = left["band"][0].as_py()
-            nodes, sums, short, parts, long, lists = side(right)
-            for node, total, sig, part, own, (keys, values) in zip(*side(left), strict=True):
-                same = short == sig
-                met = same.reshape(len(same), BANDS, ROWS).all(2)
-                open_ = (parts != part) & (same.sum(1) >= AGREE) & ~met[:, :band].any(1) & (np.minimum(sums, total) >= (least - 1e-9) * np.maximum(sums, total))
-                at = np.flatnonzero(open_)
-                for j in at[(long[at] == own).sum(1) >= LONG_AGREE]:
-                    other, more = lists[j]
-                    place = np.minimum(np.searchsorted(keys, other), len(keys) - 1)
-                    hit = keys[place] == other
-                    shared = np.minimum(values[place[hit]], more[hit]).sum()
-                    if shared >= (least - 1e-9) * (total + sums[j] - shared):
-                        out.append((int(min(node, nodes[j])), int(max(node, nodes[j]))))
+            left = _named(left)
+            one_all, two_all, (long_one, keys_one, values_one), (long_two, keys_two, values_two) = _Side(left), _Side(right), read(left), read(right)
+            for band, rows, others in _each_block(left, right):
+                one, two = one_all.only(rows), two_all.only(others)
+                for j, row in enumerate(rows.tolist()):
+                    at = two.open_to(one, j, band, least)
+                    if not len(at):
+                        continue
+                    keys, values = np.frombuffer(keys_one[row], np.uint64), np.frombuffer(values_one[row])
+                    for k in at[(long_two[others[at]] == long_one[row]).sum(1) >= LONG_AGREE]:
+                        other, more = np.frombuffer(keys_two[others[k]], np.uint64), np.frombuffer(values_two[others[k]])
+                        place = np.minimum(np.searchsorted(keys, other), len(keys) - 1)
+                        hit = keys[place] == other
+                        shared = np.minimum(values[place[hit]], more[hit]).sum()
+                        if shared >= (least - 1e-9) * (one.sums[j] + two.sums[k] - shared):
+                            out.append((int(min(one.nodes[j], two.nodes[k])), int(max(one.nodes[j], two.nodes[k]))))
         return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     return run
