@@ -27,7 +27,7 @@ from callweave.llm.common import shuffle_partitions, written
 
 CAPACITY, CLOSING = 4096, 1
 #: Words whose ids a worker keeps at once.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 350_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -120,7 +120,7 @@ def pieces(documents: DataFrame, tokenizer: str) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _PIECES)
 
 
-def _runs(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _runs(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Row ranges of about most characters."""
     sizes = np.concatenate([[0], np.cumsum(pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))])
     lo = 0

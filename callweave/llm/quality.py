@@ -114,20 +114,22 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1
 def score(documents: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns in keep, and score: the probability of label 1 of the whole text."""
     names = [f"c{k}" for k in range(len(keep))]
+    carried = "text" in keep and documents.schema["text"].dataType.simpleString() == "string"
+    at = keep.index("text") if carried else len(names)
     table = documents.sparkSession.sparkContext.broadcast(weights)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = table.value.astype(np.float64)
         for batch in batches:
             p = np.empty(batch.num_rows)
-            for words in word_slices(batch.column(len(names))):
+            for words in word_slices(batch.column(at)):
                 slots, doc = _features(words)
                 n = np.bincount(doc, minlength=words.hi - words.lo)
                 dot = np.bincount(doc, weights=w[slots], minlength=words.hi - words.lo) / np.sqrt(np.maximum(1, n)) + w[-1]
                 p[words.lo : words.hi] = 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p)], names=[*names, "score"])
 
-    source = documents.select(*[documents[c].alias(n) for c, n in zip(keep, names, strict=True)], documents["text"].cast("string").alias("t"))
+    source = documents.select(*[documents[c].alias(n) for c, n in zip(keep, names, strict=True)], *([] if carried else [documents["text"].cast("string").alias("t")]))
     schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, source.schema.fields, strict=False)), "score double"])
     out = source.mapInArrow(scored, schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "score")

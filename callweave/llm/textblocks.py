@@ -9,7 +9,7 @@ import pyarrow as pa
 
 #: White space of the word rule: blank and the controls 9 to 13.
 BLANKS = bytes([32, 9, 10, 11, 12, 13])
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 _IS_BLANK = np.zeros(256, bool)
