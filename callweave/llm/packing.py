@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.llm.common import shuffle_partitions, written
+from callweave.llm.textblocks import LET_GO
 
 CAPACITY, CLOSING = 4096, 1
 #: Words whose ids a worker keeps at once.
-KEPT_WORDS = 350_000
+KEPT_WORDS = 500_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -97,10 +98,13 @@ class WordIds:
 
 @functools.lru_cache(maxsize=1)
 def _word_ids(path: str) -> WordIds:
-    """One for all tasks of a worker."""
+    """One for all tasks of a worker, until it turns to another operator."""
     return WordIds(path)
 
 
+LET_GO.append(_word_ids.cache_clear)
+
+
 def pieces(documents: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the ids of each whole text and the closing id, cut where longer than CAPACITY."""
 

@@ -66,8 +66,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+#: Calls that drop what other operators keep in a worker between tasks; made before a batch is cut into words, so that a worker holds one operator's memory.
+LET_GO: list = []
+
+
 def word_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[Words]:
     """Slices of about most bytes (a longer document is a slice of its own); words are maximal runs without white space, A-Z lower-cased."""
+    for drop in LET_GO:
+        drop()
     data, offsets = buffers(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
