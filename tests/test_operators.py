@@ -90,9 +90,9 @@ def test_filters_and_rules(spark):
 
 
 def test_phase_blocks_and_scores(spark):
-    calls = spark.createDataFrame([("c", 1, 10, 10, "A", ["A", "G"]), ("c", 1, 20, 20, "C", ["C", "T"]), ("c", 1, 30, 30, "G", ["T", "G"]), ("c", 1, 40, 40, "G", ["G", "A"])], "contig string, block long, start long, end long, ref string, alleles array<string>")
+    calls = spark.createDataFrame([("c", 1, 10, 10, "A", ["A", "G"]), ("c", 1, 20, 20, "C", ["C", "T"]), ("c", 1, 30, 30, "G", ["T", "G"]), ("c", 1, 40, 40, "G", ["A", "G"])], "contig string, block long, start long, end long, ref string, alleles array<string>")
     truth = spark.createDataFrame([("c", 10, 10, "A", "G"), ("c", 20, 20, "C", "T"), ("c", 30, 30, "G", "T"), ("c", 90, 90, "A", "C")], "contig string, start long, end long, ref string, allele string")
-    assert {r["start"]: r["comparison"] for r in phasing.score(calls, truth).collect()} == {10: "concordant", 20: "concordant", 30: "phasing-error", 40: "discordant", 90: "discordant"}
+    assert {r["start"]: r["comparison"] for r in phasing.score(calls, truth).collect()} == {10: "concordant", 20: "concordant", 30: "phasing-error", 40: "ref-concordant", 90: "discordant"}
 
 
 def test_structural_match_is_one_to_one(spark):
