@@ -43,6 +43,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of rows that go to a Python worker, or come from it, at once; a longer row goes alone.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by bytes, not by rows alone, so that long texts fill neither executors nor workers. A setting of the session's own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_or_empty(df: DataFrame, name: str = "text"):
     return F.coalesce(df[name].cast("string"), F.lit(""))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import components, written
+from callweave.llm.common import bounded_batches, components, written
 from callweave.llm.textblocks import grams, mixed, word_slices
 
 SHINGLE, LEAST = 5, 0.8
@@ -218,6 +218,7 @@ def _links(pairs: DataFrame, documents: DataFrame, weights, least: float) -> Dat
 def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id and class_id, the smallest id of the class, of every row; rows in the order of no column."""
     spark = documents.sparkSession
+    bounded_batches(spark)
     texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     weights = spark.sparkContext.broadcast(Weights(*common_shingles(texts)))

@@ -23,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import shuffle_partitions, written
+from callweave.llm.common import bounded_batches, shuffle_partitions, written
 from callweave.llm.textblocks import LET_GO
 
 CAPACITY, CLOSING = 4096, 1
@@ -108,6 +108,8 @@ LET_GO.append(_word_ids.cache_clear)
 def pieces(documents: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the ids of each whole text and the closing id, cut where longer than CAPACITY."""
 
+    bounded_batches(documents.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, closing = _word_ids(tokenizer), np.array([CLOSING], "<u4").tobytes()
         for batch in batches:

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callweave.llm.common import bounded_batches
 from callweave.llm.textblocks import mixed
 
 SAMPLES, SHARPNESS = 3, 1.0
@@ -346,6 +347,7 @@ def ids_of(sample: Sample, bare: np.ndarray, vocabulary: Vocabulary) -> np.ndarr
 
 def sampled(documents: DataFrame, model: str, k: int = SAMPLES, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """key, sample (from 1), n_pieces, log_prob, perturbed, log_inclusion, ids_crc32 and, if asked for, ids of up to k distinct segmentations of each text."""
+    bounded_batches(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import crc_fold
+from callweave.llm.common import bounded_batches, crc_fold
 from callweave.llm.textblocks import mixed, word_slices
 
 BITS = 18
@@ -97,6 +97,7 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1
     One task reads the sparse features of those rows in the order of their hash and makes the updates; nothing else is gathered.
     A document that has both labels counts as of the worse one.
     """
+    bounded_batches(documents.sparkSession)
     chosen = (
         labels.where("doc_id is not null and quality in (0, 1)")
         .where(crc_fold(F.col("doc_id"), folds) != held)
@@ -113,6 +114,7 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1
 
 def score(documents: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns in keep, and score: the probability of label 1 of the whole text."""
+    bounded_batches(documents.sparkSession)
     names = [f"c{k}" for k in range(len(keep))]
     carried = "text" in keep and documents.schema["text"].dataType.simpleString() == "string"
     at = keep.index("text") if carried else len(names)
