@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import bounded_batches, components, written
+from callweave.llm.common import bounded_batches, components, trimmed, written
 from callweave.llm.textblocks import grams, mixed, word_slices
 
 SHINGLE, LEAST = 5, 0.8
@@ -77,7 +77,7 @@ def common_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     texts = documents.select(F.col("text").cast("string").alias("text"))
     n = texts.count()
     few = texts.coalesce(max(1, n // CHUNK_DOCUMENTS))
-    candidates = written(few.mapInArrow(_candidates, "h long").distinct())
+    candidates = written(few.mapInArrow(trimmed(_candidates), "h long").distinct())
     passes = max(1, -(-candidates.count() // PASS_CANDIDATES))
     keys, counts = [], []
     for part in range(passes):
@@ -97,7 +97,7 @@ def common_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array(table[some].view(np.int64)), pa.array(total[some])], names=["h", "c"])
 
         if len(chosen):
-            got = texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > COMMON * n).toPandas()
+            got = texts.mapInArrow(trimmed(count), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > COMMON * n).toPandas()
             keys.append(got["h"].to_numpy(np.int64).view(np.uint64))
             counts.append(got["c"].to_numpy(np.int64))
     keys, counts = (np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -212,7 +212,7 @@ def _links(pairs: DataFrame, documents: DataFrame, weights, least: float) -> Dat
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = written(_texts(documents, needed))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(weights, least), "a long, b long"))
+    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_similar(weights, least)), "a long, b long"))
 
 
 def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
@@ -222,7 +222,7 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     weights = spark.sparkContext.broadcast(Weights(*common_shingles(texts)))
-    rows = written(texts.select(F.xxhash64("text").alias("node"), "doc_id", "text").mapInArrow(_signed(weights), f"node long, doc_id {kind}, sum double, bands array<long>, signature array<int>"))
+    rows = written(texts.select(F.xxhash64("text").alias("node"), "doc_id", "text").mapInArrow(trimmed(_signed(weights)), f"node long, doc_id {kind}, sum double, bands array<long>, signature array<int>"))
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("sum", "bands", "signature")).alias("s")).select("node", "doc_id", "s.*"))
     entries = nodes.select("node", "sum", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -254,7 +254,7 @@ def _residual(met: DataFrame, parts: DataFrame, texts: DataFrame, weights, least
     apart = written(full.join(bulk, ["band", "key"]))
     # only nodes whose short signatures leave a pair open get longer ones and bring their shingles
     open_ = written(_blocks(apart, []).applyInArrow(_block_open(least), "node long").distinct())
-    ready = written(_texts(texts, open_).mapInArrow(_prepared(weights), "node long, long binary, keys binary, values binary"))
+    ready = written(_texts(texts, open_).mapInArrow(trimmed(_prepared(weights)), "node long, long binary, keys binary, values binary"))
     return _blocks(apart.join(ready, "node"), ["long", "keys", "values"]).applyInArrow(_block_links(least), "a long, b long").distinct()
 
 

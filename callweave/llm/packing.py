@@ -23,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import bounded_batches, shuffle_partitions, written
+from callweave.llm.common import bounded_batches, shuffle_partitions, trimmed, written
 from callweave.llm.textblocks import LET_GO
 
 CAPACITY, CLOSING = 4096, 1
@@ -123,7 +123,7 @@ def pieces(documents: DataFrame, tokenizer: str) -> DataFrame:
                 columns = zip(*out, strict=True) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _PIECES)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(cut), _PIECES)
 
 
 def _runs(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:

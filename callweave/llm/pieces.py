@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import bounded_batches
+from callweave.llm.common import bounded_batches, trimmed
 from callweave.llm.textblocks import mixed
 
 SAMPLES, SHARPNESS = 3, 1.0
@@ -377,7 +377,7 @@ def sampled(documents: DataFrame, model: str, k: int = SAMPLES, key: str = "doc_
 
     source = documents.select(F.col(key).alias("key"), F.xxhash64(key).alias("seed"), F.col("text").cast("string").alias("text"))
     schema = f"key {kind}, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return source.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return source.mapInArrow(trimmed(run), schema).withColumnRenamed("key", key)
 
 
 def _log_inclusion(log_p: float, threshold: float) -> float:

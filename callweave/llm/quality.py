@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import bounded_batches, crc_fold
+from callweave.llm.common import bounded_batches, crc_fold, trimmed
 from callweave.llm.textblocks import mixed, word_slices
 
 BITS = 18
@@ -107,8 +107,8 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1
         .limit(train_rows)
     )
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sparse = texts.select(F.xxhash64("doc_id").alias("key"), "label", "text").mapInArrow(_sparse, "key long, label double, slots binary, values binary")
-    row = sparse.repartition(1).sortWithinPartitions("key", "label", "slots").mapInArrow(_fit, "w binary").collect()
+    sparse = texts.select(F.xxhash64("doc_id").alias("key"), "label", "text").mapInArrow(trimmed(_sparse), "key long, label double, slots binary, values binary")
+    row = sparse.repartition(1).sortWithinPartitions("key", "label", "slots").mapInArrow(trimmed(_fit), "w binary").collect()
     return np.frombuffer(row[0]["w"], np.float32) if row else np.zeros((1 << BITS) + 1, np.float32)
 
 
@@ -133,7 +133,7 @@ def score(documents: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFra
 
     source = documents.select(*[documents[c].alias(n) for c, n in zip(keep, names, strict=True)], *([] if carried else [documents["text"].cast("string").alias("t")]))
     schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, source.schema.fields, strict=False)), "score double"])
-    out = source.mapInArrow(scored, schema)
+    out = source.mapInArrow(trimmed(scored), schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "score")
 
 
