@@ -16,8 +16,10 @@ text. Empty table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import heapq
+import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ from callweave.llm.textblocks import mixed
 
 SAMPLES, SHARPNESS = 3, 1.0
 SLICE_CHARS = 1 << 21
-_MASK = (1 << 64) - 1
+_MASK, _TOP_BITS, _SPREAD = (1 << 64) - 1, 20, np.uint64(0x9E3779B97F4A7C15)
 _BLANK = "▁"
 
 
@@ -51,13 +53,34 @@ class Vocabulary:
         self.breaks = "".join(c for c in "\n\t\r" if c not in joined)
         # all prefixes of pieces by hash; those that are no piece have no id
         starts = {p[:n]: -1 for p in self.pieces for n in range(1, len(p))} | self.pieces
-        hashes = np.array([_hash_of(p) for p in starts], np.uint64)
+        hashes = np.array([_hash_of(p) for p in starts], np.uint64) * _SPREAD
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(list(starts.values()))[order]
+        # first place of each value of a hash's top bits; few hashes share them
+        top = self.hashes >> np.uint64(64 - _TOP_BITS)
+        self.first = np.searchsorted(top, np.arange((1 << _TOP_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+        self.crowd = int(np.diff(self.first).max())
         scores = np.array([self.processor.get_score(int(i)) if i >= 0 else 0.0 for i in self.ids])
         self.weights = -SHARPNESS * np.log(2 + np.minimum(-np.minimum(scores, 0), size))
         self.byte_weight = -SHARPNESS * math.log(2 + size)
 
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each hash is known, its place)."""
+        value, last = value * _SPREAD, len(self.hashes) - 1
+        at = np.minimum(self.first.take((value >> np.uint64(64 - _TOP_BITS)).view(np.int64)), last)
+        hit = self.hashes.take(at) == value
+        miss = np.flatnonzero(~hit)
+        for _ in range(self.crowd - 1):
+            more = np.minimum(at[miss] + 1, last)
+            go = self.hashes.take(more) >> np.uint64(64 - _TOP_BITS) == value[miss] >> np.uint64(64 - _TOP_BITS)
+            miss, more = miss[go], more[go]
+            if not len(miss):
+                break
+            at[miss] = more
+            hit[miss] = self.hashes.take(more) == value[miss]
+            miss = miss[~hit[miss]]
+        return hit, at
+
     def split(self, text: str) -> list[str]:
         """Words whose lattices make up the text's; each blank is the mark at a word's start, and the text gets one before it."""
         if not text:
@@ -108,8 +131,7 @@ class Lattices:
             go = chars[alive + k] != 0
             alive, value = alive[go], value[go]
             value = value * np.uint64(0x100000001B3) + chars[alive + k] + np.uint64(0x9E3779B97F4A7C15)
-            at = np.minimum(np.searchsorted(vocabulary.hashes, value), len(vocabulary.hashes) - 1)
-            go = vocabulary.hashes[at] == value
+            go, at = vocabulary.find(value)
             alive, value, at = alive[go], value[go], at[go]
             if not len(alive):
                 break
@@ -128,6 +150,7 @@ class Lattices:
         self.has_bare = np.zeros(len(words), bool)
         self.has_bare[np.searchsorted(self.base, bare[chars[bare] >= 0x80], "right") - 1] = True
         behind = np.zeros(n + wide + 1)
+        self.log_chance, self.upto = np.empty((n, wide), np.float32), np.empty((n, wide), np.float32)  # rows of words' ends stay unset
         longest = int(self.lengths[0]) if len(words) else 0
         counts = np.searchsorted(-self.lengths, -np.arange(longest), "left")
         steps = np.arange(1, wide + 1)
@@ -136,17 +159,17 @@ class Lattices:
             own = weight[node] + behind[node[:, None] + steps]
             top = own.max(1)
             own -= top[:, None]
-            np.exp(own, out=own)
-            total = own.sum(1)
-            behind[node] = top + np.log(total)
-            weight[node] = own / total[:, None]
-        weight[chars == 0] = 0
-        with np.errstate(divide="ignore"):
-            self.log_chance = np.log(weight).astype(np.float32)
-        self.upto = np.cumsum(weight, axis=1, out=weight).astype(np.float32)
+            chance = np.exp(own)
+            total = chance.sum(1)
+            log_total = np.log(total)
+            behind[node] = top + log_total
+            own -= log_total[:, None]
+            chance /= total[:, None]
+            self.log_chance[node] = own
+            self.upto[node] = np.cumsum(chance, axis=1, out=chance)
         self.upto[np.arange(n), self.upto.argmax(1)] = 2
 
-    def chances(self, node: int) -> np.ndarray:
+    def chances(self, node) -> np.ndarray:
         return np.exp(self.log_chance[node].astype(np.float64))
 
     def walk(self, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -249,20 +272,20 @@ class _Search:
             _, parent, token = what
             ids, sizes = self.samples[parent].path(token)
             before = float(self.samples[parent].log_p[:token].sum())
-            node, log_path, sets = int(self.lattices.base[self.words[token]]), 0.0, []
-            for j, size in enumerate(sizes):
-                chances = self.lattices.chances(node)
-                chance = float(chances[size - 1])
-                chances[size - 1] = 0
-                rest = float(chances.sum())
+            base, log_path, sets = int(self.lattices.base[self.words[token]]), 0.0, []
+            nodes = list(itertools.accumulate(sizes[:-1], initial=base))
+            chances, steps = self.lattices.chances(nodes), (range(len(sizes)), [size - 1 for size in sizes])
+            taken_chances = chances[steps].tolist()
+            chances[steps] = 0
+            for j, (size, node, chance, rest) in enumerate(zip(sizes, nodes, taken_chances, chances.sum(1).tolist(), strict=True)):
                 if rest > 1e-15:
                     sets.append((log_path + math.log(rest), ids[:j], sizes[:j], node, (size - 1,), log_path))
                 log_path += math.log(chance)
-                node += size
             if not sets:
                 return self.open()
-            masses = np.exp(np.array([s[0] for s in sets]) - max(s[0] for s in sets))
-            chosen = min(int((np.cumsum(masses) <= self.draw() * masses.sum()).sum()), len(sets) - 1)
+            most = max(s[0] for s in sets)
+            masses = list(itertools.accumulate(math.exp(s[0] - most) for s in sets))
+            chosen = min(bisect.bisect_right(masses, self.draw() * masses[-1]), len(sets) - 1)
             for j, s in enumerate(sets):
                 if j != chosen:
                     self.push(_below(before + s[0], bound, self.draw()), "node", parent, token, before, *s[1:])
@@ -274,9 +297,13 @@ class _Search:
         while node < end:
             chance = self.lattices.chances(node)
             chance[list(taken)] = 0
-            k = min(int((np.cumsum(chance) <= self.draw() * chance.sum()).sum()), int(np.flatnonzero(chance)[-1]))
-            own, chance[k] = float(chance[k]), 0
-            rest = float(chance.sum())
+            chance = chance.tolist()
+            upto = list(itertools.accumulate(chance))
+            k = bisect.bisect_right(upto, self.draw() * upto[-1])
+            if k == len(upto):  # a draw rounded up to the whole: the last edge there is
+                k = max(i for i, c in enumerate(chance) if c)
+            own, chance[k] = chance[k], 0.0
+            rest = sum(chance)
             if rest > 1e-15:
                 self.push(_below(before + log_path + math.log(rest), bound, self.draw()), "node", parent, token, before, tuple(ids), tuple(sizes), node, (*taken, k), log_path)
             ids.append(int(self.lattices.ids[node, k]))
@@ -290,7 +317,7 @@ class _Search:
 def top_k(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int = SAMPLES) -> list[tuple[list[Sample], float, np.ndarray]]:
     """For each text its samples, best perturbed first, the threshold, and the bytes of characters without a piece, by sample (see ids_of)."""
     split = [vocabulary.split(t) for t in texts]
-    distinct = {w: i for i, w in enumerate(dict.fromkeys(w for own in split for w in own))}
+    distinct = {w: i for i, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(split)))}
     lattices = Lattices(list(distinct), vocabulary)
     get = distinct.__getitem__
     words = [lattices.rank[np.fromiter(map(get, own), np.int64, len(own))] for own in split]
