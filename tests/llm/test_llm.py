@@ -243,3 +243,27 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {r["doc_id"] for r in kept.collect()}
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "personal_data", "packing"]
+
+
+def test_pieces_are_found_by_hash():
+    vocabulary = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    known = {p[:n] for p in list(vocabulary.pieces)[::50] for n in range(1, len(p) + 1)}
+    unknown = [p + "\u0000\u0001" for p in list(vocabulary.pieces)[::50]]
+    hashes = np.array([pieces._hash_of(t) for t in [*known, *unknown]], np.uint64)
+    hit, at = vocabulary.find(hashes)
+    assert hit.tolist() == [True] * len(known) + [False] * len(unknown)
+    assert [int(vocabulary.ids[i]) for i in at[: len(known)]] == [vocabulary.pieces.get(t, -1) for t in known]
+
+
+def test_batches_are_bounded_unless_the_session_says_otherwise(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        common.bounded_batches(spark)
+        assert spark.conf.get(name) == str(common.BATCH_BYTES)
+        spark.conf.set(name, "123456")
+        common.bounded_batches(spark)
+        assert spark.conf.get(name) == "123456"
+    finally:
+        spark.conf.set(name, before or str(common.BATCH_BYTES))
