@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding, and sampling of distinct segmentations without replacement by Gumbel top-k.
 
-The lattice of a text is the chain of its words' lattices, as no piece goes across a blank (or a character that stands in no longer piece). Edges are
+The lattice of a text is the chain of its words' lattices, cut only where no piece goes across: before a blank, unless some piece has that blank after the
+character before it (as in runs of blanks, which stay with the word after them), and at characters that stand in no longer piece. Edges are
 the vocabulary's pieces; a character without a piece is the edge of its bytes. The model is one of merges, whose scores are ranks, so a piece's
 log-weight is -SHARPNESS * ln(rank + 2), Zipf's law. A backward sum over each lattice gives every edge its probability.
 
@@ -21,6 +22,7 @@ import functools
 import heapq
 import itertools
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -51,6 +53,10 @@ class Vocabulary:
         joined = {c for p in self.pieces if len(p) > 1 for c in p}
         #: Line ends and other characters inside texts at which lattices fall apart.
         self.breaks = "".join(c for c in "\n\t\r" if c not in joined)
+        #: Characters that some piece has before a blank; after these a blank is no cut.
+        held = {a for p in self.pieces for a, b in itertools.pairwise(p) if b == _BLANK}
+        self.held_apart = held <= {_BLANK}
+        self.cut = re.compile(f"(?<![{re.escape(''.join(sorted(held)))}])(?={_BLANK})(?!^)" if held else f"(?={_BLANK})(?!^)")
         # all prefixes of pieces by hash; those that are no piece have no id
         starts = {p[:n]: -1 for p in self.pieces for n in range(1, len(p))} | self.pieces
         hashes = np.array([_hash_of(p) for p in starts], np.uint64) * _SPREAD
@@ -85,7 +91,10 @@ class Vocabulary:
         """Words whose lattices make up the text's; each blank is the mark at a word's start, and the text gets one before it."""
         if not text:
             return []
-        words = (_BLANK + text.replace(" ", " " + _BLANK)).split(" ")
+        if self.held_apart and "  " not in text and text[0] != " " and _BLANK not in text:
+            words = (_BLANK + text.replace(" ", " " + _BLANK)).split(" ")
+        else:
+            words = self.cut.split(_BLANK + text.replace(" ", _BLANK))
         for c in self.breaks:
             if c in text:
                 words = [p for w in words for p in ((w,) if c not in w else _parted(w, c))]

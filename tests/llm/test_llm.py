@@ -267,3 +267,24 @@ def test_batches_are_bounded_unless_the_session_says_otherwise(spark):
         assert spark.conf.get(name) == "123456"
     finally:
         spark.conf.set(name, before or str(common.BATCH_BYTES))
+
+
+@pytest.mark.parametrize("text", ["a  b", "  a", "a  ", "\n    b", "a▁ b", "   "])
+def test_samples_are_all_segmentations_across_runs_of_blanks(text):
+    v = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    marked, weight = "▁" + text.replace(" ", "▁"), dict(zip(v.ids.tolist(), v.weights.tolist(), strict=True))
+
+    def all_from(at):
+        if at == len(marked):
+            return [((), 0.0)]
+        own = [(v.pieces[marked[at:end]], end, weight[v.pieces[marked[at:end]]]) for end in range(at + 1, len(marked) + 1) if marked[at:end] in v.pieces]
+        if marked[at] not in v.pieces:
+            own.append((v.first_byte + ord(marked[at]), at + 1, v.byte_weight))
+        return [((i, *ids), w + more) for i, end, w in own for ids, more in all_from(end)]
+
+    want = dict(all_from(0))
+    total = math.log(sum(map(math.exp, want.values())))
+    (samples, threshold, bare), = pieces.top_k([text], np.array([5], np.uint64), v, len(want) + 3)
+    got = {tuple(pieces.ids_of(s, bare, v).tolist()): float(s.log_p.sum()) for s in samples}
+    assert set(got) == set(want) and tuple(v.processor.encode(text)) in got and threshold == -math.inf
+    assert all(got[i] == pytest.approx(want[i] - total, abs=1e-4) for i in want)
