@@ -11,6 +11,8 @@ the agenda holds the next sample. It is opened along sampled edges, on which the
 a set whose bound is drawn below that one. All nodes of an untouched word share a set until that is opened. The k samples are thus k draws without
 replacement; the bound left on top, the threshold, gives the probability that a segmentation is among them. Draws depend on the row's key alone.
 
+coded() has the samples with their ids and the model's own encoding, each decoded again; encode() and decode() are the operators for any table.
+
 Cases. Null or empty text: one segmentation, without pieces. Fewer than k segmentations: all there are. Repeated rows, or null keys: the same draws for the same key and
 text. Empty table: no rows. Other columns are ignored.
 """
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callweave.llm.common import bounded_batches, trimmed
 from callweave.llm.textblocks import mixed
@@ -381,8 +384,8 @@ def ids_of(sample: Sample, bare: np.ndarray, vocabulary: Vocabulary) -> np.ndarr
     return np.concatenate([*out, sample.ids[at:]]).astype("<u4")
 
 
-def sampled(documents: DataFrame, model: str, k: int = SAMPLES, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """key, sample (from 1), n_pieces, log_prob, perturbed, log_inclusion, ids_crc32 and, if asked for, ids of up to k distinct segmentations of each text."""
+def sampled(documents: DataFrame, model: str, k: int = SAMPLES, key: str = "doc_id", with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """key, sample (from 1), n_pieces, log_prob, perturbed, log_inclusion, ids_crc32 and, if asked for, ids and the text of up to k distinct segmentations of each text."""
     bounded_batches(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
 
@@ -407,15 +410,39 @@ def sampled(documents: DataFrame, model: str, k: int = SAMPLES, key: str = "doc_
                 arrays = [batch.column(0).take(pa.array(columns[0], pa.int64()))]
                 arrays += [pa.array(c, t) for c, t in zip(columns[1:7], (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
                 if with_ids:
-                    arrays.append(pa.array([i.tolist() for i in columns[7]], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", *(["ids"] if with_ids else [])])
+                    arrays.append(_lists(columns[7]))
+                names = ["key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", *(["ids"] if with_ids else []), *(["text"] if with_text else [])]
+                if not with_text:
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+                # with their texts, rows go in parts
+                for part in _parts([len(texts[d]) for d in columns[0]]) if with_text else ():
+                    text = batch.column(2).take(pa.array(columns[0][part], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*(a.slice(part.start, part.stop - part.start) for a in arrays), text], names=names)
                 lo = hi
 
     source = documents.select(F.col(key).alias("key"), F.xxhash64(key).alias("seed"), F.col("text").cast("string").alias("text"))
-    schema = f"key {kind}, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    schema = f"key {kind}, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long" + (", ids array<int>" if with_ids else "") + (", text string" if with_text else "")
     return source.mapInArrow(trimmed(run), schema).withColumnRenamed("key", key)
 
 
+def _lists(ids) -> pa.Array:
+    """Arrays of ids as one column."""
+    ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)))
+
+
+def _parts(sizes: list[int]) -> Iterator[slice]:
+    """Rows in turn, of SLICE_CHARS together; a longer one goes alone."""
+    lo = 0
+    while lo < len(sizes):
+        hi, size = lo, 0
+        while hi < len(sizes) and (hi == lo or size + sizes[hi] <= SLICE_CHARS):
+            size += sizes[hi]
+            hi += 1
+        yield slice(lo, hi)
+        lo = hi
+
+
 def _log_inclusion(log_p: float, threshold: float) -> float:
     """ln(1 - exp(-exp(log_p - threshold)))."""
     if threshold == -math.inf:
@@ -434,3 +461,41 @@ def encoded(texts: list[str], vocabulary: Vocabulary) -> list[list[int]]:
 
 def decoded(ids: list[list[int]], vocabulary: Vocabulary) -> list[str]:
     return [vocabulary.processor.decode(i) for i in ids]
+
+
+def _with(table: DataFrame, model: str, field: T.StructField, source: str, make) -> DataFrame:
+    """The table's columns and one made of a column's values."""
+    bounded_batches(table.sparkSession)
+    at = table.columns.index(source)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(at), vocabulary)], names=[*batch.schema.names, field.name])
+
+    return table.mapInArrow(trimmed(run), T.StructType([*table.schema.fields, field]))
+
+
+def coded(documents: DataFrame, model: str, k: int = SAMPLES, key: str = "doc_id") -> DataFrame:
+    """The rows of sampled() with their ids, and a row of the model's own encoding as sample 0, which is no draw and has neither probabilities nor a digest;
+    gives_text tells whether the decoded ids are the text (they aren't where the text holds the blank's mark itself, which decodes to a blank)."""
+    texts = documents.select(key, F.col("text").cast("string").alias("text"))
+    own = encode(texts, model).select(key, F.lit(0).alias("sample"), F.size("ids").cast("long").alias("n_pieces"), "ids", "text")
+    both = sampled(texts, model, k, key, with_ids=True, with_text=True).unionByName(own, allowMissingColumns=True)
+    return decode(both, model).withColumn("gives_text", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("text", "decoded")
+
+
+def encode(table: DataFrame, model: str, text: str = "text", name: str = "ids") -> DataFrame:
+    """The table's columns and the model's own ids of the text; null text counts as empty."""
+    return _with(table, model, T.StructField(name, T.ArrayType(T.IntegerType())), text, lambda texts, vocabulary: _lists(encoded([t or "" for t in texts.to_pylist()], vocabulary)))
+
+
+def decode(table: DataFrame, model: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
+    """The table's columns and the text that the ids stand for; null ids give a null."""
+
+    def run(column, vocabulary: Vocabulary) -> pa.Array:
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        texts = (None if none else vocabulary.processor.decode(values[lo:hi].tolist()) for none, lo, hi in zip(column.is_null().to_pylist(), ends[:-1], ends[1:], strict=True))
+        return pa.array(texts, pa.string())
+
+    return _with(table, model, T.StructField(name, T.StringType()), ids, run)

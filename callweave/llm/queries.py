@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.sampled(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.coded(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,3 +288,19 @@ def test_samples_are_all_segmentations_across_runs_of_blanks(text):
     got = {tuple(pieces.ids_of(s, bare, v).tolist()): float(s.log_p.sum()) for s in samples}
     assert set(got) == set(want) and tuple(v.processor.encode(text)) in got and threshold == -math.inf
     assert all(got[i] == pytest.approx(want[i] - total, abs=1e-4) for i in want)
+
+
+def test_op1_returns_ids_of_samples_and_encoding_that_decode_to_the_text(spark):
+    v = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op1_sample_pieces(spark, SF).collect()
+    assert Counter(r["doc_id"] for r in rows if r["sample"]) == dict.fromkeys(texts, 3) and all(r["gives_text"] for r in rows)
+    assert {r["doc_id"]: r["ids"] for r in rows if r["sample"] == 0} == {i: v.processor.encode(t) for i, t in texts.items()}
+    for r in rows:
+        assert len(r["ids"]) == r["n_pieces"] and v.processor.decode(r["ids"]) == texts[r["doc_id"]]
+        assert r["sample"] == 0 or zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+    assert len({(r["doc_id"], tuple(r["ids"])) for r in rows if r["sample"]}) == 3 * len(texts)
+    odd = pieces.coded(_documents(spark, [*ODD, (8, "a▁b"), (9, "é\n\n   x\t ")]), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert {r["doc_id"] for r in odd if not r["gives_text"]} == {8} and {r["doc_id"] for r in odd if r["sample"] == 0} == {i for i, _ in ODD} | {8, 9}
+    back = pieces.decode(pieces.encode(_documents(spark, ODD), public_tokenizers.path("piece_bpe_32k.model")), public_tokenizers.path("piece_bpe_32k.model"))
+    assert all(r["decoded"] == (r["text"] or "") for r in back.collect())
