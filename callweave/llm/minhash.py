@@ -12,7 +12,8 @@ and compared too, in blocks that emit links only, unless the sums of weights or
 fails that test once in some 500 times). So no bucket's pairs are ever listed, and a node is left apart only if it was held against all it met.
 
 Cases. Null text counts as empty. Texts without words link with nothing and are kept. A text of one to four words is one shingle. Rows that repeat both id and text are one
-document; rows without id have a class of their own text and no class_id, unless the class has an id. Empty table: no rows. Other columns are ignored.
+document; one id with several texts is several documents, and of those with the smallest id of a class the one of the smallest text hash stays.
+Rows without id have a class of their own text and no class_id, unless the class has an id. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -216,7 +217,7 @@ def _links(pairs: DataFrame, documents: DataFrame, weights, least: float) -> Dat
 
 
 def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id and class_id, the smallest id of the class, of every row; rows in the order of no column."""
+    """doc_id, node, class_id, the smallest id of the class, and class_node, the node of that id that stays, of every row; rows in the order of no column."""
     spark = documents.sparkSession
     bounded_batches(spark)
     texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -238,10 +239,11 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     more = written(_residual(nodes.select("node", "signature").join(met.drop("n"), "node"), parts, texts, weights, least))
     parts = written(components(found.unionByName(more))) if more.head(1) else parts
     named = nodes.join(parts, F.col("node") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    ids = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    by_node = named.join(ids, "component").select("node", "class_id")
-    out = rows.select("node", "doc_id").join(by_node, "node").select("doc_id", "class_id")
-    empty = texts.where(~F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"))
+    ids = named.groupBy("component").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))).alias("first"))
+    by_node = named.join(ids, "component").select("node", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("class_node"))
+    out = rows.select("node", "doc_id").join(by_node, "node").select("doc_id", "node", "class_id", "class_node")
+    node = F.xxhash64("text")
+    empty = texts.where(~F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id", node.alias("node"), F.col("doc_id").alias("class_id"), node.alias("class_node"))
     return out.unionByName(empty)
 
 
@@ -362,16 +364,23 @@ def _block_links(least: float) -> object:
     return run
 
 
+def _judged(documents: DataFrame, least: float) -> DataFrame:
+    """classes() and kept: whether the row's document, its id and text, is the one of its class that stays."""
+    same = (F.col("doc_id") == F.col("class_id")) & (F.col("node") == F.col("class_node"))
+    return classes(documents, least).withColumn("kept", F.col("doc_id").isNull() | F.coalesce(same, F.lit(False)))
+
+
 def near_duplicates(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id and kept: whether the row's document is the one of its class that stays (rows without id always stay)."""
-    return classes(documents, least).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return _judged(documents, least).select("doc_id", "class_id", "kept")
 
 
 def deduplicated(documents: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents that stay, one of each class, with all their columns."""
-    gone = near_duplicates(documents, least).where(~F.col("kept")).select("doc_id").distinct()
-    stay = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    """The documents that stay, one of each class, with all their columns; rows that repeat id and text are one."""
+    gone = _judged(documents, least).where(~F.col("kept")).select("doc_id", F.col("node").alias("_node")).distinct()
+    node = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_node")
+    stay = documents.select("*", node).join(gone, ["doc_id", "_node"], "left_anti")
     ids = documents.where("doc_id is not null").select("doc_id")
-    if ids.count() == ids.distinct().count():
-        return stay
-    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))
+    if ids.count() != ids.distinct().count():
+        stay = stay.where("doc_id is not null").dropDuplicates(["doc_id", "_node"]).unionByName(stay.where("doc_id is null"))
+    return stay.select(*documents.columns)

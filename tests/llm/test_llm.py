@@ -304,3 +304,20 @@ def test_op1_returns_ids_of_samples_and_encoding_that_decode_to_the_text(spark):
     assert {r["doc_id"] for r in odd if not r["gives_text"]} == {8} and {r["doc_id"] for r in odd if r["sample"] == 0} == {i for i, _ in ODD} | {8, 9}
     back = pieces.decode(pieces.encode(_documents(spark, ODD), public_tokenizers.path("piece_bpe_32k.model")), public_tokenizers.path("piece_bpe_32k.model"))
     assert all(r["decoded"] == (r["text"] or "") for r in back.collect())
+
+
+def test_deduplicated_decides_by_row_where_ids_repeat(spark):
+    rng = np.random.default_rng(8)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 200)) for _ in range(6)]
+    near = [t + " end" for t in base]
+    rows = [(1, base[0]), (1, base[1]), (1, base[1]), (2, near[0]), (2, base[2]), (3, base[3]), (3, near[3]), (4, near[2]), (None, base[4]), (5, ""), (5, " "), (5, None), (6, base[5])]
+    docs = _documents(spark, rows).withColumn("rank", F.lit("z"))
+    out = minhash.deduplicated(docs)
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"] or "") for r in out.collect())
+    assert {n for n in got.values()} == {1}
+    three = [t for i, t in got if i == 3]
+    assert len(three) == 1 and three[0] in (base[3], near[3])
+    assert {k for k in got if k[0] != 3} == {(1, base[0]), (1, base[1]), (2, base[2]), (None, base[4]), (5, ""), (5, " "), (6, base[5])}
+    kept = [r["kept"] for r in minhash.near_duplicates(docs).collect()]
+    assert len(kept) == len(rows) and kept.count(False) == 3
