@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, a temporary one is set, but on a local master only: executors elsewhere would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.conf.get("callweave.scratch.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="callweave-")
         spark.conf.set("callweave.scratch.dir", named)
     return named.rstrip("/")
@@ -81,17 +83,18 @@ def crc_fold(column, folds: int):
     return F.coalesce(F.crc32(column.cast("string")) % folds, F.lit(0))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph.
 
     edges: columns a, b (long). Nulls and loops are ignored, repeated edges allowed. Returns one row (id, component) for each end of an
     edge; component is the smallest id reachable. Alternates the large-star and small-star steps, each a minimum by key and a join, until the
-    edges no longer change; every round is a written table. No group is gathered: a hot node costs one row for each of its edges.
+    edges no longer change, which they do after a number of rounds that grows with the logarithm of the graph; every round is a written table. Least
+    neighbours are found with partial aggregation, so a hot node isn't gathered; in the joins with them adaptive execution splits its edges.
     """
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     now = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(now)
-    for _ in range(most_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -104,8 +107,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now, before, mark = after, mark, _mark(after)
         if mark == before:
             break
-    else:
-        raise RuntimeError("the components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component"))
     ).groupBy("id").agg(F.min("component").alias("component"))

@@ -9,7 +9,7 @@ Equal texts are one node, named by the hash of the text. A node's signature has
 is paired with the smallest one and with the one that meets the most nodes in all; pairs are compared by their whole texts, links joined to components. Then, in
 buckets whose nodes still lie in several components, each node outside the bucket's largest component is paired with all those of other components,
 and compared too, in blocks that emit links only, unless the sums of weights or longer signatures of those nodes rule it out (a pair at the threshold
-fails that test once in some 500 times). So no bucket's pairs are ever listed, and a node is left apart only if it was held against all it met.
+fails that test once in some 100,000 times; it shares no band once in 600). So no bucket's pairs are ever listed, and a node is left apart only if it was held against all it met.
 
 Cases. Null text counts as empty. Texts without words link with nothing and are kept. A text of one to four words is one shingle. Rows that repeat both id and text are one
 document; one id with several texts is several documents, and of those with the smallest id of a class the one of the smallest text hash stays.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import bounded_batches, components, trimmed, written
+from callweave.llm.common import bounded_batches, components, dropped, trimmed, written
 from callweave.llm.textblocks import grams, mixed, word_slices
 
 SHINGLE, LEAST = 5, 0.8
@@ -35,10 +35,12 @@ COMMON, SPAN = 0.001, 0.1
 #: Documents of a chunk in which candidates for common shingles are looked for; and candidates counted in one pass.
 CHUNK_DOCUMENTS, PASS_CANDIDATES = 8000, 1_000_000
 #: Samples that two signatures, and two of LONG samples, must share before residual pairs are compared.
-AGREE, LONG, LONG_AGREE = 14, 128, 89
+AGREE, LONG, LONG_AGREE = 12, 128, 80
 #: Nodes of either side of a block of a bucket.
 BLOCK_OTHERS, BLOCK_NODES = 128, 512
 CALL_ROWS = 2000
+#: A text that this share of all rows repeats is not dealt by its hash.
+HOT = 0.0005
 _BLOCK = ["band", "key", "bx", "by"]
 
 
@@ -202,18 +204,24 @@ def _similar(weights, least: float) -> object:
     return run
 
 
-def _texts(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and text of the nodes."""
-    return documents.select(F.xxhash64("text").alias("node"), "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+def _texts(documents: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
+    """node and text of the needed nodes, each from the row of its smallest id, so the copies of a text are dealt by their ids and never meet."""
+    first = nodes.select("node", "doc_id").join(needed, "node", "left_semi").select(F.col("node").alias("_n"), F.col("doc_id").alias("_d"))
+    own = documents.select(F.xxhash64("text").alias("node"), "doc_id", "text")
+    one = own.join(first, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    return one.groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _links(pairs: DataFrame, documents: DataFrame, weights, least: float) -> DataFrame:
+def _links(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, weights, least: float) -> DataFrame:
     """The pairs (a, b) of nodes that are similar; a written table. Each node's text is read once, then goes to its pairs."""
     pairs = written(pairs)
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = written(_texts(documents, needed))
+    texts = written(_texts(documents, nodes, needed))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_similar(weights, least)), "a long, b long"))
+    out = written(both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_similar(weights, least)), "a long, b long"))
+    dropped(texts)
+    dropped(pairs)
+    return out
 
 
 def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
@@ -224,7 +232,7 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     kind = texts.schema["doc_id"].dataType.simpleString()
     weights = spark.sparkContext.broadcast(Weights(*common_shingles(texts)))
     rows = written(texts.select(F.xxhash64("text").alias("node"), "doc_id", "text").mapInArrow(trimmed(_signed(weights)), f"node long, doc_id {kind}, sum double, bands array<long>, signature array<int>"))
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("sum", "bands", "signature")).alias("s")).select("node", "doc_id", "s.*"))
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("sum", "bands", "signature")).alias("s")).select("node", "doc_id", "copies", "s.*"))
     entries = nodes.select("node", "sum", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = written(entries.join(shared, ["band", "key"]))
@@ -234,20 +242,24 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     near = lambda one, two: F.least(one, two) >= (least - 1e-9) * F.greatest(one, two)
     ended = met.join(ends, ["band", "key"]).select("node", "sum", F.explode(F.array_distinct(F.array("low", "hub"))).alias("e")).where((F.col("node") != F.col("e.node")) & near(F.col("sum"), F.col("e.sum")))
     first = ended.select(F.least("node", "e.node").alias("a"), F.greatest("node", "e.node").alias("b")).distinct()
-    found = _links(first, texts, weights, least)
+    found = _links(first, texts, nodes, weights, least)
     parts = written(components(found))
-    more = written(_residual(nodes.select("node", "signature").join(met.drop("n"), "node"), parts, texts, weights, least))
+    more = written(_residual(nodes.select("node", "signature").join(met.drop("n"), "node"), parts, texts, nodes, weights, least))
     parts = written(components(found.unionByName(more))) if more.head(1) else parts
     named = nodes.join(parts, F.col("node") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     ids = named.groupBy("component").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))).alias("first"))
     by_node = named.join(ids, "component").select("node", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("class_node"))
-    out = rows.select("node", "doc_id").join(by_node, "node").select("doc_id", "node", "class_id", "class_node")
+    # texts with many copies, 1 / HOT at most, go to all tasks, so their copies stay where they are
+    many = F.broadcast(nodes.where(F.col("copies") >= F.lit(HOT * rows.count())).select("node"))
+    own = rows.select("node", "doc_id")
+    out = own.join(many, "node", "left_anti").join(by_node, "node").unionByName(own.join(F.broadcast(by_node.join(many, "node", "left_semi")), "node"))
+    out = out.select("doc_id", "node", "class_id", "class_node")
     node = F.xxhash64("text")
     empty = texts.where(~F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id", node.alias("node"), F.col("doc_id").alias("class_id"), node.alias("class_node"))
     return out.unionByName(empty)
 
 
-def _residual(met: DataFrame, parts: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
+def _residual(met: DataFrame, parts: DataFrame, texts: DataFrame, nodes: DataFrame, weights, least: float) -> DataFrame:
     """Links between nodes that meet in a bucket and lie in different components, one of them outside the bucket's largest component."""
     full = met.join(parts, F.col("node") == F.col("id"), "left").select("band", "key", "node", "sum", "signature", F.coalesce("component", "node").alias("component"))
     sizes = full.groupBy("band", "key", "component").count()
@@ -256,8 +268,8 @@ def _residual(met: DataFrame, parts: DataFrame, texts: DataFrame, weights, least
     apart = written(full.join(bulk, ["band", "key"]))
     # only nodes whose short signatures leave a pair open get longer ones and bring their shingles
     open_ = written(_blocks(apart, []).applyInArrow(_block_open(least), "node long").distinct())
-    ready = written(_texts(texts, open_).mapInArrow(trimmed(_prepared(weights)), "node long, long binary, keys binary, values binary"))
-    return _blocks(apart.join(ready, "node"), ["long", "keys", "values"]).applyInArrow(_block_links(least), "a long, b long").distinct()
+    ready = written(_texts(texts, nodes, open_).mapInArrow(trimmed(_prepared(weights)), "node long, long binary, keys binary, odd binary, values binary"))
+    return _blocks(apart.join(ready, "node"), ["long", "keys", "odd", "values"]).applyInArrow(_block_links(least), "a long, b long").distinct()
 
 
 def _blocks(apart: DataFrame, more: list[str]):
@@ -319,7 +331,7 @@ def _block_open(least: float) -> object:
 
 
 def _prepared(weights) -> object:
-    """Long signature, shingles in order and their weights of each text, as bytes."""
+    """Long signature, shingles in order, and places and weights of those that don't weigh 1 + SPAN, as those do that are rare and stand once, of each text, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,8 +341,12 @@ def _prepared(weights) -> object:
                 long = samples(shingles, weight, starts, LONG).astype(np.int32)
                 order = np.lexsort((shingles, doc))
                 shingles, weight, ends = shingles[order], weight[order], np.append(starts[1:], len(doc))
-                parts = [(row.tobytes(), shingles[lo:hi].tobytes(), weight[lo:hi].tobytes()) for row, lo, hi in zip(long, starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[starts] + words.lo)), *(pa.array(list(c), pa.binary()) for c in zip(*parts, strict=True))], names=["node", "long", "keys", "values"])
+                rare = weight != 1 + SPAN
+                parts = [
+                    (row.tobytes(), shingles[lo:hi].tobytes(), np.flatnonzero(rare[lo:hi]).astype(np.int32).tobytes(), weight[lo:hi][rare[lo:hi]].tobytes())
+                    for row, lo, hi in zip(long, starts, ends, strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[starts] + words.lo)), *(pa.array(list(c), pa.binary()) for c in zip(*parts, strict=True))], names=["node", "long", "keys", "odd", "values"])
 
     return run
 
@@ -338,7 +354,13 @@ def _prepared(weights) -> object:
 def _block_links(least: float) -> object:
     def read(table: pa.Table) -> tuple[np.ndarray, list, list]:
         long = np.frombuffer(b"".join(table["long"].to_pylist()), np.int32).reshape(-1, LONG)
-        return long, table["keys"].to_pylist(), table["values"].to_pylist()
+        return long, table["keys"].to_pylist(), list(zip(table["odd"].to_pylist(), table["values"].to_pylist(), strict=True))
+
+    def shingles(keys: bytes, odd: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        own = np.frombuffer(keys, np.uint64)
+        weight = np.full(len(own), 1 + SPAN)
+        weight[np.frombuffer(odd[0], np.int32)] = np.frombuffer(odd[1])
+        return own, weight
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
@@ -351,9 +373,9 @@ def _block_links(least: float) -> object:
                     at = two.open_to(one, j, band, least)
                     if not len(at):
                         continue
-                    keys, values = np.frombuffer(keys_one[row], np.uint64), np.frombuffer(values_one[row])
+                    keys, values = shingles(keys_one[row], values_one[row])
                     for k in at[(long_two[others[at]] == long_one[row]).sum(1) >= LONG_AGREE]:
-                        other, more = np.frombuffer(keys_two[others[k]], np.uint64), np.frombuffer(values_two[others[k]])
+                        other, more = shingles(keys_two[others[k]], values_two[others[k]])
                         place = np.minimum(np.searchsorted(keys, other), len(keys) - 1)
                         hit = keys[place] == other
                         shared = np.minimum(values[place[hit]], more[hit]).sum()
