@@ -74,6 +74,17 @@ def trimmed(task: Callable) -> Callable:
     return run
 
 
+#: A key that this share of all rows has, as 1 / HOT keys at most can, is not dealt by its hash.
+HOT = 0.0005
+
+
+def joined_once(rows: DataFrame, facts: DataFrame, keys: list[str], copies: str = "copies") -> DataFrame:
+    """rows with the one row of facts that has their keys; copies counts a key's rows. Facts of hot keys go to all tasks, so the rows of those stay where they are."""
+    many = facts.where(F.col(copies) >= F.lit(HOT * rows.count()))
+    rest = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(facts, keys)
+    return rest.unionByName(rows.join(F.broadcast(many), keys)).drop(copies)
+
+
 def text_or_empty(df: DataFrame, name: str = "text"):
     return F.coalesce(df[name].cast("string"), F.lit(""))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import bounded_batches, components, dropped, trimmed, written
+from callweave.llm.common import bounded_batches, components, dropped, joined_once, trimmed, written
 from callweave.llm.textblocks import grams, mixed, word_slices
 
 SHINGLE, LEAST = 5, 0.8
@@ -39,8 +39,6 @@ AGREE, LONG, LONG_AGREE = 12, 128, 80
 #: Nodes of either side of a block of a bucket.
 BLOCK_OTHERS, BLOCK_NODES = 128, 512
 CALL_ROWS = 2000
-#: A text that this share of all rows repeats is not dealt by its hash.
-HOT = 0.0005
 _BLOCK = ["band", "key", "bx", "by"]
 
 
@@ -246,13 +244,10 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     parts = written(components(found))
     more = written(_residual(nodes.select("node", "signature").join(met.drop("n"), "node"), parts, texts, nodes, weights, least))
     parts = written(components(found.unionByName(more))) if more.head(1) else parts
-    named = nodes.join(parts, F.col("node") == F.col("id"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    named = nodes.join(parts, F.col("node") == F.col("id"), "left").select("node", "doc_id", "copies", F.coalesce("component", "node").alias("component"))
     ids = named.groupBy("component").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))).alias("first"))
-    by_node = named.join(ids, "component").select("node", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("class_node"))
-    # texts with many copies, 1 / HOT at most, go to all tasks, so their copies stay where they are
-    many = F.broadcast(nodes.where(F.col("copies") >= F.lit(HOT * rows.count())).select("node"))
-    own = rows.select("node", "doc_id")
-    out = own.join(many, "node", "left_anti").join(by_node, "node").unionByName(own.join(F.broadcast(by_node.join(many, "node", "left_semi")), "node"))
+    by_node = named.join(ids, "component").select("node", "copies", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("class_node"))
+    out = joined_once(rows.select("node", "doc_id"), by_node, ["node"])
     out = out.select("doc_id", "node", "class_id", "class_node")
     node = F.xxhash64("text")
     empty = texts.where(~F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id", node.alias("node"), F.col("doc_id").alias("class_id"), node.alias("class_node"))
