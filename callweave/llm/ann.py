@@ -5,8 +5,9 @@ sqrt(m * m - n * n) for the largest norm m; the distance to a query then falls a
 queue, nearest cell first, and visits leaves in that order. How many is calibrated: for a sample of the queries the true neighbours are found by brute
 force over all rows, and visits widen until the stated recall is reached. Large leaves, and leaves with many visitors, are split into blocks.
 
-Cases. Vectors that are null, empty, zero, hold a null or non-finite component or are not of the most common length take no part, nor do rows without id.
-Fewer candidates than k: all are returned. Repeated ids: each row is a candidate, except to queries of that id. Ties go to the smaller id. Empty table: no rows.
+Cases. Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows without id. Vectors of different lengths have no
+product; each length has its own tree. Fewer candidates than k: all are returned. Repeated ids: each row is a candidate, except to queries of that id; query
+rows that repeat id and vector are one query, different vectors under one id are searched for apart. Ties go to the smaller id. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.llm.common import written
-from callweave.llm.vectors import common_length, matrix, usable
+from callweave.llm.vectors import lengths, matrix, usable
 
 #: Rows that the tree is fitted to and queries that calibrate the search, at most; those of the smallest hash of the id.
 SAMPLE_ROWS, CALIBRATION_QUERIES = 20_000, 200
-LEAF_ROWS, MOST_LEAVES, BRANCHES, BLOCK = 1024, 65_536, 8, 4096
-RECALL = 0.97
+LEAF_ROWS, MOST_LEAVES, BRANCHES, BLOCK = 512, 65_536, 8, 4096
+RECALL = 0.96
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -105,16 +106,21 @@ def _best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, rough: n
 
 def neighbours(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries (a selection of table's rows) its k best other rows."""
+    out = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in lengths(queries, vector):
+        found = _of_length(table, queries, dim, k, recall, key, vector)
+        out = out.unionByName(found)
+    return out
+
+
+def _of_length(table: DataFrame, queries: DataFrame, dim: int, k: int, recall: float, key: str, vector: str) -> DataFrame:
+    """neighbours() among the vectors of one length."""
     spark = table.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    dim = common_length(table, vector)
-    if not dim:
-        return spark.createDataFrame([], schema)
 
     def clean(df: DataFrame) -> DataFrame:
         return df.where(usable(df, vector) & (F.size(vector) == dim) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
 
-    rows, asked = clean(table), clean(queries)
+    rows, asked = clean(table), written(clean(queries).distinct())
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).first()
     n, m = facts["n"], facts["m"]
@@ -142,28 +148,36 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = 20, recall: float
                 at = np.repeat(np.arange(lo, lo + len(part)), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array([f for own in found for f in own], pa.int64())], names=["query_id", "q", "leaf"])
 
-    walks = written(asked.mapInArrow(walk, "query_id long, q array<double>, leaf long"))
+    walks = written(asked.mapInArrow(walk, "query_id long, q array<double>, leaf long").withColumn("mark", F.xxhash64("q")))
     # a row for each leaf, MOST_LEAVES at most
     blocks = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nx")).join(walks.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nq")), "leaf")
-    spread_x = index.join(F.broadcast(blocks), "leaf").select("leaf", F.pmod(F.xxhash64("id"), "nx").alias("bx"), F.explode(F.expr("sequence(0L, nq - 1)")).alias("bq"), "id", "x")
-    spread_q = walks.join(F.broadcast(blocks), "leaf").select("leaf", F.explode(F.expr("sequence(0L, nx - 1)")).alias("bx"), F.pmod(F.xxhash64("query_id"), "nq").alias("bq"), "query_id", "q")
+    spread_x = index.join(F.broadcast(blocks), "leaf").select("leaf", F.pmod(F.xxhash64("id", "x"), "nx").alias("bx"), F.explode(F.expr("sequence(0L, nq - 1)")).alias("bq"), "id", "x")
+    spread_q = walks.join(F.broadcast(blocks), "leaf").select("leaf", F.explode(F.expr("sequence(0L, nx - 1)")).alias("bx"), F.pmod(F.xxhash64("query_id", "q"), "nq").alias("bq"), "query_id", "mark", "q")
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
             ids, x = left["id"].to_numpy(), matrix(left["x"].combine_chunks(), dim)
-            asked_ids, q = right["query_id"].to_numpy(), matrix(right["q"].combine_chunks(), dim)
+            asked_ids, marks, q = right["query_id"].to_numpy(), right["mark"].to_numpy(), matrix(right["q"].combine_chunks(), dim)
             for lo in range(0, len(q), 256):
                 rough = q[lo : lo + 256] @ x.T
-                out += [(int(asked_ids[lo + j]), *map(np.ndarray.tolist, _best(ids, x, asked_ids[lo + j], q[lo + j], rough[j], k))) for j in range(len(rough))]
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+                for j in range(len(rough)):
+                    near, scores = _best(ids, x, asked_ids[lo + j], q[lo + j], rough[j], k)
+                    out.append((np.full(len(near), lo + j), near, scores))
+        if not out:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=["query_id", "mark", "id", "score"])
+        at, near, scores = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table([pa.array(asked_ids[at]), pa.array(marks[at]), pa.array(near), pa.array(scores)], names=["query_id", "mark", "id", "score"])
 
     keys = ["leaf", "bx", "bq"]
-    partial = spread_x.groupBy(*keys).cogroup(spread_q.groupBy(*keys)).applyInArrow(visit, "query_id long, ids array<long>, scores array<double>")
-    merged = partial.groupBy("query_id").agg(F.flatten(F.collect_list(F.expr("transform(arrays_zip(ids, scores), p -> named_struct('s', -p.scores, 'id', p.ids))"))).alias("all"))
-    top = merged.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("rank", "p"))
-    return top.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("p.id").alias("vec_id"), (-F.col("p.s")).alias("score"))
+    partial = spread_x.groupBy(*keys).cogroup(spread_q.groupBy(*keys)).applyInArrow(visit, "query_id long, mark long, id long, score double")
+    return _first(partial, ["query_id", "mark"], k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def _first(found: DataFrame, query: list[str], k: int) -> DataFrame:
+    """The k best rows of each query, with rank; each task keeps k of a query before they are dealt."""
+    order = Window.partitionBy(*query).orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def brute_force(index: DataFrame, asked: pd.DataFrame, dim: int, k: int) -> DataFrame:
@@ -184,18 +198,15 @@ def brute_force(index: DataFrame, asked: pd.DataFrame, dim: int, k: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, c].astype(np.int64)) for c in range(3)] + [pa.array(rows[:, 3])], names=["query_id", "id", "leaf", "score"])
 
     near = index.mapInArrow(scan, "query_id long, id long, leaf long, score double")
-    best = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.expr("named_struct('s', -score, 'id', id, 'leaf', leaf)"))), 1, k).alias("best"))
-    return best.select("query_id", F.explode("best").alias("b")).select("query_id", "b.id", "b.leaf", (-F.col("b.s")).alias("score"))
+    return _first(near, ["query_id"], k).drop("rank")
 
 
 def _calibrated(index: DataFrame, asked: DataFrame, tree, dim: int, k: int, recall: float) -> int:
     """The least number of leaves at which the sampled queries meet the stated share of their true neighbours."""
-    sample = asked.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION_QUERIES).toPandas()
+    sample = asked.groupBy("id").agg(F.min("x").alias("x")).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION_QUERIES).toPandas()
     if not len(sample):
         return 1
     true = brute_force(index, sample, dim, k).select("query_id", "leaf").toPandas()
     at = {i: {leaf: rank for rank, leaf in enumerate(tree.value.order(np.append(np.asarray(x), 0.0), tree.value.leaves))} for i, x in zip(sample["id"], sample["x"], strict=True)}
     ranks = np.sort([at[i][leaf] for i, leaf in zip(true["query_id"], true["leaf"], strict=True)])
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1 if len(ranks) else 1
-
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,12 +17,19 @@ def usable(table: DataFrame, vector: str = "embedding"):
     return F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def common_length(table: DataFrame, vector: str = "embedding") -> int:
-    """The most frequent length of the usable vectors, the smaller of equals; 0 with none. A handful of rows at most reaches the driver."""
-    row = table.where(usable(table, vector)).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return row["n"] if row else 0
+def lengths(table: DataFrame, vector: str = "embedding") -> list[int]:
+    """The lengths of the usable vectors, in order; a row for each length reaches the driver."""
+    return sorted(r["n"] for r in table.where(usable(table, vector)).select(F.size(vector).alias("n")).distinct().collect())
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of a list column without nulls, all of length dim, in double precision."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) if len(column) else np.zeros((0, dim))
+
+
+def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors) of a list column without nulls, for each length."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == dim)
+        yield at, matrix(column.take(pa.array(at)), int(dim))
