@@ -394,10 +394,12 @@ def near_duplicates(documents: DataFrame, least: float = LEAST) -> DataFrame:
 
 def deduplicated(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents that stay, one of each class, with all their columns; rows that repeat id and text are one."""
-    gone = _judged(documents, least).where(~F.col("kept")).select("doc_id", F.col("node").alias("_node")).distinct()
-    node = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_node")
-    stay = documents.select("*", node).join(gone, ["doc_id", "_node"], "left_anti")
-    ids = documents.where("doc_id is not null").select("doc_id")
+    gone = _judged(documents, least).where(~F.col("kept")).select("doc_id", "node").distinct()
+    names = documents.columns
+    row = F.struct(*(documents[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(names)))
+    rows = documents.select(row.alias("row"), "doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("node"))
+    stay = rows.join(gone, ["doc_id", "node"], "left_anti")
+    ids = rows.where("doc_id is not null").select("doc_id")
     if ids.count() != ids.distinct().count():
-        stay = stay.where("doc_id is not null").dropDuplicates(["doc_id", "_node"]).unionByName(stay.where("doc_id is null"))
-    return stay.select(*documents.columns)
+        stay = stay.where("doc_id is not null").dropDuplicates(["doc_id", "node"]).unionByName(stay.where("doc_id is null"))
+    return stay.select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(names)))

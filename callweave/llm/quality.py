@@ -112,8 +112,8 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1
     return np.frombuffer(row[0]["w"], np.float32) if row else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def score(documents: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns in keep, and score: the probability of label 1 of the whole text."""
+def _scored(documents: DataFrame, weights: np.ndarray, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """The columns in keep under names of their own, and score; and those names."""
     bounded_batches(documents.sparkSession)
     names = [f"c{k}" for k in range(len(keep))]
     carried = "text" in keep and documents.schema["text"].dataType.simpleString() == "string"
@@ -131,12 +131,23 @@ def score(documents: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFra
                 p[words.lo : words.hi] = 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(p)], names=[*names, "score"])
 
-    source = documents.select(*[documents[c].alias(n) for c, n in zip(keep, names, strict=True)], *([] if carried else [documents["text"].cast("string").alias("t")]))
+    source = documents.select(*[documents[f"`{c}`"].alias(n) for c, n in zip(keep, names, strict=True)], *([] if carried else [documents["text"].cast("string").alias("t")]))
     schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, source.schema.fields, strict=False)), "score double"])
-    out = source.mapInArrow(trimmed(scored), schema)
+    return source.mapInArrow(trimmed(scored), schema), names
+
+
+def score(documents: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns in keep, and score: the probability of label 1 of the whole text."""
+    out, names = _scored(documents, weights, keep)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "score")
 
 
+def accepted(documents: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
+    """The documents that score least or more, with all their columns."""
+    out, names = _scored(documents, weights, documents.columns)
+    return out.where(F.col("score") >= least).select(*[F.col(n).alias(c) for c, n in zip(documents.columns, names, strict=True)])
+
+
 def judged(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     out = score(documents, train(documents, labels), ["doc_id"])
