@@ -12,7 +12,7 @@ from callweave.llm.common import written
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier, trained on the table of labels, does not reject."""
     weights = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, weights, docs.columns).where("score >= 0.5").select(*docs.columns)
+    return quality.accepted(docs, weights)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
