@@ -1,16 +1,21 @@
 """Language-model scoring with a log-bilinear model trained in numpy by noise-contrastive estimation.
 
-Words fall into classes: each of the most frequent ones has its own, the closing token too, and the others share classes by their last three bytes. The
-model predicts the next class from the two before it: the context vector is the sum of their vectors, each weighted by its place, and a class scores
-its product with the class's vector plus a bias. Normalised over all classes by batched matrix products, and multiplied by the smoothed share of the
-word within its class, that is a proper distribution over all known words and one unknown word in each class. Every task trains on all its training
-tokens from the same start, and the weighted mean of the tasks' parameters is the model.
+Words fall into classes: each of the most frequent ones has its own, the closing token too, and the others share classes by their last three bytes; classes are
+dealt to groups. The model predicts the next token's group and then its class within the group from the CONTEXT classes before it: the context vector is the
+sum of their vectors, each weighted by its place; a group, and a class in its group, scores its product with that vector plus a bias. Each level is
+normalised by batched matrix products; multiplied by the smoothed share of the word within its class that is a proper distribution over all known words and
+one unknown word in each class.
+
+Training goes in rounds over all training tokens. A hash of id and text deals each document to a round and there to a shard of about SHARD_TOKENS tokens; every
+shard is learnt from the round's start in the order of that hash, and the mean of the shards' parameters, weighted by tokens, starts the next round. So the
+model depends on the documents alone, not on how they lie in files or tasks.
 
 The smoothed unigram score stands beside it. Counts are exact and over all training documents, keyed by a 64-bit hash of the word. The words above a stated share
 of all tokens, at most the inverse of that share in number, go to every task; the counts of the others are joined by hash.
 
-Cases. Null or empty text: the closing token alone. Repeated rows: each is counted and scored. Null doc_id: fold 0, a training document. No training
-documents: N and V are 0, the base score of a token is that of 1 / 1, the model is uniform over classes. Empty table: no rows. Other columns are ignored.
+Cases. Null or empty text: the closing token alone. Repeated rows: each is counted and scored; copies of one row that make up more than the share HOT of all
+are dealt to several shards. Null doc_id: fold 0, a training document. No training documents: N and V are 0, the base score of a token is that of 1 / 1, the
+model is uniform over classes. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import crc_fold, written
+from callweave.llm.common import HOT, bounded_batches, crc_fold, trimmed, written
 from callweave.llm.textblocks import mixed, word_slices
 
-OWN, SHARED, WIDTH = 192, 64, 16
-CLASSES = OWN + SHARED + 1
-END = CLASSES - 1
-NOISE, BATCH, RATE = 24, 4096, 0.08
+GROUPS, MEMBERS, SHARED, WIDTH, CONTEXT = 16, 64, 256, 24, 6
+CLASSES = GROUPS * MEMBERS
+OWN, END = CLASSES - SHARED - 1, CLASSES - 1
+NOISE, BATCH, RATE = 16, 4096, 0.2
+ROUNDS, SHARD_TOKENS = 4, 1_000_000
 #: Words of at least this share of all training tokens go to every task; so at most a million.
 FREQUENT = 1e-6
 _MERGE = 3_000_000
@@ -86,8 +92,8 @@ class Classes:
             out[own] = self.number[at[own]]
         return out
 
-    def sequence(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(class, the one before, the one before that, document) of all tokens, each document closed by END; END stands before its start too."""
+    def sequence(self, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, the CONTEXT classes before it, document) of all tokens, each document closed by END; END stands before its start too."""
         n = len(words.counts)
         size = words.counts + 1
         ends = np.cumsum(size) - 1
@@ -96,31 +102,34 @@ class Classes:
         inner = np.ones(total, bool)
         inner[ends] = False
         target[inner] = self.of(words)
-        first = ends - size + 1
-        one, two = np.roll(target, 1), np.roll(target, 2)
-        one[first] = two[first] = END
-        second = first[size > 1] + 1
-        two[second] = END
-        return target, one, two, np.repeat(np.arange(n), size)
+        place = np.arange(total) - np.repeat(ends - size + 1, size)
+        before = np.full((total, CONTEXT), END, np.int64)
+        for k in range(min(CONTEXT, total)):
+            before[k + 1 :, k] = np.where(place[k + 1 :] > k, target[: total - k - 1], END)
+        return target, before, np.repeat(np.arange(n), size)
 
 
 class Bilinear:
-    """vectors: of classes in contexts; outs: of classes predicted; places: the weights of both places; bias."""
+    """vectors: of classes in contexts; places: weights of the places before; tops, top_bias: of groups; outs, bias: of classes within their group.
+
+    Class c is member c // GROUPS of group c % GROUPS, so groups have much the same share of tokens.
+    """
 
     def __init__(self, prior: np.ndarray):
         rng = np.random.default_rng(3)
-        self.vectors = rng.standard_normal((CLASSES, WIDTH)) * 0.1
-        self.outs = rng.standard_normal((CLASSES, WIDTH)) * 0.1
-        self.places = np.ones((2, WIDTH))
-        self.bias = np.log(prior)
-        self.noise = prior
+        of_group = prior.reshape(MEMBERS, GROUPS)
+        self.top_noise = of_group.sum(0)
+        self.noise = of_group / self.top_noise
+        draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+        self.vectors, self.places, self.tops, self.outs = draw(CLASSES, WIDTH), np.ones((CONTEXT, WIDTH), np.float32), draw(GROUPS, WIDTH), draw(MEMBERS, GROUPS, WIDTH)
+        self.top_bias, self.bias = np.log(self.top_noise).astype(np.float32), np.log(self.noise).astype(np.float32)
         self.squares = [np.full_like(p, 1e-4) for p in self._all()]
 
     def _all(self) -> list[np.ndarray]:
-        return [self.vectors, self.outs, self.places, self.bias]
+        return [self.vectors, self.places, self.tops, self.outs, self.top_bias, self.bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self._all()])
+        return np.concatenate([p.ravel() for p in self._all()]).astype(np.float64)
 
     def load(self, values: np.ndarray) -> None:
         at = 0
@@ -128,49 +137,81 @@ class Bilinear:
             p[...] = values[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return self.vectors[one] * self.places[0] + self.vectors[two] * self.places[1]
-
-    def learn(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray) -> None:
-        """A step of noise-contrastive estimation: tokens are told from NOISE draws of the class shares, which the whole batch meets."""
-        n, q = len(target), self.context(one, two)
-        shift = np.log(len(noise) * self.noise)
-        out = self.outs[target]
-        good = 1 - _sigmoid((q * out).sum(1) + self.bias[target] - shift[target])
-        bad = -_sigmoid(q @ self.outs[noise].T + (self.bias - shift)[noise])
-        dq = good[:, None] * out + bad @ self.outs[noise]
-        d_out = _rows(target, good[:, None] * q)
+    def context(self, before: np.ndarray) -> np.ndarray:
+        q = self.vectors[before[:, 0]] * self.places[0]
+        for k in range(1, CONTEXT):
+            q += self.vectors[before[:, k]] * self.places[k]
+        return q
+
+    @staticmethod
+    def _contrast(q, target, noise, out, bias, prior, d_out, d_bias) -> np.ndarray:
+        """Noise-contrastive estimation for rows q that all draw on the same outputs: target rows are told from the noise drawn. Adds gradients, returns that of q."""
+        shift = np.log(len(noise) * prior).astype(np.float32)
+        own = out[target]
+        good = 1 - _sigmoid((q * own).sum(1) + bias[target] - shift[target])
+        bad = -_sigmoid(q @ out[noise].T + (bias - shift)[noise])
         np.add.at(d_out, noise, bad.T @ q)
-        d_bias = np.bincount(target, weights=good, minlength=CLASSES) + np.bincount(noise, weights=bad.sum(0), minlength=CLASSES)
-        d_vectors = _rows(one, dq * self.places[0]) + _rows(two, dq * self.places[1])
-        d_places = np.stack([(dq * self.vectors[one]).sum(0), (dq * self.vectors[two]).sum(0)])
-        for p, s, g in zip(self._all(), self.squares, (d_vectors, d_out, d_places, d_bias), strict=True):
-            g = g / n
-            s += g * g
-            p += RATE * g / np.sqrt(s)
-
-    def log10_probabilities(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Normalised over all classes; equal contexts share a row of the matrix product."""
-        pairs, back = np.unique(one * CLASSES + two, return_inverse=True)
+        hot = np.zeros((len(out), len(target)), np.float32)
+        hot[target, np.arange(len(target))] = good
+        d_out += hot @ q
+        d_bias += hot.sum(1)
+        np.add.at(d_bias, noise, bad.sum(0))
+        return good[:, None] * own + bad @ out[noise]
+
+    def learn(self, target: np.ndarray, before: np.ndarray, rng: np.random.Generator) -> None:
+        """One step over a batch of tokens: groups, and in each group its classes, are told from draws of their shares, which the batch meets together."""
+        n, q = len(target), self.context(before)
+        grads = [np.zeros_like(p) for p in self._all()]
+        d_vectors, d_places, d_tops, d_outs, d_top_bias, d_bias = grads
+        group, member = target % GROUPS, target // GROUPS
+        dq = self._contrast(q, group, rng.choice(GROUPS, NOISE, p=self.top_noise), self.tops, self.top_bias, self.top_noise, d_tops, d_top_bias)
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=GROUPS))
+        draws = rng.random((GROUPS, NOISE))
+        for g in range(GROUPS):
+            rows = order[(ends[g - 1] if g else 0) : ends[g]]
+            if len(rows):
+                noise = np.minimum(np.searchsorted(np.cumsum(self.noise[:, g]), draws[g]), MEMBERS - 1)
+                out, bias = self.outs[:, g], self.bias[:, g]
+                dq[rows] += self._contrast(q[rows], member[rows], noise, out, bias, self.noise[:, g], d_outs[:, g], d_bias[:, g])
+        for k in range(CONTEXT):
+            at = before[:, k]
+            d_places[k] = (dq * self.vectors[at]).sum(0)
+        rows, values = before.ravel(), (dq[:, None, :] * self.places).reshape(-1, WIDTH)
+        by = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], rows[by][1:] != rows[by][:-1]]))
+        d_vectors[rows[by][first]] = np.add.reduceat(values[by], first, axis=0)
+        for p, s, d in zip(self._all(), self.squares, grads, strict=True):
+            d /= n
+            s += d * d
+            p += RATE * d / np.sqrt(s)
+
+    def log10_probabilities(self, target: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Of each target, normalised over groups and over the classes of its group."""
         out = np.empty(len(target))
-        order = np.argsort(back, kind="stable")
-        ends = np.cumsum(np.bincount(back, minlength=len(pairs)))
-        for lo in range(0, len(pairs), 4096):
-            part = pairs[lo : lo + 4096]
-            scores = self.context(part // CLASSES, part % CLASSES) @ self.outs.T + self.bias
-            top = scores.max(1, keepdims=True)
-            scores -= top + np.log(np.exp(scores - top).sum(1, keepdims=True))
-            own = order[(ends[lo - 1] if lo else 0) : ends[min(lo + 4096, len(pairs)) - 1]]
-            out[own] = scores[back[own] - lo, target[own]]
+        for lo in range(0, len(target), 16_384):
+            own, q = target[lo : lo + 16_384], self.context(before[lo : lo + 16_384])
+            group, member = own % GROUPS, own // GROUPS
+            part = _log_share(q @ self.tops.T + self.top_bias, group)
+            order = np.argsort(group, kind="stable")
+            ends = np.cumsum(np.bincount(group, minlength=GROUPS))
+            for g in range(GROUPS):
+                rows = order[(ends[g - 1] if g else 0) : ends[g]]
+                if len(rows):
+                    part[rows] += _log_share(q[rows] @ self.outs[:, g].T + self.bias[:, g], member[rows])
+            out[lo : lo + 16_384] = part
         return out / math.log(10)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    top = scores.max(1)
+    mine = scores[np.arange(len(scores)), chosen]
+    scores -= top[:, None]
+    return mine.astype(np.float64) - top - np.log(np.exp(scores, out=scores).sum(1, dtype=np.float64))
 
 
-def _rows(at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.bincount(at, weights=values[:, c], minlength=CLASSES) for c in range(values.shape[1])])
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Model:
@@ -199,46 +240,68 @@ def fit(documents: DataFrame, counts: DataFrame, closings: int) -> Model:
         class_tokens[inside[h]] -= c
         class_words[inside[h]] -= 1
     class_tokens[END] = closings
-    start = Bilinear((class_tokens + 1) / (class_tokens + 1).sum())
-    sent = spark.sparkContext.broadcast((classes, start))
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net = sent.value
-        net = _copied(net)
-        rng, seen = np.random.default_rng(1), 0
-        for batch in batches:
-            for words in word_slices(batch.column(0)):
-                target, one, two, _ = known.sequence(words)
-                order = rng.permutation(len(target))
-                for lo in range(0, len(target), BATCH):
-                    at = order[lo : lo + BATCH]
-                    net.learn(target[at], one[at], two[at], rng.choice(CLASSES, NOISE, p=net.noise))
-                seen += len(target)
-        if seen:
-            values = np.append(net.flat() * seen, seen)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["i", "v"])
-
-    rows = documents.select(F.col("text").cast("string")).mapInArrow(train, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
-    if len(rows):
-        start.load(rows[:-1] / rows[-1])
+    net = Bilinear((class_tokens + 1) / (class_tokens + 1).sum())
+    for at in range(ROUNDS):
+        _round(documents, classes, net, at, tokens)
     least = max(1, math.ceil(tokens * FREQUENT))
     often = counts.where(F.col("c") >= least).select("h", "c").toPandas()
-    return Model(classes, start, often["h"].to_numpy(np.int64), often["c"].to_numpy(np.int64), least, tokens, distinct, class_tokens, class_words, closings)
+    return Model(classes, net, often["h"].to_numpy(np.int64), often["c"].to_numpy(np.int64), least, tokens, distinct, class_tokens, class_words, closings)
+
 
+def _dealt(documents: DataFrame, shards: int) -> DataFrame:
+    """text, h (a hash of id and text), round and shard of the documents."""
+    rows = documents.select(F.xxhash64("doc_id", F.lit(11), "text").alias("h"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("salt", F.lit(0).cast("long"))
+    if shards > 1:
+        most = max(2.0, HOT * documents.count())
+        hot = rows.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= most)  # 1 / HOT at most
+        rows = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("copies").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(shards))).otherwise(0)).drop("copies")
+    return rows.select("text", "h", F.pmod(F.xxhash64("h", "salt", F.lit(1)), F.lit(ROUNDS)).alias("round"), F.pmod(F.xxhash64("h", "salt", F.lit(2)), F.lit(shards)).alias("shard"))
 
-def _copied(net: Bilinear) -> Bilinear:
-    out = Bilinear(net.noise)
-    out.load(net.flat())
-    return out
+
+def _round(documents: DataFrame, classes: Classes, net: Bilinear, at: int, tokens: int) -> None:
+    """Trains net on the shards of a round and loads the mean."""
+    spark = documents.sparkSession
+    sent = spark.sparkContext.broadcast((classes, net))
+
+    def train(table: pa.Table) -> pa.Table:
+        known, start = sent.value
+        own = Bilinear.__new__(Bilinear)
+        own.__dict__ = {k: [x.copy() for x in v] if isinstance(v, list) else v.copy() for k, v in start.__dict__.items()}
+        table = table.sort_by("h")
+        rng, seen = np.random.default_rng(int(table["shard"][0].as_py()) + 1), 0
+        for words in word_slices(pa.concat_arrays(table["text"].cast(pa.large_string()).chunks)):
+            target, before, _ = known.sequence(words)
+            order = rng.permutation(len(target))
+            for lo in range(0, len(target), BATCH):
+                part = order[lo : lo + BATCH]
+                own.learn(target[part], before[part], rng)
+            seen += len(target)
+        values = np.append(own.flat() * seen, seen)
+        squares = np.concatenate([x.ravel() for x in own.squares]).astype(np.float64) * seen
+        values = np.concatenate([values, squares])
+        return pa.table([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["i", "v"])
+
+    shards = max(1, -(-tokens // (ROUNDS * SHARD_TOKENS)))
+    rows = _dealt(documents, shards).where(F.col("round") == at).select("shard", "h", "text")
+    got = rows.groupBy("shard").applyInArrow(train, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
+    if len(got):
+        n = sum(p.size for p in net._all())
+        net.load(got[:n] / got[n])
+        lo = n + 1
+        for x in net.squares:
+            x[...] = (got[lo : lo + x.size] / got[n]).reshape(x.shape)
+            lo += x.size
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
     """h, c, class: exact counts of all words, a written table."""
-    return written(documents.select(F.col("text").cast("string")).mapInArrow(_count, "h long, c long, class int").groupBy("h").agg(F.sum("c").alias("c"), F.min("class").alias("class")))
+    return written(documents.select(F.col("text").cast("string")).mapInArrow(trimmed(_count), "h long, c long, class int").groupBy("h").agg(F.sum("c").alias("c"), F.min("class").alias("class")))
 
 
 def scored(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    bounded_batches(documents.sparkSession)
     learn = documents.where(crc_fold(F.col("doc_id"), folds) != held)
     counts = word_counts(learn)
     model = fit(learn, counts, learn.count())
@@ -249,8 +312,8 @@ def scored(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         for batch in batches:
             for words in word_slices(batch.column(2)):
                 n = words.hi - words.lo
-                target, one, two, doc = m.classes.sequence(words)
-                model_part = np.bincount(doc, weights=m.net.log10_probabilities(target, one, two), minlength=n)
+                target, before, doc = m.classes.sequence(words)
+                model_part = np.bincount(doc, weights=m.net.log10_probabilities(target, before), minlength=n)
                 word_doc, own = words.doc_of_word(), m.classes.of(words)
                 at = np.minimum(np.searchsorted(m.keys, words.hashes), max(0, len(m.keys) - 1))
                 frequent = m.keys[at] == words.hashes if len(m.keys) else np.zeros(len(words.hashes), bool)
@@ -270,7 +333,7 @@ def scored(documents: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
 
     numbered = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))
     kind = numbered.schema["doc_id"].dataType.simpleString()
-    table = written(numbered.mapInArrow(measure, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, model double, rare array<long>"))
+    table = written(numbered.mapInArrow(trimmed(measure), f"row long, doc_id {kind}, n_tokens long, n_known long, base double, model double, rare array<long>"))
     # a rare word is never one of its own class, unless all are rare; then none is in the list
     looked = table.select("row", F.explode("rare").alias("h")).join(counts.where(F.col("c") < model.least).select("h", "c"), "h")
     more = looked.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("logs"), F.count(F.lit(1)).alias("known"))

@@ -205,6 +205,35 @@ def test_urls(spark):
     assert {(r["page_id"] % 2, r["verdict"]) for r in urls.judged(many, learn).collect()} == {(0, "block"), (1, "allow")}
 
 
+def test_mined_rules_against_enumerated_sets(spark):
+    rng = np.random.default_rng(5)
+    hosts, words = ["news.fr", "shop.example.de", "bad-pills.ru", "blog.es"], ["buy", "read", "cheap", "de", "img"]
+    rows = []
+    for i in range(1500):
+        h, a, b = hosts[rng.integers(4)], words[rng.integers(5)], words[rng.integers(5)]
+        bad = (h == "bad-pills.ru" and a == "buy") or (b == "cheap" and h == "shop.example.de") or rng.random() < 0.03
+        rows.append((i, f"http://{h}/{a}/{b}/{i}", int(not bad)))
+    pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    got = {tuple(r["rule"]): r["confidence"] for r in urls.mined(pages, labels).collect()}
+    from itertools import combinations
+
+    baskets = [(frozenset(r["t"]), q) for r, (_, _, q) in zip(pages.withColumn("t", urls.tokens(F.col("url"))).orderBy("page_id").collect(), rows, strict=True)]
+    n, bad_n, all_n = len(baskets), Counter(), Counter()
+    for t, q in baskets:
+        for k in range(1, urls.MOST_TOKENS + 1):
+            for c in combinations(sorted(t), k):
+                all_n[c] += 1
+                bad_n[c] += q == 0
+    good = {c: bad_n[c] / all_n[c] for c in all_n if bad_n[c] >= urls.LEAST_PAGES and bad_n[c] / all_n[c] >= urls.CONFIDENCE}
+    assert len(good) > 3
+    minimal = {c: v for c, v in good.items() if not any(set(d) < set(c) for d in good)}
+    assert got == {c: pytest.approx(v) for c, v in minimal.items()}
+    hit = {r["page_id"] for r in urls.judged(pages, labels, []).where("verdict = 'block'").collect()}
+    assert hit == {i for i, (t, _) in enumerate(baskets) if any(set(c) <= t for c in minimal)} and len(hit) > 100
+    assert urls.judged(pages.limit(0), labels).count() == 0
+
+
 def test_language_model(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     words = lambda s: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), s)), "\0"]
@@ -217,8 +246,51 @@ def test_language_model(spark):
         assert (x["n_tokens"], x["n_known"], x["train_tokens"]) == (len(w), sum(counts[k] > 0 for k in w), n)
         assert x["base_score"] == pytest.approx(sum(math.log10((counts[k] + 1) / (n + v + 1)) for k in w), abs=1e-6)
     net = lm.Bilinear(np.full(lm.CLASSES, 1 / lm.CLASSES))
-    one = np.full(lm.CLASSES, 3)
-    assert (10 ** net.log10_probabilities(np.arange(lm.CLASSES), one, one)).sum() == pytest.approx(1)
+    before = np.tile(np.arange(lm.CONTEXT), (lm.CLASSES, 1))
+    assert (10 ** net.log10_probabilities(np.arange(lm.CLASSES), before)).sum() == pytest.approx(1)
+
+
+def test_language_model_score_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    learn = docs.where(common.crc_fold(F.col("doc_id"), 7) != 2)
+    counts = lm.word_counts(learn)
+    model = lm.fit(learn, counts, learn.count())
+    net, known = model.net, {r["h"]: r["c"] for r in counts.collect()}
+    in_class, of_class = Counter(), Counter()
+    import pyarrow as pa
+
+    from callweave.llm.textblocks import word_slices
+
+    own = dict(zip(model.classes.keys.view(np.int64).tolist(), model.classes.number.tolist(), strict=True))
+    shared = {r["h"]: r["class"] for r in counts.collect()}
+    for h, c in known.items():
+        if h not in own:
+            in_class[shared[h]] += c
+            of_class[shared[h]] += 1
+    got = {r["doc_id"]: r["score"] for r in lm.scored(docs).collect()}
+    for r in docs.where("doc_id < 12").collect():
+        (words,) = word_slices(pa.array([r["text"]]), 1 << 62)
+        hashes, tails = words.hashes.view(np.int64).tolist(), lm._shared_class(words).tolist()
+        classes = [own.get(h, t) for h, t in zip(hashes, tails, strict=True)] + [lm.END]
+        total, past = 0.0, [lm.END] * lm.CONTEXT
+        for k, c in enumerate(classes):
+            q = sum(net.vectors[past[j]].astype(float) * net.places[j] for j in range(lm.CONTEXT))
+            top = net.tops.astype(float) @ q + net.top_bias
+            inner = net.outs[:, c % lm.GROUPS].astype(float) @ q + net.bias[:, c % lm.GROUPS]
+            p = math.exp(top[c % lm.GROUPS]) / np.exp(top).sum() * math.exp(inner[c // lm.GROUPS]) / np.exp(inner).sum()
+            if lm.OWN <= c < lm.END:
+                p *= (known.get(hashes[k], 0) + 1) / (in_class[c] + of_class[c] + 1)
+            total += math.log10(p)
+            past = [c, *past[:-1]]
+        assert got[r["doc_id"]] == pytest.approx(total, rel=1e-4, abs=0.02)
+
+
+def test_language_model_beats_the_unigrams_and_ignores_the_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, two = (lm.scored(docs.repartition(n, F.xxhash64("doc_id", F.lit(n)))).where("held_out") for n in (2, 11))
+    one, two = ({r["doc_id"]: (r["score"], r["base_score"]) for r in d.collect()} for d in (one, two))
+    assert all(one[i] == pytest.approx(two[i], rel=1e-6) for i in one)
+    assert sum(s for s, _ in one.values()) > 0.97 * sum(b for _, b in one.values())
 
 
 def _vectors(spark, rows):
