@@ -1,8 +1,10 @@
 """URL filter by association rules: stated host and path rules first, then rules mined by FP-growth from labelled pages.
 
 A page is labelled by the row of labels with its id (doc_id = page_id): bad if quality is 0 or toxic is 1. FP-growth finds the token combinations that
-occur often enough with the bad mark; those of enough confidence are rules, and one that contains a rule is left out, as it adds nothing. Each rule
-stands in an inverted index under its rarest token; a URL looks up its own tokens and is blocked if it has all tokens of a rule found there.
+LEAST_PAGES bad pages or more have, whatever the number of pages; counted against all labelled pages, those of enough confidence are rules, and one that
+contains a rule is left out, as it adds nothing. Tokens that always come together (a host and its parts, say) count as one, the first by name, so no
+combinations of them are listed. Each rule stands in an inverted index under its rarest token; a URL looks up its own tokens and is blocked if it has all
+tokens of a rule found there.
 
 Cases. Null URL or one without ://: empty host and path, no tokens, allowed. Repeated rows: judged alike. Labels of a page that differ: bad if any is.
 Empty tables or no bad pages: no rules. Other columns are ignored.
@@ -14,6 +16,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callweave.llm.common import written
+
 #: (verdict, rule): a rule fits its host and all subdomains where the path starts with the rule's; the longest wins.
 RULES = [
     ("block", "com/en/"),
@@ -22,9 +26,10 @@ RULES = [
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 ]
-#: A rule needs that share of the labelled pages (and that many of them) and that share of bad ones among those with its tokens.
-SUPPORT, LEAST_PAGES, CONFIDENCE = 0.002, 25, 0.75
-BAD = "!bad"
+#: A rule needs that many bad pages with its tokens, and that share of bad ones among all with them.
+LEAST_PAGES, CONFIDENCE = 25, 0.75
+#: Rules go to all tasks up to that number; more are dealt by their tokens.
+SENT_RULES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,31 +64,48 @@ def tokens(url: Column) -> Column:
     return F.coalesce(F.array_distinct(some), F.array().cast("array<string>"))
 
 
-def mined(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES, confidence: float = CONFIDENCE) -> DataFrame:
+def _told_apart(baskets: DataFrame) -> DataFrame:
+    """page, bad and tokens, of tokens that the very same pages have the first by name. Sets of pages are compared by their number and two 64-bit sums of hashes."""
+    each = baskets.select("page", F.explode("tokens").alias("token"))
+    marks = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("page")).alias("x"), F.bit_xor(F.xxhash64(F.lit(3), "page")).alias("y"))
+    first = marks.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")
+    some = each.join(first, "token", "left_semi").groupBy("page").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return baskets.select("page", "bad").join(some, "page")
+
+
+def mined(pages: DataFrame, labels: DataFrame, least_pages: int = LEAST_PAGES, confidence: float = CONFIDENCE) -> DataFrame:
     """rule (its tokens, sorted), anchor (the rarest of them), confidence; empty if nothing was learnt."""
     spark = pages.sparkSession
     bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
-    marked = pages.select("page_id", "url").join(bad, pages["page_id"] == bad["doc_id"])
-    baskets = marked.select(F.concat(tokens(F.col("url")), F.when(F.col("bad") == 1, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
-    n = baskets.count()
-    schema = "rule array<string>, anchor string, confidence double"
-    if not n:
-        return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least_pages / n)), minConfidence=confidence).fit(baskets)
-    singles = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq").alias("pages"))
-    found = model.associationRules.where(F.expr(f"consequent = array('{BAD}')")).select(F.array_sort("antecedent").alias("rule"), "confidence")
-    anchored = found.withColumn("token", F.explode("rule")).join(singles, "token").groupBy("rule").agg(F.min_by("token", F.struct("pages", "token")).alias("anchor"), F.max("confidence").alias("confidence"))
+    marked = pages.select("page_id", "url").join(bad, pages["page_id"] == bad["doc_id"]).withColumn("page", F.monotonically_increasing_id())
+    baskets = written(_told_apart(written(marked.select("page", "bad", tokens(F.col("url")).alias("tokens")).where(F.size("tokens") > 0))))
+    worst = baskets.where("bad = 1").select("tokens")
+    n = worst.count()
+    if n < least_pages:
+        return spark.createDataFrame([], "rule array<string>, anchor string, confidence double")
+    sets = FPGrowth(itemsCol="tokens", minSupport=(least_pages - 0.5) / n).fit(worst).freqItemsets.select(F.array_sort("items").alias("rule"), F.col("freq").alias("worst"))
+    pages_with = baskets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("pages"))
+    anchored = sets.select("rule", "worst", F.explode("rule").alias("token")).join(pages_with, "token").groupBy("rule", "worst").agg(F.min_by("token", F.struct("pages", "token")).alias("anchor"))
+    anchored = written(anchored)
+    counts = _having(baskets.select("tokens"), anchored).groupBy("rule").agg(F.count(F.lit(1)).alias("all"))
+    good = anchored.join(counts, "rule").withColumn("confidence", F.col("worst") / F.col("all")).where(F.col("confidence") >= confidence)
     # a rule that contains another one is found under one of its own tokens, which is the other one's anchor
-    wide = anchored.select(F.col("rule").alias("wide"), F.explode("rule").alias("anchor"))
-    spare = wide.join(anchored.select("anchor", F.col("rule").alias("narrow")), "anchor").where((F.size("narrow") < F.size("wide")) & (F.size(F.array_except("narrow", "wide")) == 0))
-    return anchored.join(spare.select(F.col("wide").alias("rule")).distinct(), "rule", "left_anti").select("rule", "anchor", "confidence")
+    wide = good.select(F.col("rule").alias("wide"), F.explode("rule").alias("anchor"))
+    spare = wide.join(good.select("anchor", F.col("rule").alias("narrow")), "anchor").where((F.size("narrow") < F.size("wide")) & (F.size(F.array_except("narrow", "wide")) == 0))
+    return written(good.join(spare.select(F.col("wide").alias("rule")).distinct(), "rule", "left_anti").select("rule", "anchor", "confidence"))
+
+
+def _having(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows (with tokens) and a rule whose tokens they all have, found under its anchor: a row for each such rule."""
+    index = rules.select("anchor", "rule")
+    index = F.broadcast(index) if rules.limit(SENT_RULES + 1).count() <= SENT_RULES else index
+    return rows.withColumn("anchor", F.explode("tokens")).join(index, "anchor").where(F.size(F.array_except("rule", "tokens")) == 0)
 
 
 def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct URLs that have all tokens of a rule."""
     urls = pages.select("url").where("url is not null").distinct().withColumn("tokens", tokens(F.col("url")))
-    looked = urls.withColumn("anchor", F.explode("tokens")).join(rules.select("anchor", "rule"), "anchor")
-    return looked.where(F.size(F.array_except("rule", "tokens")) == 0).select("url").distinct()
+    return _having(urls, rules).select("url").distinct()
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:

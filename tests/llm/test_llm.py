@@ -211,7 +211,7 @@ def test_mined_rules_against_enumerated_sets(spark):
     rows = []
     for i in range(1500):
         h, a, b = hosts[rng.integers(4)], words[rng.integers(5)], words[rng.integers(5)]
-        bad = (h == "bad-pills.ru" and a == "buy") or (b == "cheap" and h == "shop.example.de") or rng.random() < 0.03
+        bad = (h == "bad-pills.ru" and "buy" in (a, b)) or (h == "shop.example.de" and "cheap" in (a, b)) or rng.random() < 0.03
         rows.append((i, f"http://{h}/{a}/{b}/{i}", int(not bad)))
     pages = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
     labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
@@ -219,14 +219,20 @@ def test_mined_rules_against_enumerated_sets(spark):
     from itertools import combinations
 
     baskets = [(frozenset(r["t"]), q) for r, (_, _, q) in zip(pages.withColumn("t", urls.tokens(F.col("url"))).orderBy("page_id").collect(), rows, strict=True)]
-    n, bad_n, all_n = len(baskets), Counter(), Counter()
+    having = {}
+    for i, (t, _) in enumerate(baskets):
+        for w in t:
+            having.setdefault(w, set()).add(i)
+    first = {min(w for w in having if having[w] == s) for s in having.values()}
+    bad_n, all_n = Counter(), Counter()
     for t, q in baskets:
-        for k in range(1, urls.MOST_TOKENS + 1):
+        t = t & first
+        for k in range(1, len(t) + 1):
             for c in combinations(sorted(t), k):
                 all_n[c] += 1
                 bad_n[c] += q == 0
     good = {c: bad_n[c] / all_n[c] for c in all_n if bad_n[c] >= urls.LEAST_PAGES and bad_n[c] / all_n[c] >= urls.CONFIDENCE}
-    assert len(good) > 3
+    assert len(good) >= 2
     minimal = {c: v for c, v in good.items() if not any(set(d) < set(c) for d in good)}
     assert got == {c: pytest.approx(v) for c, v in minimal.items()}
     hit = {r["page_id"] for r in urls.judged(pages, labels, []).where("verdict = 'block'").collect()}
