@@ -22,15 +22,22 @@ def overlap_join(a: DataFrame, b: DataFrame, on: str = "contig", width: int = 16
     inner = left.join(right, met & once).drop("_bin", "_bin_b")
     if how == "inner":
         return inner
-    hits = left.join(right, met, "left_semi").drop("_bin").distinct()
+    # whether a row overlaps depends on its place alone, so places are looked up, and rows of any type, repeated ones too, by their places
+    place = [on, "start", "end"]
+    spans = a.select(*place).where("start <= end").distinct().withColumn("_bin", _bins(F.col("start"), F.col("end"), width))
+    hits = spans.join(right, met, "left_semi").select(*place).distinct()
     if how == "left_semi":
-        return hits
-    misses = a.join(hits, [a[c].eqNullSafe(hits[c]) for c in a.columns], "left_anti")
+        return a.join(hits, place, "left_semi").select(*a.columns)
+    misses = a.join(hits, [a[c].eqNullSafe(hits[c]) for c in place], "left_anti")
     if how == "left_anti":
         return misses
     return inner.unionByName(misses.select(*a.columns, *[F.lit(None).cast(b.schema[c].dataType).alias(f"{c}_b") for c in b.columns]))
 
 
+#: Positions of a block; sums run within blocks, and over a row for each block, so a contig is no single task.
+BLOCK = 1 << 20
+
+
 def _sweep(*sets: DataFrame, on: str) -> DataFrame:
     """on, start, end and d0, d1, ...: the depth of each set over each stretch between two ends."""
     events = None
@@ -40,17 +47,29 @@ def _sweep(*sets: DataFrame, on: str) -> DataFrame:
             own = ok.select(F.col(on), (F.col(edge) if isinstance(edge, str) else edge).cast("long").alias("at"), *[F.lit(step if j == k else 0).alias(f"s{j}") for j in range(len(sets))])
             events = own if events is None else events.unionByName(own)
     steps = events.groupBy(on, "at").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(len(sets))])
-    order = Window.partitionBy(on).orderBy("at")
+    depths = [f"s{j}" for j in range(len(sets))]
+    steps = steps.withColumn("_blk", F.floor(F.col("at") / BLOCK))
+    every = Window.partitionBy(on).orderBy("_blk")
+    sums = steps.groupBy(on, "_blk").agg(*[F.sum(d).alias(d) for d in depths], F.min("at").alias("first"))
+    before = sums.select(on, "_blk", F.lead("first").over(every).alias("_next"), *[F.coalesce(F.sum(d).over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_o{j}") for j, d in enumerate(depths)])
+    order = Window.partitionBy(on, "_blk").orderBy("at")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
-    out = steps.select(on, F.col("at").alias("start"), (F.lead("at").over(order) - 1).alias("end"), *[F.sum(f"s{j}").over(run).alias(f"d{j}") for j in range(len(sets))])
+    out = steps.join(before, [on, "_blk"]).select(
+        on, F.col("at").alias("start"), (F.coalesce(F.lead("at").over(order), "_next") - 1).alias("end"), *[(F.sum(d).over(run) + F.col(f"_o{j}")).alias(f"d{j}") for j, d in enumerate(depths)]
+    )
     return out.where("end is not null")
 
 
 def _joined(stretches: DataFrame, on: str) -> DataFrame:
-    order = Window.partitionBy(on).orderBy("start")
-    fresh = F.when(F.col("start") == F.lag("end").over(order) + 1, 0).otherwise(1)
-    marked = stretches.withColumn("_new", fresh).withColumn("_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(on, "_no").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_no")
+    """Stretches of one contig that touch as one."""
+    rows = stretches.select(on, "start", "end", F.floor(F.col("start") / BLOCK).alias("_blk"))
+    every, own = Window.partitionBy(on).orderBy("_blk"), Window.partitionBy(on, "_blk").orderBy("start")
+    ends = rows.groupBy(on, "_blk").agg(F.max("end").alias("last")).select(on, "_blk", F.lag("last").over(every).alias("_last"))
+    fresh = F.when(F.col("start") == F.coalesce(F.lag("end").over(own), "_last") + 1, 0).otherwise(1)
+    marked = rows.join(ends, [on, "_blk"]).withColumn("_new", fresh)
+    counts = marked.groupBy(on, "_blk").agg(F.sum("_new").alias("n")).select(on, "_blk", F.coalesce(F.sum("n").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    numbered = marked.join(counts, [on, "_blk"]).withColumn("_no", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_off"))
+    return numbered.groupBy(on, "_no").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_no")
 
 
 def merged(a: DataFrame, on: str = "contig") -> DataFrame:
@@ -85,10 +104,11 @@ def callable_in(df: DataFrame, sources: list[DataFrame], every: bool = False, on
     """Rows that overlap any (or every) source; all rows without sources."""
     if not sources:
         return df
-    out = None
+    out = done = None
     for s in sources:
         hit = overlap_join(df if out is None or not every else out, s, on, how="left_semi")
-        out = hit if out is None or every else out.unionByName(hit).distinct()
+        out = hit if out is None or every else out.unionByName(overlap_join(hit, done, on, how="left_anti"))
+        done = s.select(on, "start", "end") if done is None else done.unionByName(s.select(on, "start", "end"))
     return out
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LinearSVC, RandomForestClassifier
+import math
+import random
+import re
+
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -38,8 +42,14 @@ def top_sites(df: DataFrame, site: list[str], order: list[Column], n: int) -> Da
 
 
 def random_rows(df: DataFrame, key: list[str], n: int) -> DataFrame:
-    """n rows chosen by a hash of their key, the same in every run."""
-    return df.orderBy(F.xxhash64(*key), *key).limit(n)
+    """n rows chosen by a digest of their key, the same in every run."""
+    return df.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key])), *key).limit(n)
+
+
+def random_share(df: DataFrame, key: list[str], share: float) -> DataFrame:
+    """The rows of the given share of keys, chosen by a digest of the key, without a sort."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key])), 1, 8), 16, 10).cast("long")
+    return df.where(digest < int(share * (1 << 32)))
 
 
 def cluster_sample(df: DataFrame, key: str, values: list[str], n: int, seed: int = 1) -> DataFrame:
@@ -50,11 +60,80 @@ def cluster_sample(df: DataFrame, key: str, values: list[str], n: int, seed: int
     return model.transform(vectors).groupBy("cluster").agg(F.min(key).alias(key))
 
 
+#: Costs of the support vector machines and the width of the radial kernel.
+LINEAR_COST, RADIAL_COST, RADIAL_GAMMA, RADIAL_FEATURES = 100.0, 1e5, 0.01, 128
+
+
+def _assembled(df: DataFrame, values: list[str], invalid: str) -> DataFrame:
+    return VectorAssembler(inputCols=values, outputCol="features", handleInvalid=invalid).transform(df)
+
+
+def radial(df: DataFrame, values: list[str], n: int = RADIAL_FEATURES, gamma: float = RADIAL_GAMMA, seed: int = 7) -> tuple[DataFrame, list[str]]:
+    """df with n random Fourier features of values, whose products approach the radial kernel exp(-gamma * distance ** 2), and their names."""
+    rng = random.Random(seed)
+    names = [f"_r{k}" for k in range(n)]
+    wave = lambda: sum((F.col(v) * rng.gauss(0, (2 * gamma) ** 0.5) for v in values), F.lit(rng.uniform(0, 2 * math.pi)))
+    return df.withColumns({name: F.cos(wave()) * (2 / n) ** 0.5 for name in names}), names
+
+
 def classifier(df: DataFrame, values: list[str], label: str, kind: str = "svm"):
-    """A fitted model: svm (linear, C of 100) or random-forest (50 trees)."""
-    vectors = VectorAssembler(inputCols=values, outputCol="features", handleInvalid="skip").transform(df)
-    make = LinearSVC(regParam=0.01, maxIter=50, labelCol=label) if kind == "svm" else RandomForestClassifier(numTrees=50, featureSubsetStrategy="sqrt", seed=1, labelCol=label)
-    return make.fit(vectors)
+    """A fitted model: svm (linear), svm-rbf (on the radial features, which the caller adds) or random-forest (50 trees).
+
+    A cost C for each row is a penalty of 1 / (n * C) on the mean loss.
+    """
+    vectors = _assembled(df, values, "skip")
+    if kind == "random-forest":
+        return RandomForestClassifier(numTrees=50, featureSubsetStrategy="sqrt", seed=1, labelCol=label).fit(vectors)
+    cost = LINEAR_COST if kind == "svm" else RADIAL_COST
+    return LinearSVC(regParam=1 / (max(1, vectors.count()) * cost), maxIter=50, labelCol=label).fit(vectors)
+
+
+def classifier_group(kind: Column, zygosity: Column) -> Column:
+    """Which of the models a call goes to: snp or complex, het or hom."""
+    return F.concat_ws("_", F.when(kind == "SNP", "snp").otherwise("complex"), F.when(zygosity == "HET", "het").otherwise("hom"))
+
+
+GROUPS = ["snp_hom", "snp_het", "complex_hom", "complex_het"]
+
+
+def group_models(train: DataFrame, attributes: dict[str, list[str]], label: str, group: str = "group", kind: str = "svm") -> dict:
+    """(attribute group, call group) to a model, where the training rows hold both labels. Sixteen small fits at most for four attribute groups."""
+    have = {r[0] for r in train.groupBy(group).agg(F.countDistinct(label).alias("n")).where("n = 2").select(group).collect()}
+    return {(name, g): classifier(train.where(F.col(group) == g), values, label, kind) for name, values in attributes.items() for g in GROUPS if g in have}
+
+
+def scored_filter(df: DataFrame, models: dict, attributes: dict[str, list[str]], group: str, trusted: Column, specific: Column) -> DataFrame:
+    """Adds cfilters, the attribute groups whose model says fail (label 1), and CScoreFilter to the filters of calls with any.
+
+    Trusted calls pass and specific ones fail, whatever the models say; calls without a model pass.
+    """
+    out = df.withColumn("cfilters", F.array().cast("array<string>"))
+    for (name, g), model in models.items():
+        vectors = _assembled(out.withColumns({v: F.coalesce(v, F.lit(0.0)) for v in attributes[name]}), attributes[name], "keep")
+        got = model.transform(vectors).drop("features", "rawPrediction", "probability")
+        out = got.withColumn("cfilters", F.when((F.col(group) == g) & (F.col("prediction") == 1), F.array_union("cfilters", F.array(F.lit(name)))).otherwise(F.col("cfilters"))).drop("prediction")
+    bad = F.when(trusted, False).when(specific, True).otherwise(F.size("cfilters") > 0)
+    return out.withColumn("filters", F.when(bad, F.array(F.lit("CScoreFilter"))).otherwise(F.array().cast("array<string>")))
+
+
+def feature_ranking(df: DataFrame, values: list[str], label: str, depth: int = 5) -> list[str]:
+    """The values that a decision tree splits by, in the order in which its levels first do."""
+    model = DecisionTreeClassifier(maxDepth=depth, labelCol=label, impurity="entropy").fit(_assembled(df, values, "skip"))
+    first: dict[int, int] = {}
+    for line in model.toDebugString.splitlines():
+        if m := re.match(r"(\s*)If \(feature (\d+)", line):
+            first[int(m[2])] = min(first.get(int(m[2]), 1 << 30), len(m[1]))
+    return [values[k] for k in sorted(first, key=lambda k: (first[k], k))]
+
+
+def interleaved(lists: list[list]) -> list:
+    """Ranked lists as one, by rank and then by list, each entry once."""
+    out: dict = {}
+    for rank in range(max(map(len, lists), default=0)):
+        for own in lists:
+            if rank < len(own):
+                out.setdefault(own[rank])
+    return list(out)
 
 
 def classified(df: DataFrame, model, values: list[str]) -> DataFrame:
@@ -82,24 +161,108 @@ def rank_sum(df: DataFrame, site: str, value: str, is_alt: str) -> DataFrame:
     return sums.where("n1 > 0 and n2 > 0").select(site, u.alias("u"), ((u - mean) / sd).alias("z"))
 
 
+def _upto(n: Column) -> Column:
+    """1 to n, empty for 0."""
+    return F.when(n > 0, F.sequence(F.lit(1).cast("bigint"), n.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+
+
 def fisher_phred(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """-10 log10 of the two-sided exact p of a 2x2 table: sums the tables with its margins that are no likelier."""
-    lf = lambda n: F.aggregate(F.sequence(F.lit(0), n), F.lit(0.0), lambda s, i: s + F.ln(F.greatest(i, F.lit(1)).cast("double")))
+    """-10 log10 of the two-sided exact p of a 2x2 table: sums the tables with its margins that are no likelier.
+
+    Rows and columns are swapped so that the first of each is the smaller; the first cell then runs from 0, and each table's probability follows from the
+    one before, so the work grows with the margins alone.
+    """
+    rows = (a + b) > (c + d)
+    a, b, c, d = F.when(rows, c).otherwise(a), F.when(rows, d).otherwise(b), F.when(rows, a).otherwise(c), F.when(rows, b).otherwise(d)
+    cols = (a + c) > (b + d)
+    a, b, c, d = F.when(cols, b).otherwise(a), F.when(cols, a).otherwise(b), F.when(cols, d).otherwise(c), F.when(cols, c).otherwise(d)
     r1, r2, c1, n = a + b, c + d, a + c, a + b + c + d
-    fixed = lf(r1) + lf(r2) + lf(c1) + lf(b + d) - lf(n)
-    one = lambda x: fixed - lf(x) - lf(r1 - x) - lf(c1 - x) - lf(r2 - c1 + x)
-    low, high = F.greatest(F.lit(0).cast("bigint"), c1 - r2), F.least(r1, c1)
-    own = one(a)
-    p = F.aggregate(F.sequence(low, high), F.lit(0.0), lambda s, x: s + F.when(one(x) <= own + 1e-7, F.exp(one(x))).otherwise(0.0))
+    first = F.aggregate(_upto(c1), F.lit(0.0), lambda s, i: s + F.ln((r2 - i + 1) / (n - i + 1)))
+    step = lambda x: F.ln((r1 - x + 1) * (c1 - x + 1) / (x * (r2 - c1 + x)))
+    own = F.aggregate(_upto(a), first, lambda s, x: s + step(x))
+    start = F.struct(first.alias("l"), F.when(first <= own + 1e-7, F.exp(first)).otherwise(0.0).alias("p"))
+    def more(s, x):
+        now = s["l"] + step(x)
+        return F.struct(now.alias("l"), (s["p"] + F.when(now <= own + 1e-7, F.exp(now)).otherwise(0.0)).alias("p"))
+
+    p = F.aggregate(_upto(F.least(r1, c1)), start, more, lambda s: s["p"])
     return -10 * F.log10(F.least(F.lit(1.0), p))
 
 
+def strand_bias(pileup: DataFrame, site: str, least: int = 17) -> DataFrame:
+    """site and fs: the larger exact phred of two tables of alleles and strands, of all reads and of those whose base and mapping quality are at least least."""
+    cell = lambda alt, rev, ok: F.count_if((F.col("is_alt") == alt) & (F.col("is_reverse") == rev) & ok)
+    sure = (F.col("base_qual") >= least) & (F.col("map_qual") >= least)
+    corners = [(False, False), (False, True), (True, False), (True, True)]
+    counts = pileup.groupBy(site).agg(*[cell(x, y, ok).alias(f"{name}{k}") for name, ok in (("n", F.lit(True)), ("q", sure)) for k, (x, y) in enumerate(corners)])
+    return counts.select(site, F.greatest(*[fisher_phred(*[F.col(f"{name}{k}") for k in range(4)]) for name in ("n", "q")]).alias("fs"))
+
+
+def lower_tail(z: Column) -> Column:
+    """The probability that a normal variable lies below z, to some 1e-7."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * series
+    return F.when(z < 0, upper).otherwise(1 - upper)
+
+
+def probable_genotypes(pileup: DataFrame, site: str) -> DataFrame:
+    """site, three ratios of log10 likelihoods (each genotype to the likelier of the others) and the three negated likelihoods, for alternate shares of 0, 1/2 and 1.
+
+    pileup: base_qual, matches_ref; a read that matches has, at share v of the reference, the chance v (1 - e) + (1 - v) e for an error rate e.
+    """
+    e = F.pow(F.lit(10.0), -F.col("base_qual") / 10.0)
+    chance = lambda v: v * (1 - e) + (1 - v) * e
+    log = lambda v: F.sum(F.log10(F.when(F.col("matches_ref"), chance(v)).otherwise(1 - chance(v))))
+    sums = pileup.groupBy(site).agg(log(1.0).alias("hom_ref"), log(0.5).alias("het"), log(0.0).alias("hom_var"))
+    ratio = lambda own, *others: (F.col(own) - F.greatest(*others)).alias(f"{own}_ratio")
+    return sums.select(site, ratio("hom_ref", "het", "hom_var"), ratio("het", "hom_ref", "hom_var"), ratio("hom_var", "hom_ref", "het"), *[(-F.col(n)).alias(n) for n in ("hom_ref", "het", "hom_var")])
+
+
+def neighbour_quality(pileup: DataFrame, site: str, flank: int = 5) -> DataFrame:
+    """site and nbq: the mean base quality from flank bases before to flank - 1 after the place in the reads that have the alternate there; 0 without any.
+
+    pileup: offset (from 0, along the read as sequenced), quals (array, likewise), supports_alt.
+    """
+    near = F.filter(F.transform(F.sequence(F.col("offset") - flank, F.col("offset") + flank - 1), lambda k: F.when(k >= 0, F.get("quals", k.cast("int")))), lambda q: q.isNotNull())
+    own = pileup.select(site, F.when(F.col("supports_alt"), near).otherwise(F.array().cast(pileup.schema["quals"].dataType)).alias("q"))
+    sums = own.groupBy(site).agg(F.sum(F.aggregate("q", F.lit(0.0), lambda s, x: s + x)).alias("s"), F.sum(F.size("q")).alias("n"))
+    return sums.select(site, F.round(F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0), 2).alias("nbq"))
+
+
 def balance_interval(df: DataFrame, site: str, ref_count: str, alt_count: str) -> DataFrame:
-    """5, 50 and 95 percent points of the alternate share's posterior, over 101 steps."""
-    steps = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(100)))).withColumn("f", F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("k") / 100)))
-    logs = steps.withColumn("l", F.col(alt_count) * F.log10("f") + F.col(ref_count) * F.log10(1 - F.col("f")))
-    by = Window.partitionBy(site)
-    mass = logs.withColumn("p", F.pow(F.lit(10.0), F.col("l") - F.max("l").over(by)))
-    upto = mass.withColumn("c", F.sum("p").over(by.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("p").over(by))
-    point = lambda share: F.min(F.when(F.col("c") >= share, F.col("k"))) / 100
-    return upto.groupBy(site).agg(point(0.05).alias("p5"), point(0.5).alias("p50"), point(0.95).alias("p95"))
+    """5, 50 and 95 percent points of the alternate share's posterior, over 101 steps; within the row, by array functions."""
+    share = lambda k: F.greatest(F.lit(0.001), F.least(F.lit(0.999), k / 100))
+    logs = F.transform(F.sequence(F.lit(0), F.lit(100)), lambda k: F.col(alt_count) * F.log10(share(k)) + F.col(ref_count) * F.log10(1 - share(k)))
+    mass = df.withColumn("_l", logs).withColumn("_p", F.transform("_l", lambda x: F.pow(F.lit(10.0), x - F.array_max("_l"))))
+    running = F.aggregate("_p", F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("all")), lambda a, x: F.struct((a["s"] + x).alias("s"), F.array_append(a["all"], a["s"] + x).alias("all")), lambda a: a["all"])
+    upto = mass.withColumn("_c", running)
+    point = lambda q: (F.size(F.filter("_c", lambda c: c < q * F.element_at("_c", -1))) / 100)
+    return upto.select(site, point(0.05).alias("p5"), point(0.5).alias("p50"), point(0.95).alias("p95"))
+
+
+TRANSITIONS = ["AG", "GA", "CT", "TC"]
+
+
+def evaluation(df: DataFrame) -> DataFrame:
+    """One row of counts over records (type, ref, alts, zygosity, novel): snps, transitions over transversions, het and hom calls, insertions, deletions and the share of novel ones."""
+    alt = F.get("alts", F.lit(0))
+    snp = F.col("type") == "SNP"
+    ts = snp & F.concat("ref", alt).isin(TRANSITIONS)
+    indel = F.col("type") == "INDEL"
+    return df.agg(
+        F.count_if(snp).alias("n_snps"), F.round(F.count_if(ts) / F.nullif(F.count_if(snp & ~ts), F.lit(0)), 6).alias("ti_tv"), F.count_if(F.col("zygosity") == "HET").alias("hets"), F.count_if(F.col("zygosity") == "HOM_VAR").alias("homs"),
+        F.count_if(indel & (F.length(alt) > F.length("ref"))).alias("insertions"), F.count_if(indel & (F.length(alt) < F.length("ref"))).alias("deletions"), F.round(F.count_if(F.col("novel")) / F.nullif(F.count(F.lit(1)), F.lit(0)), 6).alias("novelty"),
+    )
+
+
+def available(df: DataFrame, names: list[str]) -> DataFrame:
+    """name of the metrics that have any value, by one aggregation."""
+    row = df.agg(*[F.max(F.col(n).isNotNull()).alias(n) for n in names])
+    return row.select(F.explode(F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("any")) for n in names]), lambda x: x["any"])).alias("x")).select("x.name")
+
+
+def choices(df: DataFrame, names: list[str]) -> DataFrame:
+    """name and choices: the distinct values, sorted, of category metrics (arrays of text)."""
+    each = df.select(F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("k"), F.col(n).alias("v")) for n in names]))).alias("name", "values"))
+    return each.select("name", F.explode("values").alias("v")).groupBy("name").agg(F.array_sort(F.collect_set("v")).alias("choices"))

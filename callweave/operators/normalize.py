@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions.sequence import left_align
+from callweave.operators.sizes import sent
 
 
 def contig_names(order: list[str]) -> dict[str, str]:
@@ -23,12 +24,12 @@ def contig_names(order: list[str]) -> dict[str, str]:
 
 def remapped(df: DataFrame, mapping: DataFrame, column: str = "chr") -> DataFrame:
     """Contigs renamed by mapping (old, new), a row for each contig; rows of unknown ones go."""
-    names = F.broadcast(mapping.select(F.col("old").alias(column), "new"))
+    names = sent(mapping.select(F.col("old").alias(column), "new"))
     return df.join(names, column).drop(column).withColumnRenamed("new", column).select(*df.columns)
 
 
 def unmapped(df: DataFrame, mapping: DataFrame, column: str = "chr") -> DataFrame:
-    return df.join(F.broadcast(mapping.select(F.col("old").alias(column))), column, "left_anti")
+    return df.join(sent(mapping.select(F.col("old").alias(column))), column, "left_anti")
 
 
 def cleaned(df: DataFrame) -> DataFrame:

@@ -52,3 +52,37 @@ def score(calls: DataFrame, truth: DataFrame, contig: str = "contig") -> DataFra
     extra = out.where(~F.col("known")).join(deleted, (F.col(contig) == F.col("dc")) & (F.col("start") >= F.col("ds")) & (F.col("start") <= F.col("de")), "left_anti")
     missed = truth.join(out.where("known").select(contig, "start"), [contig, "start"], "left_anti").select(contig, F.lit(None).cast("long").alias("block"), "start", F.lit(True).alias("known"), F.lit("discordant").alias("comparison"))
     return out.where("known").unionByName(extra).unionByName(missed)
+
+
+def variant_kind(types: list[str]):
+    """indel if any record involved is one, snp if all are single bases, else unknown; an aggregate over rows with those columns, whose nulls don't count."""
+    any_indel = F.lit(False)
+    all_snp = F.lit(True)
+    for t in types:
+        any_indel = any_indel | F.coalesce(F.col(t).isin("INDEL", "MIXED"), F.lit(False))
+        all_snp = all_snp & F.coalesce(F.col(t) == "SNP", F.lit(True))
+    return F.when(F.bool_or(any_indel), "indel").when(F.bool_and(all_snp), "snp").otherwise("unknown")
+
+
+def other_alternate(alleles, ref, matched) -> object:
+    """True for a heterozygous call that has a second alternate beside the matched allele."""
+    return (F.size(F.array_distinct(alleles)) > 1) & F.exists(alleles, lambda a: (a != ref) & (a != matched))
+
+
+def metrics(scored: DataFrame) -> DataFrame:
+    """comparison, kind, n and blocks: records and distinct blocks by outcome and kind of variant. scored: comparison, kind, contig, block."""
+    return scored.groupBy("comparison", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("contig", "block").alias("blocks"))
+
+
+#: Outputs of a phased comparison by outcome, in a comparison and in a grading.
+COMPARE_OUTPUTS = {"concordant": "concordant", "ref-concordant": "concordant", "phasing-error": "discordant", "discordant": "discordant"}
+GRADE_OUTPUTS = {"concordant": "concordant", "ref-concordant": "concordant", "phasing-error": "phasing-error", "discordant": "discordant"}
+
+
+def outputs(scored: DataFrame, grade: bool = False) -> DataFrame:
+    """Scored rows with output: the file that each goes to; in a grading, truth without a call goes to discordant-missing. scored: comparison, known, block."""
+    table = GRADE_OUTPUTS if grade else COMPARE_OUTPUTS
+    out = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col("comparison")]
+    if grade:
+        out = F.when((F.col("comparison") == "discordant") & F.col("known") & F.col("block").isNull(), "discordant-missing").otherwise(out)
+    return scored.withColumn("output", out)

@@ -49,3 +49,21 @@ def outside_deletions(calls: DataFrame, others: DataFrame) -> DataFrame:
     points = calls.withColumns({"_end": F.col("end"), "end": F.col("start")})
     spans = others.where("type = 'DEL'").select("contig", "start", "end")
     return overlap_join(points, spans, how="left_anti").withColumn("end", F.col("_end")).drop("_end")
+
+
+def merged_into(calls: DataFrame, variants: DataFrame) -> DataFrame:
+    """Small calls outside the structural variants, and those: contig, start, end and the columns that both have."""
+    shared = [c for c in calls.columns if c in variants.columns]
+    outside = overlap_join(calls, variants.select("contig", "start", "end"), how="left_anti")
+    return outside.select(*shared).unionByName(variants.select(*shared))
+
+
+def overlapping(df: DataFrame, key: str) -> DataFrame:
+    """Each row with the first other row, by start and key, that it overlaps: key and key_b."""
+    met = overlap_join(df, df).where(F.col(key) != F.col(f"{key}_b"))
+    return met.groupBy(key).agg(F.min(F.struct("start_b", f"{key}_b")).alias("m")).select(key, F.col(f"m.{key}_b").alias(f"{key}_b"))
+
+
+def bed_regions(df: DataFrame) -> DataFrame:
+    """chr, start, end of deletions and insertions, widened to the bounds of with_bounds()."""
+    return df.where("type in ('DEL', 'INS')").select(F.col("contig").alias("chr"), F.greatest(F.lit(1), "lo").alias("start"), F.when(F.col("type") == "INS", F.col("hi")).otherwise(F.col("end_hi")).alias("end"))

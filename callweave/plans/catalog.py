@@ -320,7 +320,7 @@ def rule_yes_no(t):
 @query(f"with {_CALLS} select site, caller, case when gt like 'N%' then depth < 4 or (depth < 13 and qual < 20 and disc > 0.1 and tax * 1000 > 10) else (depth < 4 and qual < 50) or (depth < 13 and (disc > 0.1 or tax * 1000 > -90)) end as dropped from calls")
 def custom_caller_filter(t):
     kind = F.when(F.col("gt").startswith("N"), "HET").otherwise("HOM_VAR")
-    return t.calls().select("site", "caller", filters.haplotype_caller_filter(kind, F.col("depth"), F.col("qual"), F.col("disc"), F.col("tax") * 1000).alias("dropped"))
+    return t.calls().select("site", "caller", filters.freebayes_filter(kind, dp=F.col("depth"), qual=F.col("qual"), ad=F.col("disc"), ratio=F.col("tax") * 1000).alias("dropped"))
 
 
 @query(f"with {_CALLS} select site, caller, round(abs(case when gt like 'N%' then 0.5 when gt like 'A%' then 1.0 else 0.0 end - depth / (depth + qual)), 6) as ad from calls where depth + qual > 0")
@@ -512,7 +512,7 @@ def annotation_lookup(t):
     return t.calls().groupBy("site").agg(F.concat(F.lit("p_"), F.when(F.max("disc") > 0.05, "yes").otherwise("no")).alias("public"), F.max("disc").isNotNull().alias("has_disc"))
 
 
-@query(None)
+@query("select o_orderkey, min(o_totalprice) as o_totalprice from orders group by 1 order by md5(cast(o_orderkey as varchar)), o_orderkey limit 500")
 def random_subset(t):
     return metrics.random_rows(t.orders.select("o_orderkey", "o_totalprice").dropDuplicates(["o_orderkey"]), ["o_orderkey"], 500)
 

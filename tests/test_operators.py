@@ -8,7 +8,7 @@ import __spark_entry__
 from callweave.functions import genotypes as G
 from callweave.functions.sequence import left_align
 from callweave.operators import filters, intervals, metrics, phasing, structural
-from callweave.plans import catalog
+from callweave.plans import catalog, record_queries  # noqa: F401
 from callweave.sources import tables, vcf
 
 SF = "/root/testdata/sf0.001"
