@@ -137,11 +137,13 @@ class Bilinear:
             p[...] = values[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def context(self, before: np.ndarray) -> np.ndarray:
-        q = self.vectors[before[:, 0]] * self.places[0]
+    def context(self, before: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The context vectors, and the classes' vectors that they are made of, by place."""
+        parts = [self.vectors.take(before[:, k], axis=0) for k in range(CONTEXT)]
+        q = parts[0] * self.places[0]
         for k in range(1, CONTEXT):
-            q += self.vectors[before[:, k]] * self.places[k]
-        return q
+            q += parts[k] * self.places[k]
+        return q, parts
 
     @staticmethod
     def _contrast(q, target, noise, out, bias, prior, d_out, d_bias) -> np.ndarray:
@@ -160,27 +162,28 @@ class Bilinear:
 
     def learn(self, target: np.ndarray, before: np.ndarray, rng: np.random.Generator) -> None:
         """One step over a batch of tokens: groups, and in each group its classes, are told from draws of their shares, which the batch meets together."""
-        n, q = len(target), self.context(before)
+        n, (q, parts) = len(target), self.context(before)
         grads = [np.zeros_like(p) for p in self._all()]
         d_vectors, d_places, d_tops, d_outs, d_top_bias, d_bias = grads
         group, member = target % GROUPS, target // GROUPS
         dq = self._contrast(q, group, rng.choice(GROUPS, NOISE, p=self.top_noise), self.tops, self.top_bias, self.top_noise, d_tops, d_top_bias)
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.int16), kind="stable")
         ends = np.cumsum(np.bincount(group, minlength=GROUPS))
         draws = rng.random((GROUPS, NOISE))
+        sorted_q, sorted_member, sorted_dq = q.take(order, axis=0), member[order], np.empty_like(q)
         for g in range(GROUPS):
-            rows = order[(ends[g - 1] if g else 0) : ends[g]]
-            if len(rows):
+            rows = slice(ends[g - 1] if g else 0, ends[g])
+            if rows.start < rows.stop:
                 noise = np.minimum(np.searchsorted(np.cumsum(self.noise[:, g]), draws[g]), MEMBERS - 1)
-                out, bias = self.outs[:, g], self.bias[:, g]
-                dq[rows] += self._contrast(q[rows], member[rows], noise, out, bias, self.noise[:, g], d_outs[:, g], d_bias[:, g])
+                sorted_dq[rows] = self._contrast(sorted_q[rows], sorted_member[rows], noise, self.outs[:, g], self.bias[:, g], self.noise[:, g], d_outs[:, g], d_bias[:, g])
+        dq[order] += sorted_dq
         for k in range(CONTEXT):
-            at = before[:, k]
-            d_places[k] = (dq * self.vectors[at]).sum(0)
-        rows, values = before.ravel(), (dq[:, None, :] * self.places).reshape(-1, WIDTH)
-        by = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], rows[by][1:] != rows[by][:-1]]))
-        d_vectors[rows[by][first]] = np.add.reduceat(values[by], first, axis=0)
+            d_places[k] = np.einsum("ij,ij->j", dq, parts[k])
+            at = before[:, k].astype(np.int16)
+            by = np.argsort(at, kind="stable")
+            at = at[by]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            d_vectors[at[first]] += np.add.reduceat(dq.take(by, axis=0), first, axis=0) * self.places[k]
         for p, s, d in zip(self._all(), self.squares, grads, strict=True):
             d /= n
             s += d * d
@@ -190,10 +193,10 @@ class Bilinear:
         """Of each target, normalised over groups and over the classes of its group."""
         out = np.empty(len(target))
         for lo in range(0, len(target), 16_384):
-            own, q = target[lo : lo + 16_384], self.context(before[lo : lo + 16_384])
+            own, q = target[lo : lo + 16_384], self.context(before[lo : lo + 16_384])[0]
             group, member = own % GROUPS, own // GROUPS
             part = _log_share(q @ self.tops.T + self.top_bias, group)
-            order = np.argsort(group, kind="stable")
+            order = np.argsort(group.astype(np.int16), kind="stable")
             ends = np.cumsum(np.bincount(group, minlength=GROUPS))
             for g in range(GROUPS):
                 rows = order[(ends[g - 1] if g else 0) : ends[g]]
@@ -211,7 +214,8 @@ def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
 
 class Model:
