@@ -25,14 +25,14 @@ def bed_lines(df: DataFrame) -> DataFrame:
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """contig, length and its place in the file, read in one task as the file is one line for each contig."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     rows = lines.select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("place", "line"))
     return rows.select(F.split("line", "\t")[0].alias("contig"), F.split("line", "\t")[1].cast("int").alias("length"), "place")
 
 
 def read_dict(spark: SparkSession, path: str) -> DataFrame:
     """contig, length and place of a sequence dictionary (.dict)."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     rows = lines.select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: x.startswith("@SQ"))).alias("place", "line"))
     tag = lambda name: F.regexp_extract("line", f"\t{name}:([^\t]+)", 1)
     return rows.select(tag("SN").alias("contig"), tag("LN").cast("long").alias("length"), "place")
@@ -84,7 +84,7 @@ def read_commented(spark: SparkSession, path: str, least: int = 2) -> DataFrame:
 
 def read_report(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Rows of one table of a report file, in which a table is a line #:GATKTable:<name>:..., a line of column names and rows up to an empty line. Columns are text."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     block = F.regexp_extract("value", rf"(?s)#:GATKTable:{table}:[^\n]*\n(.*?)(?:\n\s*\n|$)", 1)
     rows = lines.select(F.posexplode(F.filter(F.split(block, "\n"), lambda x: x != "")).alias("at", "line")).select("at", F.split(F.trim("line"), r"\s+").alias("p"))
     head = rows.where("at = 0").first()

@@ -16,11 +16,11 @@ def read_vcf(spark: SparkSession, path: str, callset: str | None = None) -> Data
     names = lines.where(F.col("value").startswith("#CHROM")).select("file", F.slice(part, 10, F.size(part)).alias("names"))
     rows = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0)).join(names, "file", "left")
     rows = rows.select((F.lit(callset) if callset else F.col("file_name")).alias("fname"), F.coalesce("names", F.array().cast("array<string>")).alias("names"), part.alias("p"))
-    info = F.expr("if(p[7] = '.', map(), map_from_entries(transform(filter(split(ltrim(';', p[7]), ';'), x -> x <> ''), x -> struct(split_part(x, '=', 1) as k, if(instr(x, '=') > 0, substring(x, instr(x, '=') + 1), 'true') as v))))")
+    info = F.expr("if(get(p, 7) = '.', map(), map_from_entries(transform(filter(split(ltrim(';', get(p, 7)), ';'), x -> x <> ''), x -> struct(split_part(x, '=', 1) as k, if(instr(x, '=') > 0, substring(x, instr(x, '=') + 1), 'true') as v))))")
     named = rows.select(
-        "fname", "names", F.expr("p[0]").alias("chr"), F.expr("cast(p[1] as int)").alias("start"), F.expr("nullif(p[2], '.')").alias("id"), F.expr("upper(p[3])").alias("ref"), F.expr("filter(split(p[4], ','), a -> a <> '.')").alias("alts"),
-        F.expr("try_cast(p[5] as double)").alias("qual"), F.expr("array_sort(array_distinct(filter(split(p[6], ';'), f -> f not in ('.', 'PASS', ''))))").alias("filters"), info.alias("info"),
-        F.expr("if(size(p) > 9, split(p[8], ':'), cast(array() as array<string>))").alias("fmt"), F.expr("if(size(p) > 9, slice(p, 10, size(p)), cast(array() as array<string>))").alias("calls"),
+        "fname", "names", F.expr("get(p, 0)").alias("chr"), F.expr("cast(get(p, 1) as int)").alias("start"), F.expr("nullif(get(p, 2), '.')").alias("id"), F.expr("upper(get(p, 3))").alias("ref"), F.expr("filter(split(get(p, 4), ','), a -> a <> '.')").alias("alts"),
+        F.expr("try_cast(get(p, 5) as double)").alias("qual"), F.expr("array_sort(array_distinct(filter(split(get(p, 6), ';'), f -> f not in ('.', 'PASS', ''))))").alias("filters"), info.alias("info"),
+        F.expr("if(size(p) > 9, split(get(p, 8), ':'), cast(array() as array<string>))").alias("fmt"), F.expr("if(size(p) > 9, slice(p, 10, size(p)), cast(array() as array<string>))").alias("calls"),
     )
     geno = (
         "transform(calls, (c, i) -> named_struct('sample', get(names, i), 'attrs', map_from_arrays(slice(fmt, 1, least(size(fmt), size(split(c, ':')))), slice(split(c, ':'), 1, least(size(fmt), size(split(c, ':')))))))"
