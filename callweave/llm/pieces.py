@@ -39,6 +39,8 @@ from callweave.llm.textblocks import mixed
 
 SAMPLES, SHARPNESS = 3, 1.0
 SLICE_CHARS = 1 << 21
+#: Words whose own ids a worker keeps at once; ids decoded at once.
+KEPT_WORDS, DECODED_IDS = 200_000, 1 << 20
 _MASK, _TOP_BITS, _SPREAD = (1 << 64) - 1, 20, np.uint64(0x9E3779B97F4A7C15)
 _BLANK = "▁"
 
@@ -51,6 +53,7 @@ class Vocabulary:
         size = self.processor.get_piece_size()
         plain = [i for i in range(size) if not (self.processor.is_control(i) or self.processor.is_unknown(i) or self.processor.is_byte(i))]
         self.pieces = {self.processor.id_to_piece(i): i for i in plain}
+        self.pieces_by_id = {i: p for p, i in self.pieces.items()}
         self.first_byte = self.processor.piece_to_id("<0x00>")
         self.longest = max(map(len, self.pieces))
         joined = {c for p in self.pieces if len(p) > 1 for c in p}
@@ -72,6 +75,13 @@ class Vocabulary:
         scores = np.array([self.processor.get_score(int(i)) if i >= 0 else 0.0 for i in self.ids])
         self.weights = -SHARPNESS * np.log(2 + np.minimum(-np.minimum(scores, 0), size))
         self.byte_weight = -SHARPNESS * math.log(2 + size)
+        # the bytes that each id stands for in a text; ids without any (marks of the model) are left to the model
+        parts = [b"" if i not in self.pieces_by_id and not self.processor.is_byte(i) else bytes([i - self.first_byte]) if self.processor.is_byte(i) else self.pieces_by_id[i].replace(_BLANK, " ").encode() for i in range(size)]
+        self.sizes = np.array([len(p) for p in parts])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(parts), np.uint8)
+        self.blank_first = np.array([p[:1] == b" " and i in self.pieces_by_id for i, p in enumerate(parts)])
+        self.known: dict[str, bytes] = {"": b""}
 
     def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether each hash is known, its place)."""
@@ -384,45 +394,64 @@ def ids_of(sample: Sample, bare: np.ndarray, vocabulary: Vocabulary) -> np.ndarr
     return np.concatenate([*out, sample.ids[at:]]).astype("<u4")
 
 
-def sampled(documents: DataFrame, model: str, k: int = SAMPLES, key: str = "doc_id", with_ids: bool = False, with_text: bool = False) -> DataFrame:
-    """key, sample (from 1), n_pieces, log_prob, perturbed, log_inclusion, ids_crc32 and, if asked for, ids and the text of up to k distinct segmentations of each text."""
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of SLICE_CHARS together; a longer one goes alone."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE_CHARS):
+            size += len(texts[hi])
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
+_FIELDS = [("sample", "int", pa.int32()), ("n_pieces", "long", pa.int64()), ("log_prob", "double", pa.float64()), ("perturbed", "double", pa.float64()), ("log_inclusion", "double", pa.float64()), ("ids_crc32", "long", pa.int64())]
+
+
+def _drawn(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int) -> Iterator[tuple]:
+    """(text, sample, n_pieces, log_prob, perturbed, log_inclusion, ids_crc32, ids) of the samples of each text."""
+    for d, (samples, threshold, bare) in enumerate(top_k(texts, keys, vocabulary, k)):
+        for n, s in enumerate(samples):
+            ids = ids_of(s, bare, vocabulary)
+            log_p = float(s.log_p.sum())
+            yield d, n + 1, len(ids), log_p, s.perturbed, _log_inclusion(log_p, threshold), zlib.crc32(ids.tobytes()), ids
+
+
+def _source(documents: DataFrame, key: str) -> DataFrame:
     bounded_batches(documents.sparkSession)
+    return documents.select(F.col(key).alias("key"), F.xxhash64(key).alias("seed"), F.col("text").cast("string").alias("text"))
+
+
+def _sampled(documents: DataFrame, model: str, k: int, key: str, own: bool) -> DataFrame:
+    """Samples with their ids; with own, the model's own encoding as sample 0 too, and whether the decoded ids are the text."""
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            keys = batch.column(1).to_numpy().view(np.uint64)
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE_CHARS):
-                    size += len(texts[hi])
-                    hi += 1
-                rows: list[tuple] = []
-                for d, (samples, threshold, bare) in enumerate(top_k(texts[lo:hi], keys[lo:hi], vocabulary, k)):
-                    for n, s in enumerate(samples):
-                        ids = ids_of(s, bare, vocabulary)
-                        log_p = float(s.log_p.sum())
-                        rows.append((lo + d, n + 1, len(ids), log_p, s.perturbed, _log_inclusion(log_p, threshold), zlib.crc32(ids.tobytes()), ids if with_ids else None))
+            texts, keys = [t or "" for t in batch.column(2).to_pylist()], batch.column(1).to_numpy().view(np.uint64)
+            for lo, hi in _slices(texts):
+                rows = list(_drawn(texts[lo:hi], keys[lo:hi], vocabulary, k))
+                if own:
+                    rows += [(d, 0, len(ids), None, None, None, None, ids) for d, ids in enumerate(encoded_ids(texts[lo:hi], vocabulary))]
                 columns = list(zip(*rows, strict=True))
-                arrays = [batch.column(0).take(pa.array(columns[0], pa.int64()))]
-                arrays += [pa.array(c, t) for c, t in zip(columns[1:7], (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True)]
-                if with_ids:
-                    arrays.append(_lists(columns[7]))
-                names = ["key", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", *(["ids"] if with_ids else []), *(["text"] if with_text else [])]
-                if not with_text:
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
-                # with their texts, rows go in parts
-                for part in _parts([len(texts[d]) for d in columns[0]]) if with_text else ():
-                    text = batch.column(2).take(pa.array(columns[0][part], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*(a.slice(part.start, part.stop - part.start) for a in arrays), text], names=names)
-                lo = hi
-
-    source = documents.select(F.col(key).alias("key"), F.xxhash64(key).alias("seed"), F.col("text").cast("string").alias("text"))
-    schema = f"key {kind}, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long" + (", ids array<int>" if with_ids else "") + (", text string" if with_text else "")
-    return source.mapInArrow(trimmed(run), schema).withColumnRenamed("key", key)
+                at, ids = pa.array(columns[0], pa.int64()), _lists(columns[7])
+                arrays = [batch.column(0).slice(lo, hi - lo).take(at), *(pa.array(c, t) for c, (_, _, t) in zip(columns[1:7], _FIELDS, strict=True)), ids]
+                names = ["key", *(n for n, _, _ in _FIELDS), "ids"]
+                if own:
+                    same = [t == texts[lo + d] for t, d in zip(decoded_texts(ids, vocabulary), columns[0], strict=True)]
+                    arrays.append(pa.array(same, pa.bool_()))
+                    names.append("gives_text")
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    schema = f"key {kind}, " + ", ".join(f"{n} {t}" for n, t, _ in _FIELDS) + ", ids array<int>" + (", gives_text boolean" if own else "")
+    return _source(documents, key).mapInArrow(trimmed(run), schema).withColumnRenamed("key", key)
+
+
+def sampled(documents: DataFrame, model: str, k: int = SAMPLES, key: str = "doc_id") -> DataFrame:
+    """key, sample (from 1), n_pieces, log_prob, perturbed, log_inclusion, ids_crc32 and ids of up to k distinct segmentations of each text."""
+    return _sampled(documents, model, k, key, own=False)
 
 
 def _lists(ids) -> pa.Array:
@@ -431,18 +460,6 @@ def _lists(ids) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)))
 
 
-def _parts(sizes: list[int]) -> Iterator[slice]:
-    """Rows in turn, of SLICE_CHARS together; a longer one goes alone."""
-    lo = 0
-    while lo < len(sizes):
-        hi, size = lo, 0
-        while hi < len(sizes) and (hi == lo or size + sizes[hi] <= SLICE_CHARS):
-            size += sizes[hi]
-            hi += 1
-        yield slice(lo, hi)
-        lo = hi
-
-
 def _log_inclusion(log_p: float, threshold: float) -> float:
     """ln(1 - exp(-exp(log_p - threshold)))."""
     if threshold == -math.inf:
@@ -451,16 +468,56 @@ def _log_inclusion(log_p: float, threshold: float) -> float:
     return x if x < -30 else math.log(-math.expm1(-math.exp(min(x, 700.0))))
 
 
+def encoded_ids(texts: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
+    """The model's own ids; words between single blanks are encoded once and then looked up."""
+    known = vocabulary.known
+    if len(known) > KEPT_WORDS:
+        known.clear()
+    plain = [bool(t) and "  " not in t and _BLANK not in t and t[0] != " " and t[-1] != " " for t in texts]
+    split = [t.split(" ") if p else () for t, p in zip(texts, plain, strict=True)]
+    new = list(set().union(*split).difference(known))
+    for word, ids in zip(new, vocabulary.processor.encode(new), strict=True):
+        known[word] = np.array(ids, np.int32).tobytes()
+    get = known.__getitem__
+    return [np.frombuffer(b"".join(map(get, words)), np.int32) if p else np.array(vocabulary.processor.encode(t), np.int32) for t, p, words in zip(texts, plain, split, strict=True)]
+
+
 def encoded(texts: list[str], vocabulary: Vocabulary) -> list[list[int]]:
-    """The model's own ids; distinct words between single blanks are encoded once."""
-    plain = [t for t in texts if t and "  " not in t and not t.startswith(" ") and not t.endswith(" ")]
-    words = list(dict.fromkeys(w for t in plain for w in t.split(" ")))
-    known = dict(zip(words, vocabulary.processor.encode(words), strict=True))
-    return [[i for w in t.split(" ") for i in known[w]] if t and "  " not in t and not t.startswith(" ") and not t.endswith(" ") else vocabulary.processor.encode(t) for t in texts]
+    return [ids.tolist() for ids in encoded_ids(texts, vocabulary)]
+
+
+def decoded_texts(lists: pa.ListArray, vocabulary: Vocabulary) -> Iterator[str | None]:
+    """The texts of lists of ids, null for null: the bytes of all pieces in turn, but for the blank at the start. Lists with ids that have no bytes, or whose bytes
+    are no text, are decoded by the model."""
+    values, ends, none = lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_null().to_numpy(zero_copy_only=False)
+    lo = 0
+    while lo < len(lists):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + DECODED_IDS, "right")) - 1)
+        ids = values[ends[lo] : ends[hi]]
+        size, begin = vocabulary.sizes[ids], vocabulary.begins[ids]
+        first = (ends[lo:hi] - ends[lo])[ends[lo:hi] < ends[lo + 1 : hi + 1]]
+        cut = vocabulary.blank_first[ids[first]]
+        begin[first] += cut
+        odd = np.concatenate([[0], np.cumsum(size == 0)])
+        size[first] -= cut
+        stop = np.cumsum(size)
+        data = vocabulary.blob[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)].tobytes()
+        at = np.concatenate([[0], stop])[ends[lo : hi + 1] - ends[lo]].tolist()
+        strange = (np.diff(odd[ends[lo : hi + 1] - ends[lo]]) > 0).tolist()
+        for k in range(hi - lo):
+            if none[lo + k]:
+                yield None
+                continue
+            try:
+                text = None if strange[k] else data[at[k] : at[k + 1]].decode()
+            except UnicodeDecodeError:
+                text = None
+            yield vocabulary.processor.decode(values[ends[lo + k] : ends[lo + k + 1]].tolist()) if text is None else text
+        lo = hi
 
 
 def decoded(ids: list[list[int]], vocabulary: Vocabulary) -> list[str]:
-    return [vocabulary.processor.decode(i) for i in ids]
+    return list(decoded_texts(_lists([np.array(i, np.int32) for i in ids]), vocabulary))
 
 
 def _with(table: DataFrame, model: str, field: T.StructField, source: str, make) -> DataFrame:
@@ -477,25 +534,16 @@ def _with(table: DataFrame, model: str, field: T.StructField, source: str, make)
 
 
 def coded(documents: DataFrame, model: str, k: int = SAMPLES, key: str = "doc_id") -> DataFrame:
-    """The rows of sampled() with their ids, and a row of the model's own encoding as sample 0, which is no draw and has neither probabilities nor a digest;
+    """The rows of sampled(), and a row of the model's own encoding as sample 0, which is no draw and has neither probabilities nor a digest;
     gives_text tells whether the decoded ids are the text (they aren't where the text holds the blank's mark itself, which decodes to a blank)."""
-    texts = documents.select(key, F.col("text").cast("string").alias("text"))
-    own = encode(texts, model).select(key, F.lit(0).alias("sample"), F.size("ids").cast("long").alias("n_pieces"), "ids", "text")
-    both = sampled(texts, model, k, key, with_ids=True, with_text=True).unionByName(own, allowMissingColumns=True)
-    return decode(both, model).withColumn("gives_text", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("text", "decoded")
+    return _sampled(documents, model, k, key, own=True)
 
 
 def encode(table: DataFrame, model: str, text: str = "text", name: str = "ids") -> DataFrame:
     """The table's columns and the model's own ids of the text; null text counts as empty."""
-    return _with(table, model, T.StructField(name, T.ArrayType(T.IntegerType())), text, lambda texts, vocabulary: _lists(encoded([t or "" for t in texts.to_pylist()], vocabulary)))
+    return _with(table, model, T.StructField(name, T.ArrayType(T.IntegerType())), text, lambda texts, vocabulary: _lists(encoded_ids([t or "" for t in texts.to_pylist()], vocabulary)))
 
 
 def decode(table: DataFrame, model: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """The table's columns and the text that the ids stand for; null ids give a null."""
-
-    def run(column, vocabulary: Vocabulary) -> pa.Array:
-        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-        texts = (None if none else vocabulary.processor.decode(values[lo:hi].tolist()) for none, lo, hi in zip(column.is_null().to_pylist(), ends[:-1], ends[1:], strict=True))
-        return pa.array(texts, pa.string())
-
-    return _with(table, model, T.StructField(name, T.StringType()), ids, run)
+    return _with(table, model, T.StructField(name, T.StringType()), ids, lambda lists, vocabulary: pa.array(decoded_texts(lists, vocabulary), pa.string()))
