@@ -2,7 +2,8 @@
 
 Each turn has two 64-bit hashes of its place, role and text; the running exclusive-or over a conversation's turns is the rolling hash of each of its
 prefixes. An anti-join drops every conversation whose whole hash is that of a proper prefix of another one; of equal ones the smallest conv_id stays.
-DataFrame and SQL functions only. The running hash streams over the sorted turns of a conversation, so its memory doesn't grow with them.
+DataFrame and SQL functions only. The turns are sorted by range once and written; a conversation may span many ranges, in each of which places and running
+hashes start from what the ranges before it add up to. After that only hashes are dealt, and the texts of the conversations that stay.
 
 Cases. Null conv_id: its turns are one conversation of their own, the null one. Turns are ordered by turn, role, text (nulls first) and numbered anew,
 so gaps and repeated turn numbers do no harm; rows repeated in full count as turns. Null role or text differs from an empty one when compared, and is
@@ -14,34 +15,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.llm.common import shuffle_partitions, written
 
-def prefixes(conversations: DataFrame) -> DataFrame:
-    """conv_id, place (from 1), role, text, and the prefix hashes h1, h2 up to that turn."""
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    rows = conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("place", F.row_number().over(order))
-    own = ["place", F.col("role").isNull(), "role", F.col("text").isNull(), "text"]
-    rows = rows.withColumn("o1", F.xxhash64(F.lit(17), *own)).withColumn("o2", F.xxhash64(F.lit(1_000_003), *own))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("conv_id", "place", "role", "text", F.bit_xor("o1").over(running).alias("h1"), F.bit_xor("o2").over(running).alias("h2"))
 
+def ordered(conversations: DataFrame) -> DataFrame:
+    """conv_id, role, text, range, seq (which orders all turns, without gaps in a range) and two hashes t1, t2 of role and text; a written table."""
+    spread = "_even"  # turns that are equal in all may lie in any order
+    rows = conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).withColumn(spread, F.rand(5))
+    keys = [*(F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")), F.col(spread)]
+    own = [F.col("role").isNull(), "role", F.col("text").isNull(), "text"]
+    ranged = rows.repartitionByRange(shuffle_partitions(conversations.sparkSession), *keys).sortWithinPartitions(*keys)
+    return written(ranged.select("conv_id", "role", "text", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("seq"), F.xxhash64(F.lit(17), *own).alias("t1"), F.xxhash64(F.lit(1_000_003), *own).alias("t2")))
 
-def maximal(conversations: DataFrame) -> DataFrame:
-    """conv_id and n_turns of the conversations that are a prefix of no longer one and of no equal one with a smaller conv_id."""
-    steps = prefixes(conversations).select("conv_id", "place", "h1", "h2")
-    whole = steps.groupBy("conv_id").agg(F.max(F.struct("place", "h1", "h2")).alias("w")).select("conv_id", "w.*")
-    first = whole.groupBy("place", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
-    ends = whole.select("conv_id", F.col("place").alias("last"))
-    longer = steps.join(ends, steps["conv_id"].eqNullSafe(ends["conv_id"])).where("place < last").select("place", "h1", "h2").distinct()
-    return first.join(longer, ["place", "h1", "h2"], "left_anti").select("conv_id", F.col("place").cast("long").alias("n_turns"))
+
+def prefixes(turns: DataFrame) -> DataFrame:
+    """conv_id, place (from 1), n_turns and the prefix hashes h1, h2 up to that turn, of ordered() turns."""
+    pieces = Window.partitionBy("conv_id").orderBy("range")  # a row for each range that a conversation spans
+    before = pieces.rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col("conv_id").alias("of_conv"), F.col("range").alias("of_range")]
+    same = F.col("conv_id").eqNullSafe(F.col("of_conv")) & (F.col("range") == F.col("of_range"))
+    sizes = turns.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    sizes = sizes.select(*named, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"), F.sum("n").over(Window.partitionBy("conv_id")).alias("n_turns"))
+    placed = turns.join(sizes, same).select("conv_id", "range", (F.col("seq") - F.col("first") + F.col("past") + 1).alias("place"), "n_turns", "t1", "t2")
+    placed = written(placed.select("conv_id", "range", "place", "n_turns", F.xxhash64("place", "t1").alias("o1"), F.xxhash64(F.lit(3), "place", "t2").alias("o2")))
+    sums = placed.groupBy("conv_id", "range").agg(F.bit_xor("o1").alias("x1"), F.bit_xor("o2").alias("x2"))
+    sums = sums.select(*named, *[F.coalesce(F.bit_xor(f"x{k}").over(before), F.lit(0)).alias(f"x{k}") for k in (1, 2)])
+    run = Window.partitionBy("conv_id", "range").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.select("conv_id", "range", "place", "n_turns", *[F.bit_xor(f"o{k}").over(run).alias(f"l{k}") for k in (1, 2)])
+    return written(local.join(sums, same).select("conv_id", "place", "n_turns", *[F.col(f"l{k}").bitwiseXOR(F.col(f"x{k}")).alias(f"h{k}") for k in (1, 2)]))
+
+
+def maximal(turns: DataFrame) -> DataFrame:
+    """conv_id and n_turns of the conversations that are a prefix of no longer one and of no equal one with a smaller conv_id. turns: ordered()."""
+    steps = prefixes(turns)
+    key = ["place", "h1", "h2"]
+    first = steps.where("place = n_turns").groupBy(*key).agg(F.min("conv_id").alias("conv_id"))
+    longer = steps.where("place < n_turns").select(*key).distinct()
+    return first.join(longer, key, "left_anti").select("conv_id", F.col("place").cast("long").alias("n_turns"))
 
 
 def rendered(conversations: DataFrame, form: str = "<|{role}|>\n{text}<|end|>\n") -> DataFrame:
     """conv_id, n_turns and chat: the turns of each maximal conversation in order, each in the form."""
-    kept = maximal(conversations).withColumnRenamed("conv_id", "kept_id")
+    turns = ordered(conversations)
+    kept = maximal(turns).withColumnRenamed("conv_id", "kept_id")
     before, between, after = form.replace("{role}", "\0").replace("{text}", "\0").split("\0")
     turn = F.concat(F.lit(before), F.coalesce("role", F.lit("")), F.lit(between), F.coalesce("text", F.lit("")), F.lit(after))
-    lines = prefixes(conversations).select("conv_id", "place", turn.alias("line"))
-    own = lines.join(kept, lines["conv_id"].eqNullSafe(kept["kept_id"]))
-    chat = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda s: s["line"]), "")
+    lines = turns.select("conv_id", "seq", turn.alias("line"))
+    own = lines.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
+    chat = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda s: s["line"]), "")
     return own.groupBy("conv_id", "n_turns").agg(chat.alias("chat"))

@@ -388,6 +388,20 @@ def test_chat(spark):
     assert sorted(map(tuple, queries.op10_chat(spark, SF).select("conv_id", "n_turns", "chat").collect())) == sorted(con.execute(queries.ORACLE_SQL["op10_chat"]).fetchall())
 
 
+def test_chat_over_many_ranges(spark):
+    rows = [(None, k, "user", f"t{k % 7}") for k in range(400)] + [(1, k, "user", f"t{k % 7}") for k in range(350)] + [(2, k, "user", f"t{k % 7}") for k in range(400)] + [(3, 0, "user", "t0"), (4, 0, "user", "x")] + [(5, 1, "user", "same")] * 300
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        got = {r["conv_id"]: (r["n_turns"], r["chat"]) for r in chat.rendered(table).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(got) == {2, 4, 5} and got[5] == (300, "<|user|>\nsame<|end|>\n" * 300)
+    assert got[2] == (400, "".join(f"<|user|>\nt{k % 7}<|end|>\n" for k in range(400)))
+    assert chat.rendered(table.limit(0)).count() == 0
+
+
 def test_stages_keep_columns_that_clash_with_their_own(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
     names = ["score", "hinted", "proposed", "strict_email", "t", "spans", "base", "ordered", "text_kept", "held", "node", "_node", "class_id", "c0", "key", "label", "rank", "part"]
