@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality filter, near-duplicates, personal data, packing. Each stage works on what the one before it kept."""
+"""The corpus pipeline: quality filter, near-duplicates, personal data, packing. Each stage works on what the one before it kept.
+
+Cases. Null texts count as empty and are judged, kept and packed as such. Rows without doc_id are kept by the first three stages and packed. Rows that repeat id and
+text are one document after the second stage; one id with several texts is several documents. Further columns, whatever their names, pass through
+the first three stages unchanged. An empty table of documents or labels gives no rows or, without labels, keeps every document.
+"""
 
 from __future__ import annotations
 
@@ -32,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", keep_good), ("near_copies", drop_near_copies), ("personal_data", redact), ("packing", pack)]
 
-#: No stage but the third can be said in SQL; tests/llm holds the pipeline against a brute-force version.
+#: The stages' models and signatures can't be said in SQL; tests/llm recomputes what is kept, redacted and packed with the operators, each of which it holds against brute force.
 ORACLE_SQL = None
 
 
