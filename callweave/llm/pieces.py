@@ -265,21 +265,12 @@ class _Search:
             self.order += 1
             heapq.heappush(self.agenda, (-bound, self.order, what))
 
-    def add(self, sample: Sample, begin: int) -> None:
-        """Takes a sample whose tokens from begin on are fresh; each of these words becomes a set of its other paths."""
+    def add(self, sample: Sample, begin: int, bound: np.ndarray) -> None:
+        """Takes a sample whose tokens from begin on are fresh; each of these words becomes a set of its other paths, of the given bound."""
         self.samples.append(sample)
-        log_p = sample.log_p[begin:]
-        if len(log_p):
-            before = sample.log_p[:begin].sum() + np.cumsum(log_p) - log_p
-            with np.errstate(divide="ignore", invalid="ignore"):
-                location = before + np.log(-np.expm1(np.minimum(log_p, 0.0)))
-                tokens = np.arange(begin, begin + len(log_p), dtype=np.uint64)
-                u = _uniform(mixed(np.uint64(self.key) ^ mixed(tokens * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7919 * len(self.samples)))))
-                # log(exp(x) - log u) for x = location - perturbed, which is mostly far below 0
-                bound = np.where(log_p < -1e-15, location - np.logaddexp(location - sample.perturbed, np.log(-np.log(u))), -np.inf)
-            best = np.argpartition(-bound, self.k)[: self.k] if len(bound) > self.k else np.arange(len(bound))
-            for t in best.tolist():
-                self.push(float(bound[t]), "word", len(self.samples) - 1, begin + t)
+        best = np.argpartition(-bound, self.k)[: self.k] if len(bound) > self.k else np.arange(len(bound))
+        for t in best.tolist():
+            self.push(float(bound[t]), "word", len(self.samples) - 1, begin + t)
 
     def threshold(self) -> float:
         return -self.agenda[0][0] if self.agenda else -math.inf
@@ -336,6 +327,19 @@ class _Search:
         return parent, token, ids, sizes, log_path, bound
 
 
+def _bounds(log_p: np.ndarray, tokens: np.ndarray, size: np.ndarray, base: np.ndarray, key: np.ndarray, turn: int, perturbed: np.ndarray) -> np.ndarray:
+    """Bounds of the sets of other paths of fresh tokens. By row, of size tokens each: base, the log-probability before the first of them, the key and the sample's bound."""
+    first = np.cumsum(size) - size
+    upto = np.cumsum(log_p) - log_p
+    rows = np.repeat(np.arange(len(size)), size)
+    before = upto + (base - upto.take(np.minimum(first, max(0, len(upto) - 1))))[rows] if len(log_p) else upto
+    with np.errstate(divide="ignore", invalid="ignore"):
+        location = before + np.log(-np.expm1(np.minimum(log_p, 0.0)))
+        u = _uniform(mixed(key[rows] ^ mixed(tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7919 * (turn + 1)))))
+        # log(exp(x) - log u) for x = location - perturbed, which is mostly far below 0
+        return np.where(log_p < -1e-15, location - np.logaddexp(location - perturbed[rows], np.log(-np.log(u))), -np.inf)
+
+
 def top_k(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int = SAMPLES) -> list[tuple[list[Sample], float, np.ndarray]]:
     """For each text its samples, best perturbed first, the threshold, and the bytes of characters without a piece, by sample (see ids_of)."""
     split = [vocabulary.split(t) for t in texts]
@@ -348,15 +352,20 @@ def top_k(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int = S
     for turn in range(k):
         if not todo:
             break
-        token_keys = [mixed(tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((s.key + turn * 0xD1B54A32D192ED03) & _MASK)) for s, tokens, _ in todo]
-        count, log_p, ids, sizes = lattices.walk(np.concatenate([s.words[tokens] for s, tokens, _ in todo]), np.concatenate(token_keys))
-        token_end = np.cumsum([len(t) for _, t, _ in todo])
+        tokens, size = np.concatenate([t for _, t, _ in todo]), np.array([len(t) for _, t, _ in todo])
+        key = np.array([s.key for s, _, _ in todo], np.uint64)
+        token_keys = mixed(tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(key + np.uint64(turn * 0xD1B54A32D192ED03 & _MASK), size))
+        count, log_p, ids, sizes = lattices.walk(np.concatenate([s.words[t] for s, t, _ in todo]), token_keys)
+        reached = np.array([-math.log(-math.log(s.draw())) if o is None else o[5] for s, _, o in todo])
+        base = np.array([0.0 if o is None else float(s.samples[o[0]].log_p[: o[1]].sum()) + o[4] for s, _, o in todo])
+        bounds = _bounds(log_p, tokens, size, base, key, turn, reached)
+        token_end = np.cumsum(size)
         pieces = np.concatenate([[0], np.cumsum(count)])
-        for (s, tokens, opened), hi in zip(todo, token_end.tolist(), strict=True):
-            lo = hi - len(tokens)
+        for (s, fresh, opened), hi, perturbed in zip(todo, token_end.tolist(), reached.tolist(), strict=True):
+            lo = hi - len(fresh)
             part = slice(pieces[lo], pieces[hi])
             if opened is None:
-                s.add(Sample(count[lo:hi], log_p[lo:hi], ids[part], sizes[part], -math.log(-math.log(s.draw()))), 0)
+                s.add(Sample(count[lo:hi], log_p[lo:hi], ids[part], sizes[part], perturbed), 0, bounds[lo:hi])
             else:
                 parent, token, new_ids, new_sizes, new_log_p, bound = opened
                 old = s.samples[parent]
@@ -366,7 +375,7 @@ def top_k(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int = S
                         np.concatenate([old.counts[:token], [len(new_ids)], count[lo:hi]]), np.concatenate([old.log_p[:token], [new_log_p], log_p[lo:hi]]),
                         np.concatenate([old.ids[:cut], np.array(new_ids, np.int32), ids[part]]), np.concatenate([old.sizes[:cut], new_sizes, sizes[part]]), bound,
                     ),
-                    token + 1,
+                    token + 1, bounds[lo:hi],
                 )
         if turn < k - 1:
             opened = [(s, s.open()) for s, _, _ in todo]
