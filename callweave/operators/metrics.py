@@ -266,3 +266,8 @@ def choices(df: DataFrame, names: list[str]) -> DataFrame:
     """name and choices: the distinct values, sorted, of category metrics (arrays of text)."""
     each = df.select(F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("k"), F.col(n).alias("v")) for n in names]))).alias("name", "values"))
     return each.select("name", F.explode("values").alias("v")).groupBy("name").agg(F.array_sort(F.collect_set("v")).alias("choices"))
+
+
+def score_frequencies(df: DataFrame, score: str = "qual", width: float = 1.0) -> DataFrame:
+    """at and n: how many records have a score in each step of the given width; records without one don't count."""
+    return df.where(F.col(score).isNotNull()).groupBy((F.floor(F.col(score) / width) * width).alias("at")).agg(F.count(F.lit(1)).alias("n"))

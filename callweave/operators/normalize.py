@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +23,33 @@ def contig_names(order: list[str]) -> dict[str, str]:
     return out
 
 
+#: Fixed names of alternate haplotypes in the two spellings; those of the MHC follow a rule.
+HAPLOTYPES = {"chr17_ctg5_hap1": "HSCHR17_1", "chr4_ctg9_hap1": "HSCHR4_1"}
+
+
+def unplaced_name(name: str) -> str | None:
+    """The accession of an unplaced, unlocalised or haplotype contig that is named in the style of chr, without version; null for other names."""
+    if m := re.fullmatch(r"chr[0-9A-Za-z]+_gl([0-9]{6})(_random)?", name):
+        return f"GL{m[1]}"
+    if m := re.fullmatch(r"chr6_([a-z]+)_hap[0-9]", name):
+        return f"HSCHR6_MHC_{m[1].upper()}"
+    return HAPLOTYPES.get(name)
+
+
+def resolved(names: list[str], order: list[str]) -> dict[str, str]:
+    """The reference's name of each contig name that it knows under any spelling, whichever style either is in."""
+    spelled = contig_names(order) | {other: o for o in order if (other := unplaced_name(o))}
+    out = {n: spelled.get(n) or spelled.get(unplaced_name(n) or "") or spelled.get(n.split(".")[0]) for n in names}
+    return {n: o for n, o in out.items() if o}
+
+
+def renamed_contigs(df: DataFrame, order: list[str], column: str = "chr") -> DataFrame:
+    """Contigs by the reference's names; rows of unknown ones go. The distinct names of a call set are few and resolved on the driver."""
+    found = resolved([r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect()], order)
+    table = df.sparkSession.createDataFrame(list(found.items()), "old string, new string")
+    return remapped(df, table, column)
+
+
 def remapped(df: DataFrame, mapping: DataFrame, column: str = "chr") -> DataFrame:
     """Contigs renamed by mapping (old, new), a row for each contig; rows of unknown ones go."""
     names = sent(mapping.select(F.col("old").alias(column), "new"))

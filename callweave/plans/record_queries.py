@@ -520,3 +520,14 @@ def consensus_with_info(t):
     calls = calls.withColumn("het", F.col("al") == "A").withColumn("info", F.create_map(F.lit("from"), F.col("caller").cast("string")))
     out = compare.merged_consensus(calls, ["site"], "caller", "al", "pl", "het", "info", {k: k for k in range(1, 8)})
     return out.select("site", "al", "support", F.col("info")["from"].alias("first"))
+
+
+@query(f"with {_REC} select cast(floor(qual / 5) * 5 as double) as at, count(*) as n from rec group by 1")
+def score_frequencies(t):
+    out = metrics.score_frequencies(_base(t), "qual", 5.0)
+    return out.select(F.col("at").cast("double").alias("at"), "n")
+
+
+@query(f"with {_REC} select substr(chr, 4) as chr, count(*) as n from rec where chr <> 'chr0' group by 1")
+def renamed_contigs(t):
+    return normalize.renamed_contigs(_records(t), ["1", "2", "3", "GL000191.1"]).groupBy("chr").agg(F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.functions import attributes
+from callweave.functions import genotypes as G
 from callweave.operators import compare, filters, intervals, metrics, normalize, phasing, records
 from callweave.sources import tables, vcf
 
@@ -188,6 +189,46 @@ def ensemble(call_sets: dict[str, DataFrame], trusted_share: float = 0.65, prior
     return out.where(F.col("support") >= trusted_share * len(call_sets))
 
 
+def site_records(df: DataFrame, name: str, info: list[str]) -> DataFrame:
+    """Sites (chr, start, ref, alts and further columns) as records without samples, with the named columns as info: of confirmed sequencing results, say, or of mappability scores."""
+    entries = F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in info])
+    values = F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
+    end = (F.col("start") + F.length("ref") - 1).cast("int")
+    return df.select(
+        F.lit(name).alias("fname"), "chr", F.col("start").cast("int").alias("start"), end.alias("end"), F.lit(None).cast("string").alias("id"), "ref", "alts", G.variant_class(F.col("ref"), F.col("alts")).alias("type"),
+        F.lit(None).cast("double").alias("qual"), F.array().cast("array<string>").alias("filters"), values.alias("info"), F.lit(0).alias("num_samples"),
+    )
+
+
+def sequencing_records(spark: SparkSession, path: str) -> DataFrame:
+    """The confirmed results of a sheet of sequencing as records."""
+    rows = tables.read_sanger(spark, path).select(F.col("chrom").alias("chr"), "start", "ref", "alts", F.col("val").alias("valallele"), F.col("group").alias("valgroup"))
+    return site_records(rows, "sequencing", ["valallele", "valgroup"])
+
+
+def low_score_records(scores: dict[str, DataFrame], bases: DataFrame, least: float = 50.0) -> DataFrame:
+    """Places whose score is low in any technology, as records with the scores as info. bases: chr, start, ref."""
+    names = [f"gms_{n}" for n in scores]
+    low = tables.joined_scores(scores).where(filters.low_mappability(F.array(*names), least)).select(F.col("chrom").alias("chr"), F.col("pos").alias("start"), *names)
+    return site_records(low.join(bases, ["chr", "start"]).withColumn("alts", F.array().cast("array<string>")), "scores", names)
+
+
+def prepared_folder(spark: SparkSession, folder: str, sample: str, order: list[str] | None = None) -> DataFrame:
+    """All call files of a folder as one prepared call set of one sample, each record once; single bases, indels and structural variants often come in files of their own."""
+    df = vcf.read_vcf(spark, folder, sample)
+    df = normalize.renamed_contigs(df, order) if order else df
+    return records.last_by_place(records.prepared(normalize.cleaned(df), sample=sample, structural=True), ["chr", "start", "ref", "alts"], ["qual"])
+
+
+def background(call_sets: dict[str, DataFrame]) -> DataFrame:
+    """Sites of several populations' call sets as one table: chr, start, ref, alts (of all) and callers."""
+    every = None
+    for name, df in call_sets.items():
+        own = df.select("chr", "start", "ref", F.explode("alts").alias("alt"), F.lit(name).alias("caller"))
+        every = own if every is None else every.unionByName(own)
+    return every.groupBy("chr", "start", "ref").agg(F.array_sort(F.collect_set("alt")).alias("alts"), F.array_sort(F.collect_set("caller")).alias("callers"))
+
+
 def check_headers(headers: dict[str, list[str]]) -> None:
     """Raises if call sets differ in their samples. headers: name to sample names."""
     if len({tuple(sorted(h)) for h in headers.values()}) > 1:

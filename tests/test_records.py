@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callweave import service
 from callweave.functions.alignment import aligned, pieces
-from callweave.operators import compare, intervals, metrics, records
+from callweave.operators import compare, intervals, metrics, normalize, records
 from callweave.sources import files, tables, vcf
 
 HEAD = '##fileformat=VCFv4.1\n##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">\n##contig=<ID=1>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t{}\n'
@@ -149,3 +149,24 @@ def test_radial_features_and_ranking(spark):
     right = metrics.classified(wide, metrics.classifier(wide, names, "label", "svm-rbf"), names).where("prediction = label").count()
     assert right > 360
     assert metrics.feature_ranking(df.withColumn("label", (F.col("x") > 0).cast("double")), ["noise", "x", "y"], "label")[0] == "x"
+
+
+def test_contig_names_of_either_style():
+    order = ["1", "MT", "GL000191.1", "HSCHR6_MHC_COX", "HSCHR17_1"]
+    names = ["chr1", "chrM", "chr1_gl000191_random", "chr6_cox_hap2", "chr17_ctg5_hap1", "chr99"]
+    assert normalize.resolved(names, order) == dict(zip(names, order, strict=False))
+    assert normalize.resolved(["GL000191.1", "1", "HSCHR6_MHC_COX"], ["chr1", "chr1_gl000191_random", "chr6_cox_hap2"]) == {"GL000191.1": "chr1_gl000191_random", "1": "chr1", "HSCHR6_MHC_COX": "chr6_cox_hap2"}
+
+
+def test_records_of_other_tables(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("key,vcf ref,vcf allele,set,forward validated,reverse validated,CE validation forward,CE validation reverse\n1_10,A,G,x,Pass_G,Pass_G,,\n")
+    assert [(r["start"], r["type"], r["info"]) for r in service.sequencing_records(spark, str(tmp_path / "s.csv")).collect()] == [(10, "SNP", {"valallele": "G", "valgroup": "x"})]
+    score = lambda rows: spark.createDataFrame(rows, "chrom string, pos int, score double")
+    low = service.low_score_records({"a": score([("1", 5, 30.0), ("1", 6, 90.0)]), "b": score([("1", 5, 80.0)])}, spark.createDataFrame([("1", 5, "A"), ("1", 6, "C")], "chr string, start int, ref string"))
+    assert [(r["start"], r["info"]) for r in low.collect()] == [(5, {"gms_a": "30.0", "gms_b": "80.0"})]
+    (tmp_path / "calls").mkdir()
+    _vcf(tmp_path / "calls" / "snps.vcf", "S", [("chr1", *_line(5, "A", "G", "0/1")[1:])])
+    _vcf(tmp_path / "calls" / "indels.vcf", "S", [("chr1", *_line(9, "A", "AT", "0/1")[1:]), ("chr1", *_line(5, "A", "G", "0/1")[1:])])
+    got = service.prepared_folder(spark, str(tmp_path / "calls"), "N", ["1"])
+    assert sorted((r["chr"], r["start"], r["genotypes"][0]["sample"]) for r in got.collect()) == [("1", 5, "N"), ("1", 9, "N")]
+    assert [tuple(r) for r in service.background({"x": got, "y": got.where("start = 9")}).orderBy("start").collect()] == [("1", 5, "A", ["G"], ["x"]), ("1", 9, "A", ["AT"], ["x", "y"])]
