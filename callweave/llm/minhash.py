@@ -233,12 +233,12 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("sum", "bands", "signature")).alias("s")).select("node", "doc_id", "copies", "s.*"))
     entries = nodes.select("node", "sum", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = written(entries.join(shared, ["band", "key"]))
+    met = written(joined_once(entries, shared.withColumn("copies", F.col("n")), ["band", "key"]))
     known = met.groupBy("node").agg(F.sum("n").alias("meets"))
-    ends = met.join(known, "node").groupBy("band", "key").agg(F.min(F.struct("node", "sum")).alias("low"), F.max(F.struct("meets", "node", "sum")).alias("hub"))
-    ends = ends.select("band", "key", "low", F.struct("hub.node", "hub.sum").alias("hub"))
+    ends = met.join(known, "node").groupBy("band", "key").agg(F.min(F.struct("node", "sum")).alias("low"), F.max(F.struct("meets", "node", "sum")).alias("hub"), F.count(F.lit(1)).alias("copies"))
+    ends = written(ends.select("band", "key", "low", F.struct("hub.node", "hub.sum").alias("hub"), "copies"))
     near = lambda one, two: F.least(one, two) >= (least - 1e-9) * F.greatest(one, two)
-    ended = met.join(ends, ["band", "key"]).select("node", "sum", F.explode(F.array_distinct(F.array("low", "hub"))).alias("e")).where((F.col("node") != F.col("e.node")) & near(F.col("sum"), F.col("e.sum")))
+    ended = joined_once(met, ends, ["band", "key"]).select("node", "sum", F.explode(F.array_distinct(F.array("low", "hub"))).alias("e")).where((F.col("node") != F.col("e.node")) & near(F.col("sum"), F.col("e.sum")))
     first = ended.select(F.least("node", "e.node").alias("a"), F.greatest("node", "e.node").alias("b")).distinct()
     found = _links(first, texts, nodes, weights, least)
     parts = written(components(found))
