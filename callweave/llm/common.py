@@ -27,10 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
+    """df as a parquet table in the shared folder, read back: cuts lineage and survives lost executors. The shuffle files of the write go when it is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._callweave_path = path
     return out

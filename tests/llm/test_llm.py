@@ -1,4 +1,6 @@
+import dataclasses
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -358,6 +360,37 @@ def test_no_link_near_the_threshold_is_lost(spark, dim):
     assert sum(got[600 + i] != got[i] for i in range(600)) == 0
 
 
+def _bytes_on_disk(spark):
+    """Of the shuffle files and of the scratch tables."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList().mkString("\n").split("\n")
+    folder = common.shared_dir(spark).removeprefix("file://")
+    files += [os.path.join(at, f) for at, _, names in os.walk(folder) for f in names]
+    return sum(os.path.getsize(f) for f in files if os.path.isfile(f))
+
+
+def test_links_take_less_disk_than_four_times_the_vectors(spark):
+    x = np.random.default_rng(8).standard_normal((6000, 64)).astype(np.float32)
+    x[3000:3300] = x[:300] + np.float32(0.01)
+    table = common.written(_vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]))
+    before = _bytes_on_disk(spark)
+    assert lattice.near_duplicates(table).where("n_links = 1").count() == 600
+    assert _bytes_on_disk(spark) - before < 4 * x.nbytes
+
+
+@pytest.mark.parametrize("plan", [0, 1, 2])
+def test_links_in_rounds_over_split_cells(spark, monkeypatch, plan):
+    rng = np.random.default_rng(plan)
+    group = rng.standard_normal((1, 24)) + rng.standard_normal((400, 24)) * 0.25
+    x = np.vstack([rng.standard_normal((300, 24)), group, -group[:50] * 3]).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    monkeypatch.setattr(lattice, "PLANS", (dataclasses.replace(lattice.PLANS[plan], rows=math.inf),))
+    for name, value in (("ROUND_BYTES", (100_000, 700_000, 4_000_000)[plan]), ("PART_ROWS", 40), ("ROUND_PAIRS", 20_000), ("MATRIX", 1000), ("PAIRS", 700)):
+        monkeypatch.setattr(lattice, name, value)
+    got = {r["vec_id"]: r["n_links"] for r in lattice.near_duplicates(_vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])).collect()}
+    assert near.sum() > 10_000 and [got[i] for i in range(len(x))] == (near.sum(1) - 1).tolist()
+
+
 def test_samples_without_replacement():
     v = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     texts = ["the than of", "x", "", "日本語 𒀀 ok\nfoo  bar", " lead", "trail "]
