@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,6 +52,13 @@ def dropped(df: DataFrame) -> None:
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Collects the driver's garbage, of plans and broadcasts that nothing refers to any more, so that its heap shrinks; otherwise it grows to its limit over a run of many plans."""
+    gc.collect()  # Python's handles keep the JVM's objects alive
+    spark._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import bounded_batches, components, dropped, joined_once, trimmed, written
+from callweave.llm.common import bounded_batches, collected, components, dropped, joined_once, trimmed, written
 from callweave.llm.textblocks import grams, mixed, word_slices
 
 SHINGLE, LEAST = 5, 0.8
@@ -216,6 +216,7 @@ def _links(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, weights, le
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = written(_texts(documents, nodes, needed))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    collected(pairs.sparkSession)
     out = written(both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_similar(weights, least)), "a long, b long"))
     dropped(texts)
     dropped(pairs)
@@ -242,8 +243,10 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     first = ended.select(F.least("node", "e.node").alias("a"), F.greatest("node", "e.node").alias("b")).distinct()
     found = _links(first, texts, nodes, weights, least)
     parts = written(components(found))
+    collected(spark)
     more = written(_residual(nodes.select("node", "signature").join(met.drop("n"), "node"), parts, texts, nodes, weights, least))
     parts = written(components(found.unionByName(more))) if more.head(1) else parts
+    collected(spark)
     named = nodes.join(parts, F.col("node") == F.col("id"), "left").select("node", "doc_id", "copies", F.coalesce("component", "node").alias("component"))
     ids = named.groupBy("component").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "node"))).alias("first"))
     by_node = named.join(ids, "component").select("node", "copies", F.col("first.doc_id").alias("class_id"), F.col("first.node").alias("class_node"))

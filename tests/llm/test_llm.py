@@ -472,6 +472,18 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "personal_data", "packing"]
 
 
+def test_stages_collect_the_drivers_garbage(spark):
+    def full_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep"))
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    for _, stage in corpus_pipeline.STAGES:
+        before = full_collections()
+        stage(spark, docs, SF)
+        assert full_collections() > before
+
+
 def test_pieces_are_found_by_hash():
     vocabulary = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     known = {p[:n] for p in list(vocabulary.pieces)[::50] for n in range(1, len(p) + 1)}
