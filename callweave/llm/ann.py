@@ -3,7 +3,8 @@
 The tree is fitted to a bounded sample, then every usable row descends to its leaf. To search by inner product, a row of norm n gets one more component,
 sqrt(m * m - n * n) for the largest norm m; the distance to a query then falls as the inner product rises. A query walks the tree through a priority
 queue, nearest cell first, and visits leaves in that order. How many is calibrated: for a sample of the queries the true neighbours are found by brute
-force over all rows, and visits widen until the stated recall is reached. Large leaves, and leaves with many visitors, are split into blocks.
+force over all rows, and visits widen until the stated recall is reached. Leaves are grouped, a large one over several groups, and queries are dealt in
+blocks: a task has a block's queries at hand, its group's rows pass by, and only the k best rows of each query leave it, not those of each leaf.
 
 Cases. Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows without id. Vectors of different lengths have no
 product; each length has its own tree. Fewer candidates than k: all are returned. Repeated ids: each row is a candidate, except to queries of that id; query
@@ -26,7 +27,9 @@ from callweave.llm.vectors import lengths, matrix, usable
 
 #: Rows that the tree is fitted to and queries that calibrate the search, at most; those of the smallest hash of the id.
 SAMPLE_ROWS, CALIBRATION_QUERIES = 20_000, 200
-LEAF_ROWS, MOST_LEAVES, BRANCHES, BLOCK = 512, 65_536, 8, 4096
+LEAF_ROWS, MOST_LEAVES, BRANCHES = 512, 65_536, 8
+#: Groups of leaves, each of which gives a query k rows however many leaves it visits there; queries that a task has at once, and products.
+GROUPS, QUERY_BLOCK, MATRIX = 16, 65_536, 1 << 20
 RECALL = 0.96
 
 
@@ -93,15 +96,43 @@ class Tree:
         return out
 
 
-def _best(ids: np.ndarray, x: np.ndarray, query_id: int, q: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of a block: by exact scores, ties by id. rough: the block's scores from a matrix product."""
-    at = np.flatnonzero(ids != query_id)
-    if len(at) > k:
-        limit = np.partition(rough[at], len(at) - k)[len(at) - k]
-        at = at[rough[at] >= limit - 1e-9 * max(1.0, abs(limit))]
-    scores = (x[at] * q).sum(1)
-    first = np.lexsort((ids[at], -scores))[:k]
-    return ids[at][first], scores[first]
+class _Nearest:
+    """The k best rows so far of each query of a block: by exact scores, ties by id."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.limit = np.full(len(ids), -np.inf)
+        self.at, self.near, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.new = 0
+
+    def see(self, at: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Shows rows to the queries at."""
+        for lo in range(0, len(at), max(1, MATRIX // len(ids))):
+            asked = at[lo : lo + max(1, MATRIX // len(ids))]
+            rough = self.q[asked] @ x.T
+            rough[self.ids[asked][:, None] == ids] = -np.inf
+            limit = self.limit[asked]
+            first = np.flatnonzero(limit == -np.inf)
+            if len(first) and len(ids) > self.k:
+                limit[first] = np.partition(rough[first], len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+            tolerance = 1e-9 * np.maximum(1.0, np.where(np.isfinite(limit), np.abs(limit), 1.0))
+            i, j = np.nonzero((rough >= (limit - tolerance)[:, None]) & (rough > -np.inf))
+            for cut in range(0, len(i), MATRIX // 16):
+                one, two = asked[i[cut : cut + MATRIX // 16]], j[cut : cut + MATRIX // 16]
+                self.held.append((one, ids[two], (x[two] * self.q[one]).sum(1)))
+            self.new += len(i)
+            if self.new > max(MATRIX, len(self.ids) * self.k):
+                self.settle()
+
+    def settle(self) -> None:
+        at, near, scores = (np.concatenate(c) for c in zip((self.at, self.near, self.scores), *self.held, strict=True))
+        order = np.lexsort((near, -scores, at))
+        starts = np.searchsorted(at[order], np.arange(len(self.ids)))
+        order = order[np.arange(len(order)) - starts[at[order]] < self.k]
+        self.at, self.near, self.scores, self.held, self.new = at[order], near[order], scores[order], [], 0
+        full = np.flatnonzero(np.bincount(self.at, minlength=len(self.ids)) == self.k)
+        self.limit[full] = self.scores[np.searchsorted(self.at, full, "right") - 1]
 
 
 def neighbours(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -139,38 +170,83 @@ def _of_length(table: DataFrame, queries: DataFrame, dim: int, k: int, recall: f
     index = written(rows.mapInArrow(assign, "id long, x array<double>, leaf long"))
     visits = _calibrated(index, asked, tree, dim, k, recall)
 
+    # leaves side by side make GROUPS groups of about as many rows; a leaf of more rows than a group is spread over several
+    sizes = np.zeros(tree.value.leaves, np.int64)
+    for r in index.groupBy("leaf").count().collect():  # a row for each leaf, MOST_LEAVES at most
+        sizes[r["leaf"]] = r["count"]
+    low = (np.cumsum(sizes) - sizes) * GROUPS // n
+    high = np.where(sizes * GROUPS > n, (np.cumsum(sizes) - 1) * GROUPS // n, low)
+    spans = spark.sparkContext.broadcast((low, high))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = spans.value
+        for b in batches:
+            x, at, groups, leaves = matrix(b.column(1), dim), [], [], []
+            for i, q in enumerate(x):
+                found = np.array(tree.value.order(np.append(q, 0.0), visits), np.int32)
+                for g in np.unique(np.concatenate([np.arange(lo, hi + 1) for lo, hi in zip(low[found], high[found], strict=True)])).tolist():
+                    at.append(i)
+                    groups.append(g)
+                    leaves.append(found[(low[found] <= g) & (g <= high[found])])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), pa.array(groups, pa.int64()), pa.array(leaves, pa.list_(pa.int32()))], names=["id", "x", "grp", "leaves"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = spans.value
+        for b in batches:
+            leaf, mark = b.column(2).to_numpy(), b.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(low[leaf] + mark % (high[leaf] - low[leaf] + 1))], names=["id", "x", "leaf", "grp"])
+
+    walks = asked.mapInArrow(walk, "id long, x array<double>, grp long, leaves array<int>").withColumn("mark", F.xxhash64("x"))
+    cell = F.col("grp") * blocks + F.pmod(F.xxhash64("id", "x"), F.lit(blocks))
+    sent_q = walks.select(cell.cast("int").alias("cell"), F.lit(-1).cast("long").alias("leaf"), "id", "mark", "x", "leaves")
+    placed = index.withColumn("mark", F.pmod(F.xxhash64("id", "x"), F.lit(1 << 31))).mapInArrow(place, "id long, x array<double>, leaf long, grp long")
+    sent_x = placed.withColumn("block", F.explode(F.expr(f"sequence(0, {blocks - 1})"))).select((F.col("grp") * blocks + F.col("block")).cast("int").alias("cell"), "leaf", "id", F.lit(0).cast("long").alias("mark"), "x", F.lit(None).cast("array<int>").alias("leaves"))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each cell first the queries, then the rows, by leaf; the rows pass by."""
+        asked_here: list[pa.RecordBatch] = []
+        nearest, now = None, -1
+
+        def begun() -> None:
+            nonlocal nearest, visitors, starts, marks
+            queries = pa.Table.from_batches(asked_here).combine_chunks()
+            ids, leaves = queries["id"].to_numpy(), queries["leaves"].combine_chunks()
+            marks = queries["mark"].to_numpy()
+            nearest = _Nearest(ids, matrix(queries["x"].combine_chunks(), dim), k)
+            visitors = np.repeat(np.arange(len(ids)), leaves.value_lengths().to_numpy(zero_copy_only=False))
+            own = leaves.flatten().to_numpy()
+            order = np.argsort(own, kind="stable")
+            visitors, starts = visitors[order], np.searchsorted(own[order], np.arange(tree.value.leaves + 1))
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if nearest is not None:
+                nearest.settle()
+                yield pa.RecordBatch.from_arrays([pa.array(nearest.ids[nearest.at]), pa.array(marks[nearest.at]), pa.array(nearest.near), pa.array(nearest.scores)], names=["query_id", "mark", "id", "score"])
+
+        visitors = starts = marks = np.zeros(0, np.int64)
         for b in batches:
-            x = matrix(b.column(1), dim)
-            for lo in range(0, len(x), 256):
-                part = x[lo : lo + 256]
-                found = [tree.value.order(np.append(q, 0.0), visits) for q in part]
-                at = np.repeat(np.arange(lo, lo + len(part)), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array([f for own in found for f in own], pa.int64())], names=["query_id", "q", "leaf"])
-
-    walks = written(asked.mapInArrow(walk, "query_id long, q array<double>, leaf long").withColumn("mark", F.xxhash64("q")))
-    # a row for each leaf, MOST_LEAVES at most
-    blocks = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nx")).join(walks.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("nq")), "leaf")
-    spread_x = index.join(F.broadcast(blocks), "leaf").select("leaf", F.pmod(F.xxhash64("id", "x"), "nx").alias("bx"), F.explode(F.expr("sequence(0L, nq - 1)")).alias("bq"), "id", "x")
-    spread_q = walks.join(F.broadcast(blocks), "leaf").select("leaf", F.explode(F.expr("sequence(0L, nx - 1)")).alias("bx"), F.pmod(F.xxhash64("query_id", "q"), "nq").alias("bq"), "query_id", "mark", "q")
-
-    def visit(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            ids, x = left["id"].to_numpy(), matrix(left["x"].combine_chunks(), dim)
-            asked_ids, marks, q = right["query_id"].to_numpy(), right["mark"].to_numpy(), matrix(right["q"].combine_chunks(), dim)
-            for lo in range(0, len(q), 256):
-                rough = q[lo : lo + 256] @ x.T
-                for j in range(len(rough)):
-                    near, scores = _best(ids, x, asked_ids[lo + j], q[lo + j], rough[j], k)
-                    out.append((np.full(len(near), lo + j), near, scores))
-        if not out:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=["query_id", "mark", "id", "score"])
-        at, near, scores = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table([pa.array(asked_ids[at]), pa.array(marks[at]), pa.array(near), pa.array(scores)], names=["query_id", "mark", "id", "score"])
-
-    keys = ["leaf", "bx", "bq"]
-    partial = spread_x.groupBy(*keys).cogroup(spread_q.groupBy(*keys)).applyInArrow(visit, "query_id long, mark long, id long, score double")
+            cells, leaf = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = np.flatnonzero((np.diff(cells, prepend=-1) != 0) | (np.diff(leaf, prepend=-2) != 0))
+            for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(cells)], strict=True):
+                if cells[lo] != now:
+                    yield from ended()
+                    asked_here, nearest, now = [], None, cells[lo]
+                run = b.slice(lo, hi - lo)
+                if leaf[lo] < 0:
+                    asked_here.append(run)
+                    continue
+                if nearest is None and asked_here:
+                    begun()
+                    asked_here = [asked_here[0].slice(0, 0)]
+                if nearest is not None:
+                    at = visitors[starts[leaf[lo]] : starts[leaf[lo] + 1]]
+                    if len(at):
+                        nearest.see(at, run.column(2).to_numpy(), matrix(run.column(4), dim))
+        yield from ended()
+
+    sent = sent_q.unionByName(sent_x).repartitionById(GROUPS * blocks, "cell").sortWithinPartitions("cell", "leaf")
+    partial = sent.mapInArrow(visit, "query_id long, mark long, id long, score double")
     return _first(partial, ["query_id", "mark"], k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 

@@ -360,6 +360,26 @@ def test_no_link_near_the_threshold_is_lost(spark, dim):
     assert sum(got[600 + i] != got[i] for i in range(600)) == 0
 
 
+@pytest.mark.parametrize("block", [65_536, 7])
+def test_visits_give_k_rows_of_a_group_of_leaves_and_the_exact_best(spark, monkeypatch, block):
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.standard_normal((1200, 12)), rng.standard_normal((1, 12)) + rng.standard_normal((300, 12)) * 1e-3, np.ones((20, 12))]).astype(np.float32)
+    table = _vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    for name, value in (("LEAF_ROWS", 12), ("QUERY_BLOCK", block), ("MATRIX", 900)):
+        monkeypatch.setattr(ann, name, value, raising=False)
+    rows, first = [], ann._first
+    monkeypatch.setattr(ann, "_first", lambda found, query, k: (rows.append(found), first(found, query, k))[1])
+    found = ann.neighbours(table, table.where("vec_id % 20 = 0"), k=5, recall=1.0).collect()
+    assert rows[-1].count() <= 76 * 16 * 5
+    for q in range(0, len(x), 20):
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
+        exact = (x.astype(np.float64) * x[q].astype(np.float64)).sum(1)
+        exact[q] = -np.inf
+        best = np.lexsort((np.arange(len(x)), -exact))[:5]
+        assert [r for r, _, _ in own] == [1, 2, 3, 4, 5] and [s for _, _, s in own] == exact[best].tolist()
+        assert [i for _, i, _ in own] == best.tolist()
+
+
 def _bytes_on_disk(spark):
     """Of the shuffle files and of the scratch tables."""
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList().mkString("\n").split("\n")
