@@ -137,32 +137,33 @@ class Bilinear:
             p[...] = values[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def context(self, before: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The context vectors, and the classes' vectors that they are made of, by place."""
-        parts = [self.vectors.take(before[:, k], axis=0) for k in range(CONTEXT)]
-        q = parts[0] * self.places[0]
+    def context(self, before: np.ndarray) -> np.ndarray:
+        """The context vectors: the classes' vectors are weighted first, as there are fewer of them than tokens."""
+        q = (self.vectors * self.places[0]).take(before[:, 0], axis=0)
         for k in range(1, CONTEXT):
-            q += parts[k] * self.places[k]
-        return q, parts
+            q += (self.vectors * self.places[k]).take(before[:, k], axis=0)
+        return q
 
     @staticmethod
     def _contrast(q, target, noise, out, bias, prior, d_out, d_bias) -> np.ndarray:
         """Noise-contrastive estimation for rows q that all draw on the same outputs: target rows are told from the noise drawn. Adds gradients, returns that of q."""
         shift = np.log(len(noise) * prior).astype(np.float32)
-        own = out[target]
-        good = 1 - _sigmoid((q * own).sum(1) + bias[target] - shift[target])
-        bad = -_sigmoid(q @ out[noise].T + (bias - shift)[noise])
+        own, level = out.take(target, axis=0), bias - shift
+        good = 1 - _sigmoid(np.einsum("ij,ij->i", q, own) + level.take(target))
+        bad = -_sigmoid(q @ out[noise].T + level[noise])
         np.add.at(d_out, noise, bad.T @ q)
         hot = np.zeros((len(out), len(target)), np.float32)
         hot[target, np.arange(len(target))] = good
         d_out += hot @ q
         d_bias += hot.sum(1)
         np.add.at(d_bias, noise, bad.sum(0))
-        return good[:, None] * own + bad @ out[noise]
+        own *= good[:, None]
+        own += bad @ out[noise]
+        return own
 
     def learn(self, target: np.ndarray, before: np.ndarray, rng: np.random.Generator) -> None:
         """One step over a batch of tokens: groups, and in each group its classes, are told from draws of their shares, which the batch meets together."""
-        n, (q, parts) = len(target), self.context(before)
+        n, q = len(target), self.context(before)
         grads = [np.zeros_like(p) for p in self._all()]
         d_vectors, d_places, d_tops, d_outs, d_top_bias, d_bias = grads
         group, member = target % GROUPS, target // GROUPS
@@ -178,12 +179,14 @@ class Bilinear:
                 sorted_dq[rows] = self._contrast(sorted_q[rows], sorted_member[rows], noise, self.outs[:, g], self.bias[:, g], self.noise[:, g], d_outs[:, g], d_bias[:, g])
         dq[order] += sorted_dq
         for k in range(CONTEXT):
-            d_places[k] = np.einsum("ij,ij->j", dq, parts[k])
             at = before[:, k].astype(np.int16)
             by = np.argsort(at, kind="stable")
             at = at[by]
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            d_vectors[at[first]] += np.add.reduceat(dq.take(by, axis=0), first, axis=0) * self.places[k]
+            met, sums = at[first], np.add.reduceat(dq.take(by, axis=0), first, axis=0)
+            d_places[k] = np.einsum("ij,ij->j", sums, self.vectors[met])
+            sums *= self.places[k]
+            d_vectors[met] += sums
         for p, s, d in zip(self._all(), self.squares, grads, strict=True):
             d /= n
             s += d * d
@@ -193,29 +196,33 @@ class Bilinear:
         """Of each target, normalised over groups and over the classes of its group."""
         out = np.empty(len(target))
         for lo in range(0, len(target), 16_384):
-            own, q = target[lo : lo + 16_384], self.context(before[lo : lo + 16_384])[0]
+            own, q = target[lo : lo + 16_384], self.context(before[lo : lo + 16_384])
             group, member = own % GROUPS, own // GROUPS
-            part = _log_share(q @ self.tops.T + self.top_bias, group)
+            part = _log_share(self.tops @ q.T + self.top_bias[:, None], group)
             order = np.argsort(group.astype(np.int16), kind="stable")
             ends = np.cumsum(np.bincount(group, minlength=GROUPS))
             for g in range(GROUPS):
                 rows = order[(ends[g - 1] if g else 0) : ends[g]]
                 if len(rows):
-                    part[rows] += _log_share(q[rows] @ self.outs[:, g].T + self.bias[:, g], member[rows])
+                    part[rows] += _log_share(self.outs[:, g] @ q.take(rows, axis=0).T + self.bias[:, g, None], member[rows])
             out[lo : lo + 16_384] = part
         return out / math.log(10)
 
 
 def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    top = scores.max(1)
-    mine = scores[np.arange(len(scores)), chosen]
-    scores -= top[:, None]
-    return mine.astype(np.float64) - top - np.log(np.exp(scores, out=scores).sum(1, dtype=np.float64))
+    """scores: a row for each outcome, a column for each token, so that sums and maxima run along whole rows."""
+    top = scores.max(0)
+    mine = scores[chosen, np.arange(len(chosen))]
+    scores -= top
+    return mine.astype(np.float64) - top - np.log(np.add.reduce(np.exp(scores, out=scores), axis=0, dtype=np.float64))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return 1 / (1 + np.exp(-x))
+    """1 / (1 + exp(-x)); beyond 80 it is 0 or 1 in single precision anyway."""
+    np.clip(x, -80, 80, out=x)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Model:
@@ -279,7 +286,7 @@ def _round(documents: DataFrame, classes: Classes, net: Bilinear, at: int, token
             order = rng.permutation(len(target))
             for lo in range(0, len(target), BATCH):
                 part = order[lo : lo + BATCH]
-                own.learn(target[part], before[part], rng)
+                own.learn(target.take(part), before.take(part, axis=0), rng)
             seen += len(target)
         values = np.append(own.flat() * seen, seen)
         squares = np.concatenate([x.ravel() for x in own.squares]).astype(np.float64) * seen

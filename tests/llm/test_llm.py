@@ -2,6 +2,7 @@ import dataclasses
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -293,6 +294,27 @@ def test_language_model_score_against_brute_force(spark):
         assert got[r["doc_id"]] == pytest.approx(total, rel=1e-4, abs=0.02)
 
 
+def test_language_model_scores_tokens_at_a_bounded_cost():
+    def least_seconds(work):
+        took = []
+        for _ in range(5):
+            start = time.thread_time()
+            work()
+            took.append(time.thread_time() - start)
+        return min(took)
+
+    rng = np.random.default_rng(2)
+    net, n = lm.Bilinear(np.full(lm.CLASSES, 1 / lm.CLASSES)), 1 << 17
+    target, before = rng.integers(0, lm.CLASSES, n), rng.integers(0, lm.CLASSES, (n, lm.CONTEXT))
+    got = net.log10_probabilities(target, before)
+    q = (net.vectors[before[:50]] * net.places).sum(1)
+    top, inner = np.exp(q @ net.tops.T + net.top_bias), np.exp(np.einsum("ij,mgj->igm", q, net.outs) + net.bias.T)
+    g, m, at = target[:50] % lm.GROUPS, target[:50] // lm.GROUPS, np.arange(50)
+    assert np.allclose(got[:50], np.log10(top[at, g] / top.sum(1) * inner[at, g, m] / inner[at, g].sum(1)), atol=1e-5)
+    scores = rng.standard_normal((n, lm.GROUPS + lm.MEMBERS)).astype(np.float32)
+    assert least_seconds(lambda: net.log10_probabilities(target, before)) < 7 * least_seconds(lambda: np.exp(scores))
+
+
 def test_language_model_beats_the_unigrams_and_ignores_the_layout(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     one, two = (lm.scored(docs.repartition(n, F.xxhash64("doc_id", F.lit(n)))).where("held_out") for n in (2, 11))
