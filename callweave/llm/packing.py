@@ -14,33 +14,40 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
+import os
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.llm.common import bounded_batches, shuffle_partitions, trimmed, written
-from callweave.llm.textblocks import LET_GO
+from callweave.llm.textblocks import LET_GO, buffers
 
 CAPACITY, CLOSING = 4096, 1
-#: Words whose ids a worker keeps at once.
-KEPT_WORDS = 500_000
+#: Words whose ids a worker keeps at once; words whose ids are put together at once.
+KEPT_WORDS, SLICE_WORDS = 250_000, 1 << 16
+#: Marks, a run of which after letters is a word of its own to the tokenizer; characters of which words that are lower-cased here have none.
+MARKS, NOT_LATIN = string.punctuation, r"[^\x{0}-\x{12F}\x{131}-\x{24F}]"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
-    """Ids of a text as little-endian unsigned 32-bit numbers; words between blanks and line ends are encoded once and then looked up.
+    """Ids of a column of texts; distinct words between blanks and line ends are encoded once and then looked up.
 
     Those two characters are white space to the tokenizer, which never joins across it, so the ids of a text are those of its words in turn. Words of Latin
-    letters, which it lower-cases, share the ids of their lower-cased form, a stop or comma after them is a word of its own to it, and many such words
-    are encoded at a time, as each ends with an id that ends a word.
+    letters, which it lower-cases, share the ids of their lower-cased form, a run of marks after them is a word of its own to it, and many such words
+    are encoded at a time, as each ends with an id that ends a word. Texts in ASCII are lower-cased whole, but for those that may hold a special token.
+    Words are told apart by Arrow, so only distinct ones of a batch become Python's strings.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,49 +57,79 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, bytes] = {"": b""}
-        self._whole([".", ","])
-        self.marks = {c: self.known[c] for c in ".,"}
+        self.known = {"": 0}  # places of words in begin and size, which say where their ids stand in store
+        self.begin, self.size, self.store = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def _keep(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.store) + np.cumsum(sizes) - sizes])
+        self.size, self.store = np.concatenate([self.size, sizes]), np.concatenate([self.store, ids])
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [got.ids for at in range(0, len(texts), 5000) for got in self.tokenizer.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False)]
 
     def _whole(self, words: list[str]) -> None:
-        for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+        rows = self._encoded(words)
+        self._keep(words, np.fromiter(map(len, rows), np.int64, len(rows)), np.fromiter(itertools.chain.from_iterable(rows), "<u4"))
 
     def _joined(self, words: list[str]) -> None:
         """words: of lower-case Latin letters."""
-        for at in range(0, len(words), 20_000):
-            rows = [words[k : k + 200] for k in range(at, min(at + 20_000, len(words)), 200)]
-            for row, got in zip(rows, self.tokenizer.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False), strict=True):
-                ids = np.array(got.ids, "<u4")
-                ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-                if len(ends) != len(row):
-                    raise ValueError("a word of letters alone has ids of one word")
-                data, lo = ids.tobytes(), 0
-                for word, hi in zip(row, ends, strict=True):
-                    self.known[word] = data[lo:hi]
-                    lo = hi
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        rows = self._encoded([" ".join(words[k : k + 200]) for k in range(0, len(words), 200)])
+        ids = np.fromiter(itertools.chain.from_iterable(rows), "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or len(ids) and ends[-1] != len(ids):
+            raise ValueError("a word of letters alone has ids of one word")
+        self._keep(words, np.diff(ends, prepend=0), ids)
+
+    def _places(self, column: pa.Array, letters: np.ndarray | None = None) -> np.ndarray:
+        """Places of words; letters: which of them are of lower-case Latin letters."""
+        coded = column.dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        places = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            joined = np.zeros(len(words), bool)
+            if letters is not None:
+                joined[codes[letters]] = True
+            for chosen, encode in ((new[joined[new]], self._joined), (new[~joined[new]], self._whole)):
+                places[chosen] = np.arange(len(self.size), len(self.size) + len(chosen))
+                encode([words[i] for i in chosen.tolist()])
+        return places[codes]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(unsigned 32-bit ids of all texts in turn, where those of each text end). Null counts as empty."""
         if len(self.known) > KEPT_WORDS:
             self.forget()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        forms, whole, marks = {}, [], self.marks
-        for word in set().union(*split).difference(known):
-            last = word[-1]
-            stem = (word[:-1] if last in marks else word).lower()
-            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250" and "\u0130" not in word):
-                forms[word] = stem
-            else:
-                whole.append(word)
-        self._joined(list(set(forms.values()).difference(known)))
-        self._whole(whole)
-        for word, stem in forms.items():
-            known[word] = known[stem] + marks.get(word[-1], b"")
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " ")
+        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+        split = pc.split_pattern(pc.if_else(plain, pc.ascii_lower(texts), texts), " ")
+        ends = np.cumsum(pc.list_value_length(split).to_numpy())
+        coded = split.flatten().dictionary_encode()
+        del texts, split
+        words, codes = coded.dictionary, coded.indices.to_numpy()
+        stems = pc.utf8_rtrim(words, MARKS)
+        fit = pc.and_(pc.utf8_is_alpha(stems), pc.invert(pc.match_substring_regex(stems, NOT_LATIN)))
+        letters = fit.to_numpy(zero_copy_only=False)
+        data, offsets = buffers(words)
+        skip = np.where(letters, pc.binary_length(stems).to_numpy(), np.diff(offsets))
+        tails = _taken(data, offsets[:-1] + skip, np.diff(offsets) - skip)
+        tails = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(offsets - offsets[0] - np.concatenate([[0], np.cumsum(skip)])), pa.py_buffer(tails))
+        # places of each distinct word's stem, which is the word itself if it isn't of letters, and of its marks
+        places = np.stack([self._places(pc.if_else(fit, pc.utf8_lower(stems), words), letters), self._places(tails)], 1)
+        store, size = _taken(self.store, self.begin[places].ravel(), self.size[places].ravel()), self.size[places].sum(1)
+        begin = np.cumsum(size) - size
+        stop = np.concatenate([[0], np.cumsum(size[codes])])
+        ids = np.empty(stop[-1], "<u4")
+        for lo in range(0, len(codes), SLICE_WORDS):
+            own = codes[lo : lo + SLICE_WORDS]
+            ids[stop[lo] : stop[lo + len(own)]] = _taken(store, begin[own], size[own])
+        return ids, stop[ends]
+
+
+def _taken(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of values, each from its begin on, in turn."""
+    stop = np.cumsum(size)
+    return values[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -113,12 +150,15 @@ def pieces(documents: DataFrame, tokenizer: str) -> DataFrame:
         encode, closing = _word_ids(tokenizer), np.array([CLOSING], "<u4").tobytes()
         for batch in batches:
             for lo, hi in _runs(batch.column(1)):
-                own, out = batch.column(0).slice(lo, hi - lo).to_pylist(), []
-                for doc, ids in zip(own, encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]), strict=True):
-                    ids += closing
-                    for k, at in enumerate(range(0, len(ids), 4 * CAPACITY)):
-                        part = ids[at : at + 4 * CAPACITY]
-                        out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                own, out, first = batch.column(0).slice(lo, hi - lo).to_pylist(), [], 0
+                ids, ends = encode(batch.column(1).slice(lo, hi - lo))
+                for doc, end in zip(own, ends.tolist(), strict=True):
+                    n = end - first + 1  # with the closing id
+                    for k, at in enumerate(range(0, n, CAPACITY)):
+                        length = min(CAPACITY, n - at)
+                        crc = zlib.crc32(ids[first + at : min(end, first + at + length)])
+                        out.append((doc, k, at, length, zlib.crc32(closing, crc) if at + length == n else crc))
+                    first = end
                 columns = zip(*out, strict=True) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -126,8 +166,8 @@ def pieces(documents: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def _runs(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Row ranges of about most characters."""
-    sizes = np.concatenate([[0], np.cumsum(pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))])
+    """Row ranges of about most bytes."""
+    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))])
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + most, "right")) - 1)

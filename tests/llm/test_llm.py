@@ -84,6 +84,23 @@ def test_packing_is_best_fit_and_gapless(spark):
     assert not got
 
 
+def test_packing_encodes_each_word_once_whatever_its_case_and_marks():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, t = packing.WordIds(path), Tokenizer.from_file(path)
+    marks, texts = ["", ".", ",", "!!", "&&&", ".###", "''"], []
+    for m in marks:
+        texts += [f"Strand{m} strand{m}\nSTRAND{m} {'é' * 3}{m} ÉÉÉ{m}"]
+    odd = ["a<|endoftext|>, <|EndOfText|>!!", "don't I'M o'clock's '", "H\u0331x İstanbul ΣΑΣ. 日本!", None, "", "a\tb\r\n\x1c.", "strand " * 70_000]
+    for column in (texts, odd, []):
+        own, ends = ids(pa.array(column, pa.string()))
+        assert [own[a:b].tolist() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] == [t.encode(x or "", add_special_tokens=False).ids for x in column] if column else not len(own)
+        if column is texts:
+            assert set(ids.known) == {"strand", "ééé", *marks}
+
+
 def test_pii_base_spans(spark):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
