@@ -59,6 +59,13 @@ def collected(spark: SparkSession) -> None:
     pa.default_memory_pool().release_unused()
 
 
+def collected_on_executors(spark: SparkSession) -> None:
+    """Collects the garbage of the executors, whose heaps otherwise stay as large as the largest stage made them, beside the memory of the Python workers of the next."""
+    n = max(2, spark.sparkContext.defaultParallelism)
+    # a task for each core, so that each executor gets some
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("append").save()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

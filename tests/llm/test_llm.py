@@ -543,6 +543,21 @@ def test_stages_collect_the_drivers_garbage(spark):
         assert full_collections() > before
 
 
+def test_stages_collect_the_executors_garbage(spark):
+    """Here the driver is the executor too, and collects for itself once more."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full_collections = lambda: sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep"))
+    before = full_collections()
+    common.collected_on_executors(spark)
+    assert full_collections() > before
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "near_copies":  # which collects the driver's garbage several times
+            before = full_collections()
+            stage(spark, docs, SF)
+            assert full_collections() >= before + 2
+
+
 def test_pieces_are_found_by_hash():
     vocabulary = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     known = {p[:n] for p in list(vocabulary.pieces)[::50] for n in range(1, len(p) + 1)}
