@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.llm.common import bounded_batches, shuffle_partitions, trimmed, written
-from callweave.llm.textblocks import LET_GO, buffers
+from callweave.llm.textblocks import LET_GO, buffers, dealt, taken
 
 CAPACITY, CLOSING = 4096, 1
-#: Words whose ids a worker keeps at once; words whose ids are put together at once.
-KEPT_WORDS, SLICE_WORDS = 250_000, 1 << 16
+#: Words whose ids a worker keeps at once.
+KEPT_WORDS = 250_000
 #: Marks, a run of which after letters is a word of its own to the tokenizer; characters of which words that are lower-cased here have none.
 MARKS, NOT_LATIN = string.punctuation, r"[^\x{0}-\x{12F}\x{131}-\x{24F}]"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -112,26 +112,15 @@ class WordIds:
         letters = fit.to_numpy(zero_copy_only=False)
         data, offsets = buffers(words)
         skip = np.where(letters, pc.binary_length(stems).to_numpy(), np.diff(offsets))
-        tails = _taken(data, offsets[:-1] + skip, np.diff(offsets) - skip)
+        tails = taken(data, offsets[:-1] + skip, np.diff(offsets) - skip)
         tails = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(offsets - offsets[0] - np.concatenate([[0], np.cumsum(skip)])), pa.py_buffer(tails))
         # places of each distinct word's stem, which is the word itself if it isn't of letters, and of its marks
         places = np.stack([self._places(pc.if_else(fit, pc.utf8_lower(stems), words), letters), self._places(tails)], 1)
-        store, size = _taken(self.store, self.begin[places].ravel(), self.size[places].ravel()), self.size[places].sum(1)
-        begin = np.cumsum(size) - size
-        stop = np.concatenate([[0], np.cumsum(size[codes])])
-        ids = np.empty(stop[-1], "<u4")
-        for lo in range(0, len(codes), SLICE_WORDS):
-            own = codes[lo : lo + SLICE_WORDS]
-            ids[stop[lo] : stop[lo + len(own)]] = _taken(store, begin[own], size[own])
+        store, size = taken(self.store, self.begin[places].ravel(), self.size[places].ravel()), self.size[places].sum(1)
+        ids, stop = dealt(store, np.cumsum(size) - size, size, codes)
         return ids, stop[ends]
 
 
-def _taken(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Runs of values, each from its begin on, in turn."""
-    stop = np.cumsum(size)
-    return values[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)]
-
-
 @functools.lru_cache(maxsize=1)
 def _word_ids(path: str) -> WordIds:
     """One for all tasks of a worker, until it turns to another operator."""

@@ -30,17 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callweave.llm.common import bounded_batches, trimmed
-from callweave.llm.textblocks import mixed
+from callweave.llm.textblocks import dealt, mixed
 
 SAMPLES, SHARPNESS = 3, 1.0
 SLICE_CHARS = 1 << 21
-#: Words whose own ids a worker keeps at once; ids decoded at once.
-KEPT_WORDS, DECODED_IDS = 200_000, 1 << 20
+#: Ids decoded at once.
+DECODED_IDS = 1 << 20
 _MASK, _TOP_BITS, _SPREAD = (1 << 64) - 1, 20, np.uint64(0x9E3779B97F4A7C15)
 _BLANK = "▁"
 
@@ -81,7 +82,6 @@ class Vocabulary:
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
         self.blank_first = np.array([p[:1] == b" " and i in self.pieces_by_id for i, p in enumerate(parts)])
-        self.known: dict[str, bytes] = {"": b""}
 
     def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether each hash is known, its place)."""
@@ -478,17 +478,16 @@ def _log_inclusion(log_p: float, threshold: float) -> float:
 
 
 def encoded_ids(texts: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
-    """The model's own ids; words between single blanks are encoded once and then looked up."""
-    known = vocabulary.known
-    if len(known) > KEPT_WORDS:
-        known.clear()
+    """The model's own ids; words between single blanks are told apart by Arrow and each is encoded once for all texts."""
     plain = [bool(t) and "  " not in t and _BLANK not in t and t[0] != " " and t[-1] != " " for t in texts]
-    split = [t.split(" ") if p else () for t, p in zip(texts, plain, strict=True)]
-    new = list(set().union(*split).difference(known))
-    for word, ids in zip(new, vocabulary.processor.encode(new), strict=True):
-        known[word] = np.array(ids, np.int32).tobytes()
-    get = known.__getitem__
-    return [np.frombuffer(b"".join(map(get, words)), np.int32) if p else np.array(vocabulary.processor.encode(t), np.int32) for t, p, words in zip(texts, plain, split, strict=True)]
+    split = pc.split_pattern(pa.array(itertools.compress(texts, plain), pa.large_string()), " ")
+    coded = split.flatten().dictionary_encode()
+    own = vocabulary.processor.encode(coded.dictionary.to_pylist())
+    size = np.fromiter(map(len, own), np.int64, len(own))
+    ids, stop = dealt(np.fromiter(itertools.chain.from_iterable(own), np.int32), np.cumsum(size) - size, size, coded.indices.to_numpy())
+    ends = stop[np.cumsum(pc.list_value_length(split).to_numpy())].tolist()
+    parts = (ids[lo:hi] for lo, hi in itertools.pairwise([0, *ends]))
+    return [next(parts) if p else np.array(vocabulary.processor.encode(t), np.int32) for t, p in zip(texts, plain, strict=True)]
 
 
 def encoded(texts: list[str], vocabulary: Vocabulary) -> list[list[int]]:

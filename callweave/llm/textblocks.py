@@ -10,6 +10,8 @@ import pyarrow as pa
 #: White space of the word rule: blank and the controls 9 to 13.
 BLANKS = bytes([32, 9, 10, 11, 12, 13])
 SLICE_BYTES = 1 << 20
+#: Words whose ids are put together at once.
+SLICE_WORDS = 1 << 16
 _PRIME = 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 _IS_BLANK = np.zeros(256, bool)
@@ -129,3 +131,19 @@ def _fold(h: np.ndarray) -> int:
     for x in h.tolist():
         value = (value * _PRIME + x) & 0xFFFFFFFFFFFFFFFF
     return value
+
+
+def taken(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of values, each from its begin on, in turn."""
+    stop = np.cumsum(size)
+    return values[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)]
+
+
+def dealt(values: np.ndarray, begin: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of values that codes name, in turn, where each of these begins and the last ends)."""
+    stop = np.concatenate([[0], np.cumsum(size[codes])])
+    out = np.empty(stop[-1], values.dtype)
+    for lo in range(0, len(codes), SLICE_WORDS):
+        own = codes[lo : lo + SLICE_WORDS]
+        out[stop[lo] : stop[lo + len(own)]] = taken(values, begin[own], size[own])
+    return out, stop

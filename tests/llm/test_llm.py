@@ -469,6 +469,15 @@ def test_samples_without_replacement():
     assert pieces.encoded(texts, v) == v.processor.encode(texts) and pieces.decoded(pieces.encoded(texts, v), v) == [v.processor.decode(i) for i in v.processor.encode(texts)]
 
 
+def test_own_encoding_gives_each_distinct_word_to_the_model_once_and_keeps_none():
+    v = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["the than of\nfoo " * 9000 + "end", "", "two  blanks", " lead", "日本 the é", "▁ the", "the"]
+    for _ in range(2):
+        assert pieces.encoded(texts, v) == v.processor.encode(texts)
+    assert pieces.encoded([], v) == []
+    assert not getattr(v, "known", None)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (2, 1, "bot", "b"), (2, 2, "user", None), (3, 0, "user", "a"), (3, 1, "bot", "b"), (3, 2, "user", None), (4, 5, None, "z"), (None, 0, "user", "q"), (5, 0, "user", "A"), (5, 0, "user", "A")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit(1))
