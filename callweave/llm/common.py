@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    relieved(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._callweave_path = path
     return out
@@ -56,7 +58,40 @@ def collected(spark: SparkSession) -> None:
     """Collects the driver's garbage, of plans and broadcasts that nothing refers to any more, so that its heap shrinks; otherwise it grows to its limit over a run of many plans."""
     gc.collect()  # Python's handles keep the JVM's objects alive
     spark._jvm.System.gc()
+    _trim_jvm(spark)
     pa.default_memory_pool().release_unused()
+    _trim()
+
+
+#: Share of the driver's largest heap beyond which a written table ends with a collection.
+HEAP = 0.6
+
+
+def relieved(spark: SparkSession) -> None:
+    """collected(), if the driver's heap has taken more than the share HEAP of its limit: a stage of many short plans would take all of it before the JVM does so itself."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP * runtime.maxMemory():
+        collected(spark)
+
+
+def _trim_jvm(spark: SparkSession) -> str | None:
+    """Gives what the driver's JVM has freed outside its heap back to the machine, as glibc keeps it for each thread; the JVM's answer, None from one without that command."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    kind = jvm.java.lang.Class
+    types, given = array(kind, 4), array(jvm.java.lang.Object, 4)
+    for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        types[k] = kind.forName(name)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:  # by reflection, as the bean's own class is not open to py4j
+        return kind.forName("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:
+        return None
+
+
+def _trim() -> None:
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a function of glibc alone
+    if trim:
+        trim(0)
 
 
 def collected_on_executors(spark: SparkSession) -> None:
@@ -88,9 +123,7 @@ def trimmed(task: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from task(batches)
         pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a function of glibc alone
-        if trim:
-            trim(0)
+        _trim()
 
     return run
 

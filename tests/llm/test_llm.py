@@ -567,6 +567,17 @@ def test_stages_collect_the_executors_garbage(spark):
             assert full_collections() >= before + 2
 
 
+def test_written_tables_relieve_the_driver_once_its_heap_is_large(spark, monkeypatch):
+    done = []
+    trim = common._trim_jvm
+    monkeypatch.setattr(common, "_trim_jvm", lambda s: done.append(trim(s)))
+    for share, times in ((1.0, 0), (0.0, 1)):
+        monkeypatch.setattr(common, "HEAP", share)
+        assert common.written(spark.range(9)).count() == 9
+        assert len(done) == times
+    assert all("rim native heap" in x for x in done)
+
+
 def test_pieces_are_found_by_hash():
     vocabulary = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     known = {p[:n] for p in list(vocabulary.pieces)[::50] for n in range(1, len(p) + 1)}
