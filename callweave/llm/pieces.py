@@ -175,10 +175,11 @@ class Lattices:
         self.log_chance, self.upto = np.empty((n, wide), np.float32), np.empty((n, wide), np.float32)  # rows of words' ends stay unset
         longest = int(self.lengths[0]) if len(words) else 0
         counts = np.searchsorted(-self.lengths, -np.arange(longest), "left")
-        steps = np.arange(1, wide + 1)
+        ahead = np.lib.stride_tricks.sliding_window_view(behind[1:], wide)  # the ends of each node's edges, as they are filled in
         for p in range(longest - 1, -1, -1):
             node = self.base[: counts[p]] + p
-            own = weight[node] + behind[node[:, None] + steps]
+            own = weight.take(node, axis=0)
+            own += ahead[node]
             top = own.max(1)
             own -= top[:, None]
             chance = np.exp(own)
@@ -197,18 +198,20 @@ class Lattices:
     def walk(self, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each token (rank of its word, 64-bit key) a sampled path: (pieces, log-probability), and all tokens' (ids, lengths) in turn."""
         count, log_p = np.zeros(len(word), np.int64), np.zeros(len(word))
-        at, left = self.base[word], self.lengths[word].copy()
-        alive, steps = np.flatnonzero(left > 0), []
+        wide, log_chance, edge_ids = self.upto.shape[1], self.log_chance.ravel(), self.ids.ravel()
+        alive, steps = np.flatnonzero(self.lengths[word] > 0), []
+        node, left, key = self.base[word[alive]], self.lengths[word[alive]], key[alive]
         while len(alive):
-            u = _uniform(mixed(key[alive] + (count[alive].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)))
-            node = at[alive]
+            u = _uniform(mixed(key + np.uint64((len(steps) + 1) * 0xC2B2AE3D27D4EB4F & _MASK)))
             k = (self.upto.take(node, axis=0) > u.astype(np.float32)[:, None]).argmax(1)
-            log_p[alive] += self.log_chance[node, k]
-            steps.append((alive, self.ids[node, k], k + 1))
-            count[alive] += 1
-            at[alive] += k + 1
-            left[alive] -= k + 1
-            alive = alive[left[alive] > 0]
+            edge = node * wide + k
+            log_p[alive] += log_chance.take(edge)
+            k += 1
+            steps.append((alive, edge_ids.take(edge), k))
+            count[alive] = len(steps)
+            left = left - k
+            go = np.flatnonzero(left > 0)
+            alive, node, left, key = alive.take(go), (node + k).take(go), left.take(go), key.take(go)
         first = np.cumsum(count) - count
         ids, sizes = np.empty(int(count.sum()), np.int32), np.empty(int(count.sum()), np.int64)
         for s, (tokens, own, k) in enumerate(steps):

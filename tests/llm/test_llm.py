@@ -469,6 +469,26 @@ def test_samples_without_replacement():
     assert pieces.encoded(texts, v) == v.processor.encode(texts) and pieces.decoded(pieces.encoded(texts, v), v) == [v.processor.decode(i) for i in v.processor.encode(texts)]
 
 
+def test_walk_takes_each_token_along_its_own_draws():
+    vocabulary = pieces._vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    words = ["▁the", "▁conversation", "a", "▁日本𒀀", "\n", "▁xylophonist" * 5]
+    lattices = pieces.Lattices(words, vocabulary)
+    rng = np.random.default_rng(5)
+    tokens, keys = lattices.rank[rng.integers(0, len(words), 300)], rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    count, log_p, ids, sizes = lattices.walk(tokens, keys)
+    at = 0
+    for t, (word, key) in enumerate(zip(tokens, keys, strict=True)):
+        node, end, log_path, first = lattices.base[word], lattices.base[word] + lattices.lengths[word], 0.0, at
+        while node < end:
+            u = np.float32(pieces._uniform(pieces.mixed(np.array([(int(key) + (at - first + 1) * 0xC2B2AE3D27D4EB4F) % (1 << 64)], np.uint64)))[0])
+            k = next(i for i, upto in enumerate(lattices.upto[node]) if upto > u)
+            assert (ids[at], sizes[at]) == (lattices.ids[node, k], k + 1)
+            log_path += float(lattices.log_chance[node, k])
+            node, at = node + k + 1, at + 1
+        assert node == end and count[t] == at - first and math.isclose(log_p[t], log_path, abs_tol=1e-9)
+    assert at == len(ids)
+
+
 def test_own_encoding_gives_each_distinct_word_to_the_model_once_and_keeps_none():
     v = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     texts = ["the than of\nfoo " * 9000 + "end", "", "two  blanks", " lead", "日本 the é", "▁ the", "the"]
