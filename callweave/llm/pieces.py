@@ -8,7 +8,8 @@ log-weight is -SHARPNESS * ln(rank + 2), Zipf's law. A backward sum over each la
 The search is A-star with perturbed bounds: the agenda holds sets of segmentations that share a path up to a node and leave it by edges not yet taken.
 The bound of a set is the largest perturbed log-probability in it, a Gumbel variable located at the set's log-mass, known exactly; so the best set on
 the agenda holds the next sample. It is opened along sampled edges, on which the bound stays, and every node passed puts its other edges back as
-a set whose bound is drawn below that one. All nodes of an untouched word share a set until that is opened. The k samples are thus k draws without
+a set whose bound is drawn below that one. All nodes of a run of untouched words share a set; when that is opened, the first word to differ is drawn
+by its share of the set's mass, and the words before it and behind it are sets of their own. The k samples are thus k draws without
 replacement; the bound left on top, the threshold, gives the probability that a segmentation is among them. Draws depend on the row's key alone.
 
 coded() has the samples with their ids and the model's own encoding, each decoded again; encode() and decode() are the operators for any table.
@@ -36,10 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callweave.llm.common import bounded_batches, trimmed
-from callweave.llm.textblocks import dealt, mixed
+from callweave.llm.textblocks import dealt, mixed, taken
 
 SAMPLES, SHARPNESS = 3, 1.0
 SLICE_CHARS = 1 << 21
+#: Words whose lattices are made at once.
+BLOCK_WORDS = 4096
 #: Ids decoded at once.
 DECODED_IDS = 1 << 20
 _MASK, _TOP_BITS, _SPREAD = (1 << 64) - 1, 20, np.uint64(0x9E3779B97F4A7C15)
@@ -60,6 +63,7 @@ class Vocabulary:
         joined = {c for p in self.pieces if len(p) > 1 for c in p}
         #: Line ends and other characters inside texts at which lattices fall apart.
         self.breaks = "".join(c for c in "\n\t\r" if c not in joined)
+        self.broken = re.compile(f"[{self.breaks}]" if self.breaks else "(?!)").search
         #: Characters that some piece has before a blank; after these a blank is no cut.
         held = {a for p in self.pieces for a, b in itertools.pairwise(p) if b == _BLANK}
         self.held_apart = held <= {_BLANK}
@@ -76,11 +80,16 @@ class Vocabulary:
         scores = np.array([self.processor.get_score(int(i)) if i >= 0 else 0.0 for i in self.ids])
         self.weights = -SHARPNESS * np.log(2 + np.minimum(-np.minimum(scores, 0), size))
         self.byte_weight = -SHARPNESS * math.log(2 + size)
+        #: Weights by id, bytes included.
+        self.weight_of = np.full(size, self.byte_weight)
+        self.weight_of[self.ids[self.ids >= 0]] = self.weights[self.ids >= 0]
+        #: Characters by id; one for bytes, and for the mark -1 of a character without a piece, which is the last.
+        self.chars_of = np.ones(size + 1, np.int64)
+        self.chars_of[list(self.pieces_by_id)] = [len(p) for p in self.pieces_by_id.values()]
         # the bytes that each id stands for in a text; ids without any (marks of the model) are left to the model
         parts = [b"" if i not in self.pieces_by_id and not self.processor.is_byte(i) else bytes([i - self.first_byte]) if self.processor.is_byte(i) else self.pieces_by_id[i].replace(_BLANK, " ").encode() for i in range(size)]
         self.sizes = np.array([len(p) for p in parts])
-        self.begins = np.cumsum(self.sizes) - self.sizes
-        self.blob = np.frombuffer(b"".join(parts), np.uint8)
+        self.bytes_of = pa.array(parts, pa.large_binary())
         self.blank_first = np.array([p[:1] == b" " and i in self.pieces_by_id for i, p in enumerate(parts)])
 
     def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +117,12 @@ class Vocabulary:
             words = (_BLANK + text.replace(" ", " " + _BLANK)).split(" ")
         else:
             words = self.cut.split(_BLANK + text.replace(" ", _BLANK))
+        return self.parted(words) if self.broken(text) else words
+
+    def parted(self, words: list[str]) -> list[str]:
+        """The words cut at line ends and the like."""
         for c in self.breaks:
-            if c in text:
-                words = [p for w in words for p in ((w,) if c not in w else _parted(w, c))]
+            words = [p for w in words for p in ((w,) if c not in w else _parted(w, c))]
         return words
 
 
@@ -145,78 +157,125 @@ class Lattices:
         self.rank[order] = np.arange(len(words))
         self.lengths = lengths[order]
         self.base = np.concatenate([[0], np.cumsum(self.lengths + 1)])[:-1]
-        chars = np.frombuffer("\0".join([*(words[i] for i in order), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.chars = chars
-        n = len(chars)
-        alive, value, hits = np.flatnonzero(chars), np.zeros(int((chars != 0).sum()), np.uint64), []
+        self.chars = np.frombuffer("\0".join([*map(words.__getitem__, order.tolist()), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(self.chars)
+        # in blocks of words, whose arrays stay in the processor's caches
+        blocks = [range(lo, min(lo + BLOCK_WORDS, len(words))) for lo in range(0, len(words), BLOCK_WORDS)]
+        bounds = [(int(self.base[w.start]), int(self.base[w.stop - 1] + self.lengths[w.stop - 1] + 1)) for w in blocks]
+        hits = [self._matches(*own) for own in bounds]
+        wide = max([1, *(k + 1 for own in hits for k, h in enumerate(own) if len(h[0]))])
+        self.ids, self.has_bare = np.full((n, wide), -1, np.int32), np.zeros(len(words), bool)
+        # cells without an edge stay 0 in the sums, which no draw is below
+        self.log_chance, self.upto = np.full((n, wide), -np.inf, np.float32), np.zeros((n, wide), np.float32)
+        for w, own, found in zip(blocks, bounds, hits, strict=True):
+            self._fill(w, *own, found)
+
+    def _matches(self, lo: int, hi: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length the nodes from lo to hi, counted from lo, from which a piece of it goes on, and the pieces."""
+        vocabulary, chars, hits = self.vocabulary, self.chars[lo:hi].astype(np.uint64), []
+        alive = np.flatnonzero(chars)
+        value = np.zeros(len(alive), np.uint64)
         for k in range(vocabulary.longest):
-            go = chars[alive + k] != 0
-            alive, value = alive[go], value[go]
-            value = value * np.uint64(0x100000001B3) + chars[alive + k] + np.uint64(0x9E3779B97F4A7C15)
+            more = chars.take(alive + k)
+            value *= np.uint64(0x100000001B3)
+            value += more
+            value += np.uint64(0x9E3779B97F4A7C15)
             go, at = vocabulary.find(value)
-            alive, value, at = alive[go], value[go], at[go]
+            go = np.flatnonzero(go & (more != 0))
+            alive, value, at = alive.take(go), value.take(go), at.take(go)
             if not len(alive):
                 break
-            full = vocabulary.ids[at] >= 0
-            hits.append((alive[full], vocabulary.ids[at[full]], vocabulary.weights[at[full]]))
-        wide = max([1, *(k + 1 for k, h in enumerate(hits) if len(h[0]))])
-        self.ids = np.full((n, wide), -1, np.int32)
-        weight = np.full((n, wide), -np.inf)
-        for k, (node, own, w) in enumerate(hits[:wide]):
-            self.ids[node, k], weight[node, k] = own, w
-        bare = np.flatnonzero((self.ids[:, 0] < 0) & (chars != 0))
+            own = vocabulary.ids.take(at)
+            full = np.flatnonzero(own >= 0)
+            hits.append((alive.take(full), own.take(full)))
+        return hits
+
+    def _fill(self, words: range, lo: int, hi: int, hits: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """The rows of the nodes from lo to hi, those of a block of words."""
+        vocabulary, chars, ids, wide = self.vocabulary, self.chars[lo:hi], self.ids[lo:hi], self.ids.shape[1]
+        base, lengths = self.base[words.start : words.stop] - lo, self.lengths[words.start : words.stop]
+        flat_ids = ids.ravel()
+        for k, (node, own) in enumerate(hits[:wide]):
+            flat_ids[node * wide + k] = own
+        bare = np.flatnonzero((ids[:, 0] < 0) & (chars != 0))
         size = np.where(chars[bare] < 0x80, 1, np.where(chars[bare] < 0x800, 2, np.where(chars[bare] < 0x10000, 3, 4)))
-        weight[bare, 0] = vocabulary.byte_weight * size
-        ascii_ = bare[chars[bare] < 0x80]
-        self.ids[ascii_, 0] = vocabulary.first_byte + chars[ascii_].astype(np.int32)
-        self.has_bare = np.zeros(len(words), bool)
-        self.has_bare[np.searchsorted(self.base, bare[chars[bare] >= 0x80], "right") - 1] = True
-        behind = np.zeros(n + wide + 1)
-        self.log_chance, self.upto = np.empty((n, wide), np.float32), np.empty((n, wide), np.float32)  # rows of words' ends stay unset
-        longest = int(self.lengths[0]) if len(words) else 0
-        counts = np.searchsorted(-self.lengths, -np.arange(longest), "left")
-        ahead = np.lib.stride_tricks.sliding_window_view(behind[1:], wide)  # the ends of each node's edges, as they are filled in
-        for p in range(longest - 1, -1, -1):
-            node = self.base[: counts[p]] + p
-            own = weight.take(node, axis=0)
-            own += ahead[node]
-            top = own.max(1)
-            own -= top[:, None]
-            chance = np.exp(own)
-            total = chance.sum(1)
-            log_total = np.log(total)
-            behind[node] = top + log_total
-            own -= log_total[:, None]
-            chance /= total[:, None]
-            self.log_chance[node] = own
-            self.upto[node] = np.cumsum(chance, axis=1, out=chance)
-        self.upto[np.arange(n), self.upto.argmax(1)] = 2
+        ids[bare, 0] = vocabulary.first_byte + np.minimum(chars[bare], 0x7F).astype(np.int32)
+        strange = bare[size > 1]
+        self.has_bare[words.start + np.searchsorted(base, strange, "right") - 1] = True
+        # the edges there are, as cells of the table of nodes and lengths; nodes go from the words' last places to the first, so a level is a run of edges
+        longest = int(lengths[0])
+        level = np.searchsorted(-lengths, -np.arange(longest), "left")[::-1].tolist()
+        nodes = np.concatenate([np.zeros(0, np.int64), *(base[:c] + p for p, c in zip(range(longest - 1, -1, -1), level, strict=True))])
+        cells = np.flatnonzero(flat_ids >= 0)
+        of_node = np.bincount(cells // wide, minlength=hi - lo)
+        count = of_node.take(nodes)
+        stop = np.cumsum(count)
+        head = stop - count
+        cells = taken(cells, (np.cumsum(of_node) - of_node).take(nodes), count)
+        row = np.repeat(np.arange(len(nodes)), count)
+        log_chance = vocabulary.weight_of.take(flat_ids.take(cells))
+        if len(strange):
+            place = np.empty(hi - lo, np.int64)
+            place[nodes] = head
+            log_chance[place[strange]] *= size[size > 1]
+        behind, chance, end = np.zeros(hi - lo + 1), np.empty(len(cells)), cells - nodes.take(row) * (wide - 1) + 1
+        last = 0
+        for c in level:
+            own, first = slice(last, last + c), int(head[last])
+            edges, last = slice(first, int(stop[last + c - 1])), last + c
+            at, of = head[own] - first, row[edges] - own.start
+            value = log_chance[edges]
+            value += behind.take(end[edges])
+            # every node has an edge of one character, which is near enough to the largest to keep exp within range
+            top = value.take(at)
+            value -= top.take(of)
+            e = np.exp(value, out=chance[edges])
+            total = np.add.reduceat(e, at)
+            e /= total.take(of)
+            np.log(total, out=total)
+            value -= total.take(of)
+            total += top
+            behind[nodes[own]] = total
+        self.log_chance[lo:hi].ravel()[cells] = np.minimum(log_chance, 0.0, out=log_chance)
+        for k in range(1, int(count.max(initial=0))):
+            edge = head[count > k] + k
+            chance[edge] += chance[edge - 1]
+        chance[stop - 1] = 2
+        self.upto[lo:hi].ravel()[cells] = chance
+        ids[strange, 0] = -1
 
     def chances(self, node) -> np.ndarray:
         return np.exp(self.log_chance[node].astype(np.float64))
 
     def walk(self, word: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each token (rank of its word, 64-bit key) a sampled path: (pieces, log-probability), and all tokens' (ids, lengths) in turn."""
-        count, log_p = np.zeros(len(word), np.int64), np.zeros(len(word))
-        wide, log_chance, edge_ids = self.upto.shape[1], self.log_chance.ravel(), self.ids.ravel()
-        alive, steps = np.flatnonzero(self.lengths[word] > 0), []
-        node, left, key = self.base[word[alive]], self.lengths[word[alive]], key[alive]
+        count, log_p, ids = self.paths(self.base[word], self.lengths[word], key)
+        return count, np.bincount(np.repeat(np.arange(len(word)), count), weights=log_p, minlength=len(word)), ids, self.vocabulary.chars_of[ids]
+
+    def paths(self, node: np.ndarray, left: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A sampled path from each node on, over as many characters as are left: pieces of each, and all their (log-probabilities, ids) in turn."""
+        count, wide = np.zeros(len(node), np.int64), self.upto.shape[1]
+        alive, steps = np.flatnonzero(left), []
+        if len(alive) < len(node):
+            node, left, key = node.take(alive), left.take(alive), key.take(alive)
         while len(alive):
             u = _uniform(mixed(key + np.uint64((len(steps) + 1) * 0xC2B2AE3D27D4EB4F & _MASK)))
             k = (self.upto.take(node, axis=0) > u.astype(np.float32)[:, None]).argmax(1)
-            edge = node * wide + k
-            log_p[alive] += log_chance.take(edge)
+            edge = node * wide
+            edge += k
             k += 1
-            steps.append((alive, edge_ids.take(edge), k))
+            steps.append((alive, edge))
             count[alive] = len(steps)
             left = left - k
-            go = np.flatnonzero(left > 0)
-            alive, node, left, key = alive.take(go), (node + k).take(go), left.take(go), key.take(go)
-        first = np.cumsum(count) - count
-        ids, sizes = np.empty(int(count.sum()), np.int32), np.empty(int(count.sum()), np.int64)
-        for s, (tokens, own, k) in enumerate(steps):
-            ids[first[tokens] + s], sizes[first[tokens] + s] = own, k
-        return count, log_p, ids, sizes
+            go = np.flatnonzero(left)
+            k += node
+            alive, node, left, key = alive.take(go), k.take(go), left.take(go), key.take(go)
+        first, edges = np.cumsum(count) - count, np.empty(int(count.sum()), np.int64)
+        for s, (own, edge) in enumerate(steps):
+            at = first.take(own)
+            at += s
+            edges[at] = edge
+        return count, self.log_chance.ravel().take(edges), self.ids.ravel().take(edges)
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -244,145 +303,162 @@ def _below(location: float, bound: float, u: float) -> float:
 
 
 class Sample:
-    """counts, log_p: of tokens; ids, sizes: of pieces; perturbed: the bound reached."""
+    """counts: pieces of tokens; log_p, ids: of pieces; perturbed: the bound reached; cost: minus the log-probability before each piece, and of all."""
 
-    def __init__(self, counts, log_p, ids, sizes, perturbed):
-        self.counts, self.log_p, self.ids, self.sizes, self.perturbed = counts, log_p, ids, sizes, perturbed
-        self.ends = np.cumsum(counts)
+    def __init__(self, counts, log_p, ids, perturbed):
+        self.counts, self.log_p, self.ids, self.perturbed = counts, log_p, ids, perturbed
+        self.cost = np.zeros(len(log_p) + 1)
+        np.cumsum(log_p, dtype=np.float64, out=self.cost[1:])
+        np.negative(self.cost, out=self.cost)
 
-    def path(self, token: int) -> tuple[list[int], list[int]]:
-        hi = int(self.ends[token])
-        lo = hi - int(self.counts[token])
-        return self.ids[lo:hi].tolist(), self.sizes[lo:hi].tolist()
+    def token_of(self, piece: int) -> tuple[int, int]:
+        """The token of a piece, and its first piece."""
+        ends = np.cumsum(self.counts)
+        token = int(ends.searchsorted(piece, "right"))
+        return token, int(ends[token] - self.counts[token])
 
 
 class _Search:
     """The agenda of one row."""
 
-    def __init__(self, lattices: Lattices, words: np.ndarray, key: int, k: int):
-        self.lattices, self.words, self.key, self.k = lattices, words, key, k
+    def __init__(self, lattices: Lattices, words: np.ndarray, key: int):
+        self.lattices, self.words, self.key = lattices, words, key
         self.draw, self.samples, self.agenda, self.order = _Draws(key ^ 0x5851F42D4C957F2D), [], [], 0
 
-    def push(self, bound: float, *what) -> None:
-        if bound > -math.inf:
-            self.order += 1
-            heapq.heappush(self.agenda, (-bound, self.order, what))
+    def push(self, location: float, bound: float, *what) -> None:
+        """Puts a set of that log-mass on the agenda, its bound drawn below the one given."""
+        self.order += 1
+        heapq.heappush(self.agenda, (-_below(location, bound, self.draw()), self.order, what))
 
-    def add(self, sample: Sample, begin: int, bound: np.ndarray) -> None:
-        """Takes a sample whose tokens from begin on are fresh; each of these words becomes a set of its other paths, of the given bound."""
+    def add(self, sample: Sample, begin: int) -> None:
+        """Takes a sample whose pieces from begin on are fresh; the other paths along these become a set."""
         self.samples.append(sample)
-        best = np.argpartition(-bound, self.k)[: self.k] if len(bound) > self.k else np.arange(len(bound))
-        for t in best.tolist():
-            self.push(float(bound[t]), "word", len(self.samples) - 1, begin + t)
+        self.span(len(self.samples) - 1, begin, len(sample.ids), sample.perturbed)
+
+    def span(self, parent: int, lo: int, hi: int, bound: float) -> None:
+        """The set of the paths that leave the sample first at a piece from lo to hi."""
+        cost = self.samples[parent].cost
+        before, inner = float(cost[lo]), float(cost[hi] - cost[lo])
+        if inner > 1e-15:
+            self.push(math.log(-math.expm1(-inner)) - before, bound, parent, lo, hi, 0, ())
+
+    def first_to_differ(self, parent: int, lo: int, hi: int) -> int:
+        """A piece of the span, drawn by the mass of the paths that leave the sample first there."""
+        cost = self.samples[parent].cost
+        own, before = cost[lo + 1 : hi + 1], float(cost[lo])
+        at = int(own.searchsorted(before - math.log1p(self.draw() * math.expm1(before - float(cost[hi]))), "right"))
+        # a draw rounded up to the whole: the last piece beside which there are others
+        return lo + (at if at < len(own) else int(own.searchsorted(own[-1], "left")))
 
     def threshold(self) -> float:
         return -self.agenda[0][0] if self.agenda else -math.inf
 
     def open(self) -> tuple | None:
-        """(sample that is left, token, its new path's ids, sizes and log-probability, bound) of the best set; None with no more."""
-        if not self.agenda:
-            return None
-        bound, _, what = heapq.heappop(self.agenda)
-        bound = -bound
-        if what[0] == "word":
-            _, parent, token = what
-            ids, sizes = self.samples[parent].path(token)
-            before = float(self.samples[parent].log_p[:token].sum())
-            base, log_path, sets = int(self.lattices.base[self.words[token]]), 0.0, []
-            nodes = list(itertools.accumulate(sizes[:-1], initial=base))
-            chances, steps = self.lattices.chances(nodes), (range(len(sizes)), [size - 1 for size in sizes])
-            taken_chances = chances[steps].tolist()
-            chances[steps] = 0
-            for j, (size, node, chance, rest) in enumerate(zip(sizes, nodes, taken_chances, chances.sum(1).tolist(), strict=True)):
-                if rest > 1e-15:
-                    sets.append((log_path + math.log(rest), ids[:j], sizes[:j], node, (size - 1,), log_path))
-                log_path += math.log(chance)
-            if not sets:
-                return self.open()
-            most = max(s[0] for s in sets)
-            masses = list(itertools.accumulate(math.exp(s[0] - most) for s in sets))
-            chosen = min(bisect.bisect_right(masses, self.draw() * masses[-1]), len(sets) - 1)
-            for j, s in enumerate(sets):
-                if j != chosen:
-                    self.push(_below(before + s[0], bound, self.draw()), "node", parent, token, before, *s[1:])
-            _, ids, sizes, node, taken, log_path = sets[chosen]
-        else:
-            _, parent, token, before, ids, sizes, node, taken, log_path = what
-        ids, sizes = list(ids), list(sizes)
-        end = int(self.lattices.base[self.words[token]] + self.lattices.lengths[self.words[token]])
-        while node < end:
-            chance = self.lattices.chances(node)
-            chance[list(taken)] = 0
-            chance = chance.tolist()
+        """(sample that is left, piece, its token, the first piece of that, its characters up to behind the new edge, id and log-probability of this, bound) of the best set; None with no more."""
+        while self.agenda:
+            bound, _, (parent, lo, hi, node, taken_) = heapq.heappop(self.agenda)
+            bound, sample, at = -bound, self.samples[parent], lo
+            if not taken_:
+                at = self.first_to_differ(parent, lo, hi)
+                self.span(parent, lo, at, bound)
+                self.span(parent, at + 1, hi, bound)
+            token, begin = sample.token_of(at)
+            base = int(self.lattices.base[self.words[token]])
+            if not taken_:
+                sizes = self.lattices.vocabulary.chars_of[sample.ids[begin : at + 1]].tolist()
+                node, taken_ = base + sum(sizes[:-1]), (sizes[-1] - 1,)
+            chance = self.lattices.chances(node).tolist()
+            for k in taken_:
+                chance[k] = 0.0
             upto = list(itertools.accumulate(chance))
+            if not upto[-1]:
+                continue
             k = bisect.bisect_right(upto, self.draw() * upto[-1])
             if k == len(upto):  # a draw rounded up to the whole: the last edge there is
                 k = max(i for i, c in enumerate(chance) if c)
             own, chance[k] = chance[k], 0.0
             rest = sum(chance)
             if rest > 1e-15:
-                self.push(_below(before + log_path + math.log(rest), bound, self.draw()), "node", parent, token, before, tuple(ids), tuple(sizes), node, (*taken, k), log_path)
-            ids.append(int(self.lattices.ids[node, k]))
-            sizes.append(k + 1)
-            log_path += math.log(own)
-            node += k + 1
-            taken = ()
-        return parent, token, ids, sizes, log_path, bound
-
-
-def _bounds(log_p: np.ndarray, tokens: np.ndarray, size: np.ndarray, base: np.ndarray, key: np.ndarray, turn: int, perturbed: np.ndarray) -> np.ndarray:
-    """Bounds of the sets of other paths of fresh tokens. By row, of size tokens each: base, the log-probability before the first of them, the key and the sample's bound."""
-    first = np.cumsum(size) - size
-    upto = np.cumsum(log_p) - log_p
-    rows = np.repeat(np.arange(len(size)), size)
-    before = upto + (base - upto.take(np.minimum(first, max(0, len(upto) - 1))))[rows] if len(log_p) else upto
-    with np.errstate(divide="ignore", invalid="ignore"):
-        location = before + np.log(-np.expm1(np.minimum(log_p, 0.0)))
-        u = _uniform(mixed(key[rows] ^ mixed(tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7919 * (turn + 1)))))
-        # log(exp(x) - log u) for x = location - perturbed, which is mostly far below 0
-        return np.where(log_p < -1e-15, location - np.logaddexp(location - perturbed[rows], np.log(-np.log(u))), -np.inf)
-
-
-def top_k(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int = SAMPLES) -> list[tuple[list[Sample], float, np.ndarray]]:
-    """For each text its samples, best perturbed first, the threshold, and the bytes of characters without a piece, by sample (see ids_of)."""
-    split = [vocabulary.split(t) for t in texts]
-    distinct = {w: i for i, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(split)))}
-    lattices = Lattices(list(distinct), vocabulary)
-    get = distinct.__getitem__
-    words = [lattices.rank[np.fromiter(map(get, own), np.int64, len(own))] for own in split]
-    searches = [_Search(lattices, w, int(key), k) for w, key in zip(words, keys.tolist(), strict=True)]
-    todo = [(s, np.arange(len(s.words)), None) for s in searches]
+                self.push(math.log(rest) - float(sample.cost[at]), bound, parent, at, at + 1, node, (*taken_, k))
+            return parent, at, token, begin, node + k + 1 - base, int(self.lattices.ids[node, k]), math.log(own), bound
+        return None
+
+
+def _told_apart(texts: list[str]) -> tuple[list[bool], pa.Array, np.ndarray, np.ndarray]:
+    """(whether each text has single blanks alone, and between words, the words of those that do, each once, the number of each word in turn, how many each of those texts has)."""
+    plain = [bool(t) and "  " not in t and _BLANK not in t and t[0] != " " and t[-1] != " " for t in texts]
+    split = pc.split_pattern(pa.array(itertools.compress(texts, plain), pa.large_string()), " ")
+    coded = split.flatten().dictionary_encode()
+    return plain, coded.dictionary, coded.indices.to_numpy(), pc.list_value_length(split).to_numpy()
+
+
+def _listed(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _tokens(texts: list[str], vocabulary: Vocabulary, told: tuple) -> tuple[Lattices, list[np.ndarray]]:
+    """The lattices of all words, and the ranks of each text's."""
+    plain, words, codes, counts = told
+    if not vocabulary.held_apart:
+        plain, words, codes, counts = [False] * len(texts), words[:0], codes[:0], counts[:0]
+    # each word of plain texts is one lattice, but for those cut within; other texts follow, each split by itself
+    broken = np.flatnonzero(functools.reduce(np.logical_or, (pc.match_substring(words, c).to_numpy(zero_copy_only=False) for c in vocabulary.breaks), np.zeros(len(words), bool)))
+    marked = _listed(pc.binary_join_element_wise(pa.scalar(_BLANK, words.type), words, pa.scalar("", words.type)))
+    parts = [vocabulary.parted([marked[i]]) for i in broken.tolist()] + [vocabulary.split(t) for t, p in zip(texts, plain, strict=True) if not p]
+    for i in broken.tolist():
+        marked[i] = ""
+    number = {w: i for i, w in enumerate(dict.fromkeys(itertools.chain.from_iterable(parts)), len(words))}
+    lattices = Lattices([*marked, *number], vocabulary)
+    others = np.arange(len(words), len(words) + len(parts) - len(broken))
+    own = np.concatenate([broken, others])
+    size = np.ones(len(words) + len(others), np.int64)
+    size[own] = np.fromiter(map(len, parts), np.int64, len(parts))
+    begin = np.arange(len(size))
+    begin[own] = len(words) + np.cumsum(size[own]) - size[own]
+    at = np.concatenate([np.arange(len(words)), np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(parts)), np.int64)])
+    ranks, stop = dealt(lattices.rank[at], begin, size, np.concatenate([codes, others]))
+    ends = stop[np.concatenate([[0], np.cumsum(np.concatenate([counts, np.ones(len(others), np.int64)]))])].tolist()
+    out = [None] * len(texts)
+    for d, (lo, hi) in zip(np.argsort(~np.array(plain, bool), kind="stable").tolist(), itertools.pairwise(ends), strict=True):
+        out[d] = ranks[lo:hi]
+    return lattices, out
+
+
+def top_k(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int = SAMPLES, told: tuple | None = None) -> list[tuple[list[Sample], float, np.ndarray]]:
+    """For each text its samples, best perturbed first, the threshold, and the bytes of characters without a piece, by sample (see ids_of). told: _told_apart() of the texts, if known."""
+    lattices, words = _tokens(texts, vocabulary, told or _told_apart(texts))
+    searches = [_Search(lattices, w, int(key)) for w, key in zip(words, keys.tolist(), strict=True)]
+    todo = [(s, 0, 0, None) for s in searches]
     for turn in range(k):
         if not todo:
             break
-        tokens, size = np.concatenate([t for _, t, _ in todo]), np.array([len(t) for _, t, _ in todo])
-        key = np.array([s.key for s, _, _ in todo], np.uint64)
+        # each search's tokens from one on, the first of them behind some characters
+        own = [s.words[token:] for s, token, _, _ in todo]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        first = np.cumsum(size) - size
+        word, skip = np.concatenate(own), np.fromiter((c for _, _, c, _ in todo), np.int64, len(todo))
+        tokens = np.arange(len(word)) + np.repeat(np.fromiter((t for _, t, _, _ in todo), np.int64, len(todo)) - first, size)
+        key = np.array([s.key for s, _, _, _ in todo], np.uint64)
         token_keys = mixed(tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(key + np.uint64(turn * 0xD1B54A32D192ED03 & _MASK), size))
-        count, log_p, ids, sizes = lattices.walk(np.concatenate([s.words[t] for s, t, _ in todo]), token_keys)
-        reached = np.array([-math.log(-math.log(s.draw())) if o is None else o[5] for s, _, o in todo])
-        base = np.array([0.0 if o is None else float(s.samples[o[0]].log_p[: o[1]].sum()) + o[4] for s, _, o in todo])
-        bounds = _bounds(log_p, tokens, size, base, key, turn, reached)
-        token_end = np.cumsum(size)
+        node, left = lattices.base.take(word), lattices.lengths.take(word)
+        begun = np.flatnonzero(skip)
+        node[first[begun]] += skip[begun]
+        left[first[begun]] -= skip[begun]
+        count, log_p, ids = lattices.paths(node, left, token_keys)
         pieces = np.concatenate([[0], np.cumsum(count)])
-        for (s, fresh, opened), hi, perturbed in zip(todo, token_end.tolist(), reached.tolist(), strict=True):
-            lo = hi - len(fresh)
-            part = slice(pieces[lo], pieces[hi])
+        for (s, token, _, opened), lo, n in zip(todo, first.tolist(), size.tolist(), strict=True):
+            counts, part = count[lo : lo + n], slice(pieces[lo], pieces[lo + n])
             if opened is None:
-                s.add(Sample(count[lo:hi], log_p[lo:hi], ids[part], sizes[part], perturbed), 0, bounds[lo:hi])
+                s.add(Sample(counts, log_p[part], ids[part], -math.log(-math.log(s.draw()))), 0)
             else:
-                parent, token, new_ids, new_sizes, new_log_p, bound = opened
+                parent, at, _, begin, _, new_id, new_log_p, bound = opened
                 old = s.samples[parent]
-                cut = int(old.ends[token] - old.counts[token])
-                s.add(
-                    Sample(
-                        np.concatenate([old.counts[:token], [len(new_ids)], count[lo:hi]]), np.concatenate([old.log_p[:token], [new_log_p], log_p[lo:hi]]),
-                        np.concatenate([old.ids[:cut], np.array(new_ids, np.int32), ids[part]]), np.concatenate([old.sizes[:cut], new_sizes, sizes[part]]), bound,
-                    ),
-                    token + 1, bounds[lo:hi],
-                )
+                counts = np.concatenate([old.counts[:token], counts])
+                counts[token] += at + 1 - begin
+                fresh = ((old.log_p, new_log_p, log_p), (old.ids, new_id, ids))
+                s.add(Sample(counts, *(np.concatenate([o[:at], np.array([x], o.dtype), y[part]]) for o, x, y in fresh), bound), at + 1)
         if turn < k - 1:
-            opened = [(s, s.open()) for s, _, _ in todo]
-            todo = [(s, np.arange(o[1] + 1, len(s.words)), o) for s, o in opened if o]
+            todo = [(s, o[2], o[4], o) for s, o in ((s, s.open()) for s, _, _, _ in todo) if o]
     return [(s.samples, s.threshold(), lattices.chars[_bare(lattices, s)]) for s in searches]
 
 
@@ -421,12 +497,12 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 _FIELDS = [("sample", "int", pa.int32()), ("n_pieces", "long", pa.int64()), ("log_prob", "double", pa.float64()), ("perturbed", "double", pa.float64()), ("log_inclusion", "double", pa.float64()), ("ids_crc32", "long", pa.int64())]
 
 
-def _drawn(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int) -> Iterator[tuple]:
+def _drawn(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int, told: tuple | None = None) -> Iterator[tuple]:
     """(text, sample, n_pieces, log_prob, perturbed, log_inclusion, ids_crc32, ids) of the samples of each text."""
-    for d, (samples, threshold, bare) in enumerate(top_k(texts, keys, vocabulary, k)):
+    for d, (samples, threshold, bare) in enumerate(top_k(texts, keys, vocabulary, k, told)):
         for n, s in enumerate(samples):
             ids = ids_of(s, bare, vocabulary)
-            log_p = float(s.log_p.sum())
+            log_p = -float(s.cost[-1])
             yield d, n + 1, len(ids), log_p, s.perturbed, _log_inclusion(log_p, threshold), zlib.crc32(ids.tobytes()), ids
 
 
@@ -444,9 +520,10 @@ def _sampled(documents: DataFrame, model: str, k: int, key: str, own: bool) -> D
         for batch in batches:
             texts, keys = [t or "" for t in batch.column(2).to_pylist()], batch.column(1).to_numpy().view(np.uint64)
             for lo, hi in _slices(texts):
-                rows = list(_drawn(texts[lo:hi], keys[lo:hi], vocabulary, k))
+                told = _told_apart(texts[lo:hi])
+                rows = list(_drawn(texts[lo:hi], keys[lo:hi], vocabulary, k, told))
                 if own:
-                    rows += [(d, 0, len(ids), None, None, None, None, ids) for d, ids in enumerate(encoded_ids(texts[lo:hi], vocabulary))]
+                    rows += [(d, 0, len(ids), None, None, None, None, ids) for d, ids in enumerate(encoded_ids(texts[lo:hi], vocabulary, told))]
                 columns = list(zip(*rows, strict=True))
                 at, ids = pa.array(columns[0], pa.int64()), _lists(columns[7])
                 arrays = [batch.column(0).slice(lo, hi - lo).take(at), *(pa.array(c, t) for c, (_, _, t) in zip(columns[1:7], _FIELDS, strict=True)), ids]
@@ -480,15 +557,13 @@ def _log_inclusion(log_p: float, threshold: float) -> float:
     return x if x < -30 else math.log(-math.expm1(-math.exp(min(x, 700.0))))
 
 
-def encoded_ids(texts: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
-    """The model's own ids; words between single blanks are told apart by Arrow and each is encoded once for all texts."""
-    plain = [bool(t) and "  " not in t and _BLANK not in t and t[0] != " " and t[-1] != " " for t in texts]
-    split = pc.split_pattern(pa.array(itertools.compress(texts, plain), pa.large_string()), " ")
-    coded = split.flatten().dictionary_encode()
-    own = vocabulary.processor.encode(coded.dictionary.to_pylist())
+def encoded_ids(texts: list[str], vocabulary: Vocabulary, told: tuple | None = None) -> list[np.ndarray]:
+    """The model's own ids; words between single blanks are told apart by Arrow and each is encoded once for all texts. told: _told_apart() of the texts, if known."""
+    plain, words, codes, counts = told or _told_apart(texts)
+    own = vocabulary.processor.encode(_listed(words), num_threads=1)
     size = np.fromiter(map(len, own), np.int64, len(own))
-    ids, stop = dealt(np.fromiter(itertools.chain.from_iterable(own), np.int32), np.cumsum(size) - size, size, coded.indices.to_numpy())
-    ends = stop[np.cumsum(pc.list_value_length(split).to_numpy())].tolist()
+    ids, stop = dealt(np.fromiter(itertools.chain.from_iterable(own), np.int32), np.cumsum(size) - size, size, codes)
+    ends = stop[np.cumsum(counts)].tolist()
     parts = (ids[lo:hi] for lo, hi in itertools.pairwise([0, *ends]))
     return [next(parts) if p else np.array(vocabulary.processor.encode(t), np.int32) for t, p in zip(texts, plain, strict=True)]
 
@@ -505,22 +580,21 @@ def decoded_texts(lists: pa.ListArray, vocabulary: Vocabulary) -> Iterator[str |
     while lo < len(lists):
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + DECODED_IDS, "right")) - 1)
         ids = values[ends[lo] : ends[hi]]
-        size, begin = vocabulary.sizes[ids], vocabulary.begins[ids]
-        first = (ends[lo:hi] - ends[lo])[ends[lo:hi] < ends[lo + 1 : hi + 1]]
-        cut = vocabulary.blank_first[ids[first]]
-        begin[first] += cut
-        odd = np.concatenate([[0], np.cumsum(size == 0)])
-        size[first] -= cut
-        stop = np.cumsum(size)
-        data = vocabulary.blob[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - size), size)].tobytes()
-        at = np.concatenate([[0], stop])[ends[lo : hi + 1] - ends[lo]].tolist()
+        joined = vocabulary.bytes_of.take(pa.array(ids))
+        _, offsets, data = joined.buffers()
+        place, data = np.frombuffer(offsets, np.int64)[: len(ids) + 1], data.to_pybytes() if len(ids) else b""
+        odd = np.concatenate([[0], np.cumsum(vocabulary.sizes.take(ids) == 0)])
+        at, stop = place[ends[lo:hi] - ends[lo]], place[ends[lo + 1 : hi + 1] - ends[lo]].tolist()
+        full = np.flatnonzero(ends[lo:hi] < ends[lo + 1 : hi + 1])
+        at[full] += vocabulary.blank_first[ids[(ends[lo:hi] - ends[lo])[full]]]
+        at = at.tolist()
         strange = (np.diff(odd[ends[lo : hi + 1] - ends[lo]]) > 0).tolist()
         for k in range(hi - lo):
             if none[lo + k]:
                 yield None
                 continue
             try:
-                text = None if strange[k] else data[at[k] : at[k + 1]].decode()
+                text = None if strange[k] else data[at[k] : stop[k]].decode()
             except UnicodeDecodeError:
                 text = None
             yield vocabulary.processor.decode(values[ends[lo + k] : ends[lo + k + 1]].tolist()) if text is None else text

@@ -3,6 +3,7 @@ import math
 import os
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -489,6 +490,34 @@ def test_walk_takes_each_token_along_its_own_draws():
     assert at == len(ids)
 
 
+def test_lattices_take_little_more_memory_than_their_tables():
+    vocabulary = pieces._vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(3)
+    words = ["▁" + "".join(rng.choice(list("etaoinshrdlu"), n)) for n in rng.integers(2, 14, 40_000)]
+    tracemalloc.start()
+    lattices = pieces.Lattices(words, vocabulary)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.2 * sum(x.nbytes for x in (lattices.ids, lattices.log_chance, lattices.upto))
+
+
+def test_samples_of_many_words_share_one_set_and_are_drawn_without_replacement():
+    v, n = pieces._vocabulary(public_tokenizers.path("piece_bpe_32k.model")), 6000
+    lattices = pieces.Lattices(["▁the", "▁of"], v)
+    search = pieces._Search(lattices, lattices.rank[np.tile([0, 1], 500)], 7)
+    count, log_p, ids = lattices.paths(lattices.base[search.words], lattices.lengths[search.words], np.arange(1000, dtype=np.uint64))
+    search.add(pieces.Sample(count, log_p, ids, 0.5), 0)
+    assert len(search.agenda) == 1 and search.threshold() < 0.5
+    pairs, chance = Counter(), {}
+    for samples, _, _ in pieces.top_k(["the of the"] * n, pieces.mixed(np.arange(n, dtype=np.uint64)), v, 2):
+        own = [tuple(s.ids.tolist()) for s in samples]
+        chance |= {i: math.exp(s.log_p.sum()) for i, s in zip(own, samples, strict=True)}
+        pairs[tuple(own)] += 1
+    for (a, b), count in pairs.most_common(6):
+        want = chance[a] * chance[b] / (1 - chance[a])
+        assert abs(count / n - want) < 5 * math.sqrt(want / n)
+
+
 def test_own_encoding_gives_each_distinct_word_to_the_model_once_and_keeps_none():
     v = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     texts = ["the than of\nfoo " * 9000 + "end", "", "two  blanks", " lead", "日本 the é", "▁ the", "the"]
