@@ -163,21 +163,21 @@ class Bilinear:
 
     def learn(self, target: np.ndarray, before: np.ndarray, rng: np.random.Generator) -> None:
         """One step over a batch of tokens: groups, and in each group its classes, are told from draws of their shares, which the batch meets together."""
+        # tokens of a group stand together
+        group = target % GROUPS
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        group, member, before = group.take(order), (target // GROUPS).take(order), before.take(order, axis=0)
         n, q = len(target), self.context(before)
         grads = [np.zeros_like(p) for p in self._all()]
         d_vectors, d_places, d_tops, d_outs, d_top_bias, d_bias = grads
-        group, member = target % GROUPS, target // GROUPS
         dq = self._contrast(q, group, rng.choice(GROUPS, NOISE, p=self.top_noise), self.tops, self.top_bias, self.top_noise, d_tops, d_top_bias)
-        order = np.argsort(group.astype(np.int16), kind="stable")
         ends = np.cumsum(np.bincount(group, minlength=GROUPS))
         draws = rng.random((GROUPS, NOISE))
-        sorted_q, sorted_member, sorted_dq = q.take(order, axis=0), member[order], np.empty_like(q)
         for g in range(GROUPS):
             rows = slice(ends[g - 1] if g else 0, ends[g])
             if rows.start < rows.stop:
                 noise = np.minimum(np.searchsorted(np.cumsum(self.noise[:, g]), draws[g]), MEMBERS - 1)
-                sorted_dq[rows] = self._contrast(sorted_q[rows], sorted_member[rows], noise, self.outs[:, g], self.bias[:, g], self.noise[:, g], d_outs[:, g], d_bias[:, g])
-        dq[order] += sorted_dq
+                dq[rows] += self._contrast(q[rows], member[rows], noise, self.outs[:, g], self.bias[:, g], self.noise[:, g], d_outs[:, g], d_bias[:, g])
         for k in range(CONTEXT):
             at = before[:, k].astype(np.int16)
             by = np.argsort(at, kind="stable")
@@ -252,8 +252,9 @@ def fit(documents: DataFrame, counts: DataFrame, closings: int) -> Model:
         class_words[inside[h]] -= 1
     class_tokens[END] = closings
     net = Bilinear((class_tokens + 1) / (class_tokens + 1).sum())
+    dealt = _dealt(documents, max(1, -(-tokens // (ROUNDS * SHARD_TOKENS))))
     for at in range(ROUNDS):
-        _round(documents, classes, net, at, tokens)
+        _round(dealt.where(F.col("round") == at).select("shard", "h", "text"), classes, net)
     least = max(1, math.ceil(tokens * FREQUENT))
     often = counts.where(F.col("c") >= least).select("h", "c").toPandas()
     return Model(classes, net, often["h"].to_numpy(np.int64), often["c"].to_numpy(np.int64), least, tokens, distinct, class_tokens, class_words, closings)
@@ -265,14 +266,14 @@ def _dealt(documents: DataFrame, shards: int) -> DataFrame:
     rows = rows.withColumn("salt", F.lit(0).cast("long"))
     if shards > 1:
         most = max(2.0, HOT * documents.count())
-        hot = rows.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= most)  # 1 / HOT at most
+        hot = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= most))  # 1 / HOT at most; counted once for all rounds
         rows = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("copies").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(shards))).otherwise(0)).drop("copies")
     return rows.select("text", "h", F.pmod(F.xxhash64("h", "salt", F.lit(1)), F.lit(ROUNDS)).alias("round"), F.pmod(F.xxhash64("h", "salt", F.lit(2)), F.lit(shards)).alias("shard"))
 
 
-def _round(documents: DataFrame, classes: Classes, net: Bilinear, at: int, tokens: int) -> None:
-    """Trains net on the shards of a round and loads the mean."""
-    spark = documents.sparkSession
+def _round(rows: DataFrame, classes: Classes, net: Bilinear) -> None:
+    """Trains net on the shards of a round's rows and loads the mean."""
+    spark = rows.sparkSession
     sent = spark.sparkContext.broadcast((classes, net))
 
     def train(table: pa.Table) -> pa.Table:
@@ -293,8 +294,6 @@ def _round(documents: DataFrame, classes: Classes, net: Bilinear, at: int, token
         values = np.concatenate([values, squares])
         return pa.table([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["i", "v"])
 
-    shards = max(1, -(-tokens // (ROUNDS * SHARD_TOKENS)))
-    rows = _dealt(documents, shards).where(F.col("round") == at).select("shard", "h", "text")
     got = rows.groupBy("shard").applyInArrow(train, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
     if len(got):
         n = sum(p.size for p in net._all())

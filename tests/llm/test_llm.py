@@ -333,6 +333,16 @@ def test_language_model_scores_tokens_at_a_bounded_cost():
     assert least_seconds(lambda: net.log10_probabilities(target, before)) < 7 * least_seconds(lambda: np.exp(scores))
 
 
+def test_copies_are_counted_once_for_all_rounds_and_dealt_to_several_shards(spark, monkeypatch):
+    made, dealt = [], lm._dealt
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 100)
+    monkeypatch.setattr(lm, "_dealt", lambda *given: made.append(dealt(*given)) or made[-1])
+    docs = _documents(spark, [(7, "a b c")] * 60 + [(i, f"a b {i % 5} d") for i in range(100, 200)])
+    assert lm.scored(docs).count() == 160 and len(made) == 1
+    copies = [(r["round"], r["shard"]) for r in made[0].collect() if r["text"] == "a b c"]
+    assert len(copies) == 60 and len({x for _, x in copies}) > 1
+
+
 def test_language_model_beats_the_unigrams_and_ignores_the_layout(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     one, two = (lm.scored(docs.repartition(n, F.xxhash64("doc_id", F.lit(n)))).where("held_out") for n in (2, 11))
