@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Callable
 
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -166,27 +167,49 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1).cast("bigint"), n.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fisher_phred(a: Column, b: Column, c: Column, d: Column) -> Column:
     """-10 log10 of the two-sided exact p of a 2x2 table: sums the tables with its margins that are no likelier.
 
-    Rows and columns are swapped so that the first of each is the smaller; the first cell then runs from 0, and each table's probability follows from the
-    one before, so the work grows with the margins alone.
+    Rows and columns are swapped so that the first of each is the smaller; the first cell then runs from 0, and each table's likelihood, as a share of the
+    first's, follows from the one before. They are run through twice, for the own and the largest one and for the sums, so the work grows with the smaller
+    margin alone; sums are of logarithms' differences, so no p is too small.
     """
-    rows = (a + b) > (c + d)
-    a, b, c, d = F.when(rows, c).otherwise(a), F.when(rows, d).otherwise(b), F.when(rows, a).otherwise(c), F.when(rows, b).otherwise(d)
-    cols = (a + c) > (b + d)
-    a, b, c, d = F.when(cols, b).otherwise(a), F.when(cols, a).otherwise(b), F.when(cols, d).otherwise(c), F.when(cols, c).otherwise(d)
-    r1, r2, c1, n = a + b, c + d, a + c, a + b + c + d
-    first = F.aggregate(_upto(c1), F.lit(0.0), lambda s, i: s + F.ln((r2 - i + 1) / (n - i + 1)))
-    step = lambda x: F.ln((r1 - x + 1) * (c1 - x + 1) / (x * (r2 - c1 + x)))
-    own = F.aggregate(_upto(a), first, lambda s, x: s + step(x))
-    start = F.struct(first.alias("l"), F.when(first <= own + 1e-7, F.exp(first)).otherwise(0.0).alias("p"))
-    def more(s, x):
-        now = s["l"] + step(x)
-        return F.struct(now.alias("l"), (s["p"] + F.when(now <= own + 1e-7, F.exp(now)).otherwise(0.0)).alias("p"))
-
-    p = F.aggregate(_upto(F.least(r1, c1)), start, more, lambda s: s["p"])
-    return -10 * F.log10(F.least(F.lit(1.0), p))
+
+    def swapped(t):
+        rows, cols = t["a"] + t["b"] > t["c"] + t["d"], t["a"] + t["c"] > t["b"] + t["d"]
+        first = F.when(rows & cols, t["d"]).when(rows, t["c"]).when(cols, t["b"]).otherwise(t["a"])
+        n = t["a"] + t["b"] + t["c"] + t["d"]
+        r1, c1 = F.when(rows, t["c"] + t["d"]).otherwise(t["a"] + t["b"]), F.when(cols, t["b"] + t["d"]).otherwise(t["a"] + t["c"])
+        return F.struct(first.alias("x"), r1.alias("r"), c1.alias("c"), (n - r1 - c1).alias("rest"))
+
+    step = lambda m, x: F.ln((m["r"] - x + 1) * (m["c"] - x + 1) / (x * (m["rest"] + x)))
+    every = lambda m: _upto(F.least(m["r"], m["c"]))
+    struct = lambda **named: F.struct(*[v.alias(k) for k, v in named.items()])
+    zero = F.lit(0.0)
+
+    def peaks(m):
+        def more(s, x):
+            return _bound(s["l"] + step(m, x), lambda now: struct(l=now, own=F.when(x == m["x"], now).otherwise(s["own"]), most=F.greatest(s["most"], now)))
+
+        return struct(m=m, at=F.aggregate(every(m), struct(l=zero, own=zero, most=zero), more))
+
+    def phred(v):
+        own, most = v["at"]["own"], v["at"]["most"]
+        tail, share = lambda now: F.when(now <= own + 1e-7, F.exp(now - own)).otherwise(0.0), lambda now: F.exp(now - most)
+
+        def more(s, x):
+            return _bound(s["l"] + step(v["m"], x), lambda now: struct(l=now, tail=s["tail"] + tail(now), all=s["all"] + share(now)))
+
+        log = F.aggregate(every(v["m"]), struct(l=zero, tail=tail(zero), all=share(zero)), more, lambda s: own - most + F.ln(s["tail"]) - F.ln(s["all"]))
+        return F.least(zero, log) * (-10 / math.log(10))
+
+    table = struct(a=a.cast("bigint"), b=b.cast("bigint"), c=c.cast("bigint"), d=d.cast("bigint"))
+    return _bound(_bound(_bound(table, swapped), peaks), phred)
 
 
 def strand_bias(pileup: DataFrame, site: str, least: int = 17) -> DataFrame:

@@ -111,3 +111,13 @@ def test_fisher_against_sums(spark):
         p = sum(v for v in own if v <= own[a - max(0, a - d)]) / comb(a + b + c + d, a + c)
         got = spark.range(1).select(metrics.fisher_phred(*[F.lit(v).cast("bigint") for v in t])).first()[0]
         assert got == pytest.approx(-10 * log10(p), abs=1e-5)
+
+
+def test_fisher_of_a_strong_bias(spark):
+    """A p below the least double has a phred too, and the work grows with the margin alone."""
+    from math import lgamma, log
+
+    n = 2000
+    got = spark.range(1).select(metrics.fisher_phred(*[F.lit(v).cast("bigint") for v in (0, n, n, 0)])).first()[0]
+    p = log(2) + 4 * lgamma(n + 1) - lgamma(2 * n + 1) - 2 * lgamma(n + 1)
+    assert got == pytest.approx(-10 * p / log(10), rel=1e-9)
