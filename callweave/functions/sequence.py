@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callweave.operators.sizes import dealt
+
+#: Letters whose pairs one task counts.
+LETTERS = 1_000_000
+
 
 def dimer_entropy(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """key and entropy: Shannon entropy in bits of the overlapping pairs of letters. Counts are made by partial aggregation, whatever the length."""
-    pairs = df.where(F.length(seq) > 1).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length(seq) - 1), lambda i: F.substr(F.col(seq), i, F.lit(2)))).alias("pair"))
+    """key and entropy: Shannon entropy in bits of the overlapping pairs of letters. Keys are dealt first, by the letters there are, so a task's counts stay few; a long sequence has few pairs."""
+    known = df.where(F.length(seq) > 1).select(key, seq)
+    letters = known.agg(F.sum(F.length(seq))).first()[0] or 0
+    pairs = dealt(known, key, work=letters, most=LETTERS).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length(seq) - 1), lambda i: F.substr(F.col(seq), i, F.lit(2)))).alias("pair"))
     counts = pairs.groupBy(key, "pair").count()
     total = F.sum("count").over(Window.partitionBy(key))
     share = counts.withColumn("p", F.col("count") / total)

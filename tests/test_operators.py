@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from callweave.functions import genotypes as G
+from callweave.functions import sequence
 from callweave.functions.sequence import left_align
-from callweave.operators import filters, intervals, metrics, phasing, structural
+from callweave.operators import filters, intervals, metrics, phasing, sizes, structural
 from callweave.plans import catalog, record_queries  # noqa: F401
 from callweave.sources import tables, vcf
 
@@ -121,3 +122,16 @@ def test_fisher_of_a_strong_bias(spark):
     got = spark.range(1).select(metrics.fisher_phred(*[F.lit(v).cast("bigint") for v in (0, n, n, 0)])).first()[0]
     p = log(2) + 4 * lgamma(n + 1) - lgamma(2 * n + 1) - 2 * lgamma(n + 1)
     assert got == pytest.approx(-10 * p / log(10), rel=1e-9)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_letters_are_counted_by_key(spark):
+    """Keys are dealt before their pairs are counted, by the letters there are; repeated keys count as one."""
+    df = spark.createDataFrame([("a", "ABAB"), ("a", "AB"), ("b", "AAA"), ("c", "A"), ("d", None)], "k string, s string")
+    got = sequence.dimer_entropy(df, "k", "s")
+    plan = _plan(got)
+    assert {r["k"]: round(r["entropy"], 6) for r in got.collect()} == {"a": 0.811278, "b": 0.0}
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
