@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from callweave.functions import genotypes as G
 from callweave.functions import sequence as S
 from callweave.operators import compare, filters, intervals, metrics, normalize, phasing
+from callweave.operators.sizes import dealt
+
+#: Lines whose calls one task holds.
+LINES = 500_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,7 +31,8 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def calls(self) -> DataFrame:
-        line = self.lineitem
+        """A row for each call. Lines are dealt by site, so groupings by site and caller, and by site, need no further exchange."""
+        line = dealt(self.lineitem, "l_orderkey", work=self.lineitem.count(), most=LINES)
         return line.groupBy(F.col("l_orderkey").alias("site"), F.col("l_linenumber").alias("caller")).agg(
             F.min(F.concat("l_returnflag", "l_linestatus")).alias("gt"), F.max("l_quantity").alias("qual"), F.max(F.col("l_extendedprice") / 1000).alias("depth"), F.max("l_discount").alias("disc"), F.max("l_tax").alias("tax")
         )

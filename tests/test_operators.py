@@ -135,3 +135,11 @@ def test_pairs_of_letters_are_counted_by_key(spark):
     plan = _plan(got)
     assert {r["k"]: round(r["entropy"], 6) for r in got.collect()} == {"a": 0.811278, "b": 0.0}
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("name", ["consensus_vote"])
+def test_lines_of_a_site_are_dealt_once(spark, name):
+    """By a number of tasks that follows from the lines, where a session has too few partitions for them."""
+    plan = _plan(catalog.QUERIES[name](spark, SF))
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+    assert sizes.dealt(spark.range(10), "id", work=95, most=10).rdd.getNumPartitions() == 10
