@@ -96,10 +96,15 @@ def low_support(calls: DataFrame, site: list[str], caller: str, target, n_caller
     return seen.where(F.col("mine") & (F.col("others") <= F.ceil(F.lit(fp_freq) * (n_callers - 1)))).select(*site, "others")
 
 
+def _different(value: str) -> Column:
+    """The number of different values, by their set: several distinct counts would repeat each row for each of them and deal all again."""
+    return F.size(F.collect_set(value))
+
+
 def trusted(calls: DataFrame, meta: DataFrame, site: list[str], caller: str, least: dict[str, float]) -> DataFrame:
     """Sites where any metadata key has enough distinct values among the callers: a count above 1, else a share of all values."""
     totals = meta.agg(*[F.countDistinct(k).alias(k) for k in least]).first()
-    seen = calls.join(sent(meta), caller).groupBy(*site).agg(*[F.countDistinct(k).alias(k) for k in least])
+    seen = calls.join(sent(meta), caller).groupBy(*site).agg(*[_different(k).alias(k) for k in least])
     ok = F.lit(False)
     for k, v in least.items():
         ok = ok | (F.col(k) >= (v if v > 1 else v * totals[k]))
