@@ -113,7 +113,7 @@ def trusted(calls: DataFrame, meta: DataFrame, site: list[str], caller: str, lea
 
 def specific(calls: DataFrame, meta: DataFrame, site: list[str], caller: str, technology: str) -> DataFrame:
     """site and kind: technology (one technology, several callers) or caller (one caller, where several technologies were looked at)."""
-    seen = calls.join(sent(meta), caller).groupBy(*site).agg(F.countDistinct(technology).alias("t"), F.countDistinct(caller).alias("c"))
+    seen = calls.join(sent(meta), caller).groupBy(*site).agg(_different(technology).alias("t"), _different(caller).alias("c"))
     return seen.where("(t = 1 and c > 1) or (c = 1 and t > 1)").select(*site, F.when(F.col("t") == 1, technology).otherwise(caller).alias("kind"))
 
 

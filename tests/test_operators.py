@@ -137,7 +137,7 @@ def test_pairs_of_letters_are_counted_by_key(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
 
 
-@pytest.mark.parametrize("name", ["trusted_sites", "consensus_vote"])
+@pytest.mark.parametrize("name", ["trusted_sites", "xspecific_sites", "consensus_vote"])
 def test_lines_of_a_site_are_dealt_once(spark, name):
     """By a number of tasks that follows from the lines, where a session has too few partitions for them."""
     plan = _plan(catalog.QUERIES[name](spark, SF))
