@@ -14,15 +14,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Groups up to which each is taken apart for its quantiles; more are groups of one task each.
+MOST_GROUPS = 1000
+#: Points are looked for at this distance of shares about a quantile, at an error of less.
+NEAR, ACCURACY = 0.0005, 5000
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
-    """q_<percent> by interpolation."""
-    cols = [F.percentile(value, s).alias(f"q_{round(100 * s)}") for s in shares]
-    return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
+    """q_<percent> by interpolation, exact.
+
+    Approximate points about each quantile are followed by exact counts of the rows up to each point; only rows between the two points that hold a
+    quantile's ranks, some thousandth of all, are sorted. Whatever the points, the ranks lie between those chosen, or beyond the outermost ones.
+    """
+    names = [f"q_{round(100 * s)}" for s in shares]
+    if by and df.select(*by).distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        return df.groupBy(*by).agg(*[F.percentile(value, s).alias(n) for s, n in zip(shares, names, strict=True)])
+    rows = df.select((F.struct(*by) if by else F.lit(0)).alias("_g"), F.col(value).cast("double").alias("_v"))
+    about = sorted({min(1.0, max(0.0, s + d)) for s in shares for d in (-NEAR, NEAR)})
+    points = rows.groupBy("_g").agg(F.count("_v").alias("_n"), F.percentile_approx("_v", about, ACCURACY).alias("_p"))
+    upto = [F.count_if(F.col("_v") <= F.col("_p")[j]).alias(f"_c{j}") for j in range(len(about))]
+    counts = rows.join(F.broadcast(points), "_g").groupBy("_g", "_n", "_p").agg(*upto)
+    at = [(F.col("_n") - 1) * F.lit(float(s)) for s in shares]
+    each = F.array(*[F.struct(F.col("_p")[j].alias("v"), F.col(f"_c{j}").alias("c")) for j in range(len(about))])
+
+    def between(k: int, x: Column) -> Column:
+        """The last point below the ranks and the first one that is not."""
+        low, high = F.filter(each, lambda e: e["c"] <= F.floor(x)), F.filter(each, lambda e: e["c"] > F.ceil(x))
+        return F.struct(F.lit(k).alias("k"), F.col("_n").alias("n"), F.array_max(low).alias("lo"), F.array_min(high).alias("hi")).alias(f"_b{k}")
+
+    bounds = counts.select("_g", *[between(k, x) for k, x in enumerate(at)])
+    inside = lambda b: F.col("_v").isNotNull() & (F.col(f"{b}.lo").isNull() | (F.col("_v") > F.col(f"{b}.lo.v"))) & (F.col(f"{b}.hi").isNull() | (F.col("_v") <= F.col(f"{b}.hi.v")))
+    found = F.array_compact(F.array(*[F.when(inside(f"_b{k}"), F.struct(F.lit(k).alias("k"), F.col(f"_b{k}.n").alias("n"), F.coalesce(F.col(f"_b{k}.lo.c"), F.lit(0)).alias("below"))) for k in range(len(shares))]))
+    # rows outside stay as one row of their group, so that groups without values do
+    met = rows.join(F.broadcast(bounds), "_g").select("_g", "_v", F.explode_outer(found).alias("_h")).groupBy("_g", "_h", F.when(F.col("_h").isNotNull(), F.col("_v")).alias("_v")).count()
+    run = met.withColumn("_upto", F.col("_h.below") + F.sum("count").over(Window.partitionBy("_g", "_h").orderBy("_v")))
+    out = []
+    for k, (s, name) in enumerate(zip(shares, names, strict=True)):
+        place = (F.col("_h.n") - 1) * F.lit(float(s))
+        own = F.col("_h.k") == k
+        low, high = (F.min(F.when(own & (F.col("_upto") > r), F.col("_v"))) for r in (F.floor(place), F.ceil(place)))
+        x = F.max(F.when(own, place))
+        out.append(F.when(low == high, low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high).alias(name))
+    return run.groupBy("_g").agg(*out).select(*[F.col("_g")[c].alias(c) for c in by], *names) if by else run.agg(*out)
 
 
 def min_max(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Adds <value>_scaled: 0 at the low quantile, 1 at the high one, clipped."""
-    q = df.agg(F.percentile(value, low).alias("a"), F.percentile(value, high).alias("b")).first()
+    q = dict(zip("ab", quantiles(df, [], value, [low, high]).first(), strict=True))
     if q["a"] is None or q["a"] == q["b"]:
         return df.withColumn(f"{value}_scaled", F.lit(0.0))
     return df.withColumn(f"{value}_scaled", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(value) - q["a"]) / (q["b"] - q["a"]))))

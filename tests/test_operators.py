@@ -143,3 +143,16 @@ def test_lines_of_a_site_are_dealt_once(spark, name):
     plan = _plan(catalog.QUERIES[name](spark, SF))
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
     assert sizes.dealt(spark.range(10), "id", work=95, most=10).rdd.getNumPartitions() == 10
+
+
+def test_quantiles_are_exact_without_a_task_for_a_group(spark):
+    """Against Spark's own over repeated, skewed and missing values; the plan has no exact percentile, which one task would hold."""
+    rng = random.Random(6)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(6000)] + [("b", float(rng.randint(0, 3))) for _ in range(3000)] + [(None, 10 ** rng.uniform(-300, 300)) for _ in range(999)] + [("c", None), ("d", 5.0), ("d", 6.0)]
+    df, shares = spark.createDataFrame(rows, "k string, v double"), [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = metrics.quantiles(df, ["k"], "v", shares)
+    want = df.groupBy("k").agg(*[F.percentile("v", s).alias(f"q_{round(100 * s)}") for s in shares])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert repr(metrics.quantiles(df, [], "v", shares).first()) == repr(df.agg(*[F.percentile("v", s).alias(f"q_{round(100 * s)}") for s in shares]).first())
+    assert list(metrics.quantiles(df.where("false"), [], "v", [0.5]).first()) == [None]
+    assert "percentile(" not in _plan(got)
