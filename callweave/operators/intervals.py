@@ -6,25 +6,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
+#: Widths of bins; an interval has those of the first width that it isn't longer than, so two at most below the last.
+WIDTHS = [64, 4096, 262_144, 16_777_216]
 
 
-def overlap_join(a: DataFrame, b: DataFrame, on: str = "contig", width: int = 16_384, how: str = "inner") -> DataFrame:
+def _width(start: Column, end: Column, widths: list[int]) -> Column:
+    out = F.lit(widths[-1]).cast("long")
+    for w in reversed(widths[:-1]):
+        out = F.when(end - start < w, F.lit(w).cast("long")).otherwise(out)
+    return out
+
+
+def _widths(df: DataFrame) -> list[int]:
+    """Those that rows of df have."""
+    return sorted(r[0] for r in df.where("start <= end").select(_width(F.col("start"), F.col("end"), WIDTHS)).distinct().collect()) or WIDTHS[:1]
+
+
+def _bins(start: Column, end: Column, own: list[int], other: list[int], swap: bool = False) -> Column:
+    """A row for each place where an interval can meet others: the widths of both sides and the bin, by the larger width."""
+    mine = _width(start, end, own)
+
+    def places(theirs: int) -> Column:
+        most = F.greatest(mine, F.lit(theirs).cast("long"))
+        one, two = mine, F.lit(theirs).cast("long")
+        if swap:
+            one, two = two, one
+        return F.transform(F.sequence(F.floor(start / most), F.floor(end / most)), lambda k: F.struct(one.alias("a"), two.alias("b"), k.alias("at")))
+
+    return F.explode(F.flatten(F.array(*[places(w) for w in other])))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, on: str = "contig", width: int | None = None, how: str = "inner") -> DataFrame:
     """Rows of a with the overlapping rows of b; b's columns get the suffix _b. Both need start and end; how: inner, left, left_semi or left_anti.
 
-    Both sides are dealt by contig and bin, so a long contig spreads over many tasks; a pair that shares several bins is kept in the first one only.
+    Both sides are dealt by contig and bin, so a long contig spreads over many tasks; a pair that shares several bins is kept in the first one only. Bins are
+    of the given width, or by the intervals' own lengths: short ones meet in narrow bins, so that few pairs are looked at in vain, and a pair with a long one in that one's bins.
     """
-    left = a.where("start <= end").withColumn("_bin", _bins(F.col("start"), F.col("end"), width))
-    right = b.where("start <= end").select(*[F.col(c).alias(f"{c}_b") for c in b.columns]).withColumn("_bin_b", _bins(F.col("start_b"), F.col("end_b"), width))
+    one, two = ([width], [width]) if width else (_widths(a), _widths(b))
+    left = a.where("start <= end").withColumn("_bin", _bins(F.col("start"), F.col("end"), one, two))
+    right = b.where("start <= end").select(*[F.col(c).alias(f"{c}_b") for c in b.columns]).withColumn("_bin_b", _bins(F.col("start_b"), F.col("end_b"), two, one, swap=True))
     met = (F.col(on) == F.col(f"{on}_b")) & (F.col("_bin") == F.col("_bin_b")) & (F.col("start") <= F.col("end_b")) & (F.col("start_b") <= F.col("end"))
-    once = F.col("_bin") == F.floor(F.greatest("start", "start_b") / width)
+    once = F.col("_bin.at") == F.floor(F.greatest("start", "start_b") / F.greatest("_bin.a", "_bin.b"))
     inner = left.join(right, met & once).drop("_bin", "_bin_b")
     if how == "inner":
         return inner
     # whether a row overlaps depends on its place alone, so places are looked up, and rows of any type, repeated ones too, by their places
     place = [on, "start", "end"]
-    spans = a.select(*place).where("start <= end").distinct().withColumn("_bin", _bins(F.col("start"), F.col("end"), width))
+    spans = a.select(*place).where("start <= end").distinct().withColumn("_bin", _bins(F.col("start"), F.col("end"), one, two))
     hits = spans.join(right, met, "left_semi").select(*place).distinct()
     if how == "left_semi":
         return a.join(hits, place, "left_semi").select(*a.columns)

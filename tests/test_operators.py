@@ -145,6 +145,18 @@ def test_lines_of_a_site_are_dealt_once(spark, name):
     assert sizes.dealt(spark.range(10), "id", work=95, most=10).rdd.getNumPartitions() == 10
 
 
+def test_bins_follow_the_lengths(spark):
+    """Intervals of all lengths against all pairs; short ones alone meet in bins of 64."""
+    rng = random.Random(5)
+    make = lambda: [(rng.choice("xy"), s := rng.randint(1, 400_000), s + rng.choice([-1, 0, 5, 63, 64, 300, 5000, 300_000, 20_000_000])) for _ in range(60)]
+    one, two = make(), make()
+    a, b = (spark.createDataFrame(r, "contig string, start long, end long") for r in (one, two))
+    good = [(x, y) for x in one for y in two if x[0] == y[0] and x[1] <= x[2] and y[1] <= y[2] and x[1] <= y[2] and y[1] <= x[2]]
+    assert sorted(((r[0], r[1], r[2]), (r[3], r[4], r[5])) for r in intervals.overlap_join(a, b).collect()) == sorted(good)
+    assert sorted(tuple(r) for r in intervals.overlap_join(a, b, how="left_anti").collect()) == sorted(x for x in one if not any(x == g for g, _ in good))
+    assert intervals._widths(a.where("end - start < 64")) == [64]
+
+
 def test_quantiles_are_exact_without_a_task_for_a_group(spark):
     """Against Spark's own over repeated, skewed and missing values; the plan has no exact percentile, which one task would hold."""
     rng = random.Random(6)
